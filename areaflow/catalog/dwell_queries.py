@@ -144,7 +144,7 @@ def coverage(s: S) -> DataFrame:
 SQL["coverage"] = """
 SELECT e.disaster AS event, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS area_id, count(*) AS n_total,
        CAST(sum(CASE WHEN c_acctbal < -900 THEN 1 ELSE 0 END) AS BIGINT) AS n_damaged
-FROM customer, ev e GROUP BY 1, 2"""
+FROM customer CROSS JOIN ev e GROUP BY 1, 2"""
 
 
 @query("damage_groups", """

@@ -1,7 +1,7 @@
 """All registered queries; importing the query modules fills the registry."""
 
 from areaflow.catalog import views
-from areaflow.catalog import dwell_queries  # noqa: F401
+from areaflow.catalog import dwell_queries, mobility_queries, network_queries  # noqa: F401
 
 
 def queries():

@@ -39,7 +39,7 @@ def with_views(query: str) -> str:
 
     def visit(text: str) -> None:
         for name in SQL:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in order and re.search(rf"(?i)\b(?:from|join)\s+{name}\b", text):
                 visit(SQL[name])
                 if name not in order:
                     order.append(name)

@@ -110,7 +110,7 @@ def complete(df: DataFrame, domain: DataFrame, keys: Sequence[str],
 
 def numbered(df: DataFrame, n: int, name: str = "bin") -> DataFrame:
     """Rows 0..n-1 for each row of ``df`` (generated in place, no join)."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

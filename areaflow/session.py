@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -34,11 +31,3 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     })
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's setting, or a temporary one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return tempfile.mkdtemp(prefix="areaflow-", dir=os.environ.get("TMPDIR", "/tmp"))
