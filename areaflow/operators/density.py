@@ -91,7 +91,7 @@ def pmf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def kde(df: DataFrame, value: str, lo: float | Column, hi: float | Column | None, points: int = 500,
         by: Sequence[str] = (), factor: float | str = "scott", min_values: int = 2,
         hi_quantile: float | None = None, zero_upto: float | None = None,
-        with_stats: bool = False) -> DataFrame:
+        with_stats: bool = False, weight: str | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid, per group.
 
     Equal values are merged with their counts first, so the kernel sum grows with distinct
@@ -99,12 +99,14 @@ def kde(df: DataFrame, value: str, lo: float | Column, hi: float | Column | None
     the kernel is exactly zero in double precision. The sums are combined per task before
     the shuffle, so at most ``points`` rows per group and task travel.
     ``lo``/``hi`` may be expressions over the group keys; ``hi_quantile`` sets the upper end
-    from the data. Groups with too few or only equal values give no rows.
+    from the data; ``weight`` is a whole-number count of equal observations per row. Groups
+    with too few or only equal values give no rows.
     """
     by = list(by)
+    count = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     vals = (
-        df.select(*by, finite_or_null(F.col(value).cast("double")).alias("_v")).filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+        df.select(*by, finite_or_null(F.col(value).cast("double")).alias("_v"), count.alias("_n"))
+        .filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
     )
     size = vals.groupBy(*by).agg(F.sum("_n").alias("_size"), F.count("*").alias("_distinct"),
                                  (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_mean"))
