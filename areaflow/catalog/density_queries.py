@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from areaflow.catalog.mobility_queries import detected, expansion_factor  # noqa: F401
+from areaflow.catalog.mobility_queries import detected
 from areaflow.catalog import mobility_queries as M
 from areaflow.catalog.dwell_queries import cohort60
 from areaflow.catalog.views import SQL, R, S, published, query
