@@ -32,12 +32,12 @@ SQL["ec_res"] = """
 SELECT home_area, median_income, ec, p AS ec_pred_from_income, ec - p AS ec_residual FROM (
   SELECT *, regr_intercept(ec, median_income) OVER () + regr_slope(ec, median_income) OVER () * median_income AS p FROM (
     SELECT CAST(c_custkey AS VARCHAR) AS home_area, c_acctbal AS median_income, ec
-    FROM customer JOIN (SELECT o_custkey, avg(o_totalprice) / 70000 AS ec FROM orders GROUP BY 1) ON o_custkey = c_custkey))"""
+    FROM customer JOIN (SELECT o_custkey, avg(ln(o_totalprice)) AS ec FROM orders GROUP BY 1) ON o_custkey = c_custkey))"""
 
 
 def ec_table(s: S) -> DataFrame:
     inc = s.table("customer").select(F.col("c_custkey").cast("string").alias("home_area"), F.col("c_acctbal").alias("median_income"))
-    ec = s.table("orders").select(F.col("o_custkey").cast("string").alias("home_area"), (F.col("o_totalprice") / 70000).alias("ec"))
+    ec = s.table("orders").select(F.col("o_custkey").cast("string").alias("home_area"), F.log("o_totalprice").alias("ec"))
     return K.ec_income(inc, ec)
 
 
