@@ -78,18 +78,20 @@ def tie_comparison(edges: DataFrame, users: DataFrame, published: DataFrame, cel
     index = ties.od_tie_probability(spark, ties.od_with_distance(od, areas), box)
     pairs = [("support_ratio", 1.0), ("clustering", 0.7)]
     cor = [network.correlation(stable, f"{m}_own", f"{m}_pub").select(F.lit(m).alias("metric"), "rho", "n") for m, _ in pairs]
-    bins = None
+    bins, hexes = None, None
     for m, hi in pairs:
         both = stable.filter(F.col(f"{m}_own").isNotNull() & F.col(f"{m}_pub").isNotNull())
         for side in ("own", "pub"):
             h = D.histogram(both, f"{m}_{side}", D.linear_edges(0.0, hi, 40)).select(
                 F.lit(m).alias("metric"), F.lit(side).alias("source"), "bin", "x", "density")
             bins = h if bins is None else bins.unionByName(h)
+        hx = D.hexbin(both, f"{m}_own", f"{m}_pub").select(F.lit(m).alias("metric"), "hx", "hy", "n")
+        hexes = hx if hexes is None else hexes.unionByName(hx)
     return {
         "area_comparison": comparison,
         "area_correlation": cor[0].unionByName(cor[1]),
         "area_histograms": bins,
-        "area_hexbins": D.hexbin(stable, "support_ratio_own", "support_ratio_pub"),
+        "area_hexbins": hexes,
         "distance_decay": own.select("bin", "distance_km", F.col("p").alias("p_own")).join(
             index.select("bin", F.col("p_all").alias("p_index"), F.col("p_box").alias("p_index_box")), "bin"),
     }
