@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Add per-group statistics to every row.
-
-    ``stats`` holds one row per group. With keys this is an equi-join, which the
-    optimizer broadcasts only when the measured size allows. Without keys there is a
-    single statistics row, read as a scalar subquery, so no cross join is planned.
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner", few: bool = True) -> DataFrame:
+    """Add per-group statistics (one row per group) to every row.
+
+    ``few`` states that the keys are report keys - events, thresholds, metrics, outcomes - whose
+    combinations are listed in the job's parameters. The statistics are then a handful of
+    rows and are broadcast, which spares shuffling the rows onto as few partitions as there are
+    groups. With keys that grow with the data pass ``few=False``: a plain equi-join.
+    Without keys the single statistics row is read as a scalar subquery.
     """
     if by:
-        return df.join(stats, list(by), how)
+        return df.join(F.broadcast(stats) if few else stats, list(by), how)
     row = stats.select(F.struct(*stats.columns).alias("s"))
     return df.withColumn("_stats", row.scalar()).select(
         *df.columns, *[F.col(f"_stats.{c}").alias(c) for c in stats.columns]
@@ -49,9 +51,19 @@ def top_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for rows that are few bytes but much work.
+
+    Adaptive execution merges small shuffle partitions by size alone; a fixed count keeps
+    the following stage parallel.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                     by: Sequence[str] = (), weight: str | None = None,
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int = 16) -> DataFrame:
     """Exact percentiles with linear interpolation, without gathering a group in one task.
 
     Values are first reduced to distinct values with multiplicities. An approximate
@@ -68,23 +80,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     cuts = vals.groupBy(*by).agg(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"),
         F.sum("_n").alias("_total"),
-    )
-    placed = attach(vals, cuts, by).select(
-        *by, "_v", "_n", "_total",
-        F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket"),
-    )
+    ).select(*by, "_total", *[F.element_at("_cuts", i).alias(f"_c{i}") for i in range(1, buckets)])
+    below = F.lit(0)
+    for i in range(1, buckets):
+        below = below + (F.col(f"_c{i}") < F.col("_v")).cast("int")
+    placed = attach(spread(vals, *by, "_v"), cuts, by).select(*by, "_v", "_n", "_total", below.alias("_bucket"))
     ranks = F.array(*[F.floor((F.col("_total") - 1) * F.lit(float(p))) for p in probs.values()])
-    # At most ``buckets`` rows per group reach this window.
+    # At most ``buckets`` rows per group reach this window; only buckets with a wanted rank stay.
     offsets = (
-        placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"))
+        placed.groupBy(*by, "_bucket", "_total").agg(F.sum("_n").alias("_bn"))
         .withColumn("_upto", F.sum("_bn").over(
             Window.partitionBy(*by).orderBy("_bucket")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .select(*by, "_bucket", (F.col("_upto") - F.col("_bn")).alias("_before"), "_upto")
-    )
-    wanted = placed.join(offsets, [*by, "_bucket"]).filter(
-        F.exists(ranks, lambda k: (k + 1 >= F.col("_before")) & (k < F.col("_upto")))
+        .withColumn("_before", F.col("_upto") - F.col("_bn"))
+        .filter(F.exists(ranks, lambda k: (k + 1 >= F.col("_before")) & (k < F.col("_upto"))))
+        .select(*by, "_bucket", "_before")
     )
+    wanted = placed.join(offsets, [*by, "_bucket"])
     run = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     spans = wanted.withColumn("_hi", F.col("_before") + F.sum("_n").over(run)).withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import as_col, finite_or_null
-from areaflow.functions.frames import attach, exact_quantiles, numbered
+from areaflow.functions.frames import attach, exact_quantiles, numbered, spread
 
 
 def linear_edges(lo: float, hi: float, n: int) -> list[float]:
@@ -111,38 +111,35 @@ def kde(df: DataFrame, value: str, lo: float | Column, hi: float | Column | None
     size = vals.groupBy(*by).agg(F.sum("_n").alias("_size"), F.count("*").alias("_distinct"),
                                  (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_mean"))
     dev = F.col("_v") - F.col("_mean")
-    spread = attach(vals, size, by).groupBy(*by).agg(
+    shape = attach(vals, size, by).groupBy(*by).agg(
         F.max("_size").alias("_size"), F.max("_distinct").alias("_distinct"), F.max("_mean").alias("_mean"),
         F.sqrt(F.try_divide(F.sum(F.col("_n") * dev * dev), F.max("_size") - 1)).alias("_sd"),
     ).filter((F.col("_size") >= min_values) & (F.col("_distinct") >= 2))
     if hi_quantile is not None:
         top = exact_quantiles(vals, "_v", {"_hi": hi_quantile}, by, "_n")
-        spread = attach(spread, top, by)
+        shape = attach(shape, top, by)
     else:
-        spread = spread.withColumn("_hi", hi if isinstance(hi, Column) else F.lit(float(hi)))
+        shape = shape.withColumn("_hi", hi if isinstance(hi, Column) else F.lit(float(hi)))
     scale = F.pow(F.col("_size").cast("double"), F.lit(-0.2)) if factor == "scott" else F.lit(float(factor))
     params = (
-        spread.withColumn("_lo", lo if isinstance(lo, Column) else F.lit(float(lo)))
+        shape.withColumn("_lo", lo if isinstance(lo, Column) else F.lit(float(lo)))
         .withColumn("_h", scale * F.col("_sd"))
         .withColumn("_step", (F.col("_hi") - F.col("_lo")) / (points - 1))
         .select(*by, "_size", "_mean", "_lo", "_hi", "_h", "_step")
     )
-    cols = [*by, "_size", "_mean", "_lo", "_hi", "_h", "_step"]
     reach = 40 * F.col("_h")
     first = F.greatest(F.lit(0), F.ceil((F.col("_v") - reach - F.col("_lo")) / F.col("_step"))).cast("int")
     last = F.least(F.lit(points - 1), F.floor((F.col("_v") + reach - F.col("_lo")) / F.col("_step"))).cast("int")
     x = F.when(F.col("k") == points - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("k") * F.col("_step"))
     z = (x - F.col("_v")) / F.col("_h")
-    grid = numbered(params, points, "k").select(*cols, F.col("k").cast("int").alias("k"), F.lit(0.0).alias("_part"))
     parts = (
-        attach(vals, params, by).withColumn("_a", first).withColumn("_b", last).filter("_a <= _b")
+        attach(spread(vals, "_v"), params, by).withColumn("_a", first).withColumn("_b", last).filter("_a <= _b")
         .withColumn("k", F.explode(F.sequence("_a", "_b")))
-        .select(*cols, "k", (F.col("_n") * F.exp(z * z * -0.5)).alias("_part"))
-        # Partial sums of the spread rows; the zero rows keep every grid point present.
-        .unionByName(grid)
+        .groupBy(*by, "k").agg(F.sum(F.col("_n") * F.exp(z * z * -0.5)).alias("_part"))
     )
-    summed = parts.groupBy(*cols, "k").agg(F.sum("_part").alias("_part"))
-    density = F.col("_part") / (F.col("_size") * F.col("_h") * math.sqrt(2 * math.pi))
+    grid = numbered(params, points, "_k").withColumn("k", F.col("_k").cast("int"))
+    summed = grid.join(parts, [*by, "k"], "left")
+    density = F.coalesce("_part", F.lit(0.0)) / (F.col("_size") * F.col("_h") * math.sqrt(2 * math.pi))
     if zero_upto is not None:
         density = F.when(x <= zero_upto, 0.0).otherwise(density)
     extra = [F.col("_mean").alias("mean"), F.col("_size").alias("n")] if with_stats else []

@@ -5,8 +5,8 @@ Input ``stays``: ``pid``, ``place_id``, ``local_time`` (wall time, no zone), ``h
 ``place_area``: ``place_id``, ``area_id`` (one row per mapped place).
 
 All events are handled in one job. The only wide stages over raw rows are partial
-aggregations; a person's rows are bounded (minutes per night are) once that is done, so
-the later steps are partitioned by person once and share that partitioning.
+aggregations; a person then has at most one row per period and area, so the later steps
+are partitioned by person once and share that partitioning.
 """
 
 from __future__ import annotations
@@ -86,11 +86,15 @@ def dominant_area(dwell: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def to_areas(dwell: DataFrame, place_area: DataFrame, keys: Sequence[str],
              extra: Sequence[str] = ()) -> DataFrame:
-    """Place minutes to area minutes, partitioned by person for everything that follows."""
+    """Place minutes to area minutes, then partitioned by person for everything that follows.
+
+    The sum comes first: it spreads a hot person over many tasks, and afterwards a person has at
+    most one row per key and area.
+    """
     return (
         dwell.join(place_area, "place_id", "inner").filter(F.col("area_id").isNotNull())
-        .repartition("pid")
         .groupBy(*keys, "area_id", *extra).agg(F.sum("mins").alias("mins"))
+        .repartition("pid")
     )
 
 

@@ -106,12 +106,16 @@ def closed_wedges(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     lower = F.struct(F.col("_du"), F.col("u")) < F.struct(F.col("_dv"), F.col("v"))
     pointed = edges.select(*by, "u", "v").join(du, [*by, "u"]).join(dv, [*by, "v"]).select(
         *by, F.when(lower, F.col("u")).otherwise(F.col("v")).alias("a"),
-        F.when(lower, F.col("v")).otherwise(F.col("u")).alias("b"))
-    out = pointed.groupBy(*by, "a").agg(F.collect_list("b").alias("_out"))
-    legs = out.filter(F.size("_out") > 1).select(*by, "a", "_out", F.explode("_out").alias("b"))
+        F.when(lower, F.struct(F.col("_dv").alias("d"), F.col("v"))).otherwise(
+            F.struct(F.col("_du").alias("d"), F.col("u").alias("v"))).alias("_b")).filter(F.col("a").isNotNull())
+    ranked = pointed.groupBy(*by, "a").agg(F.array_sort(F.collect_list("_b")).alias("_b"))
+    out = ranked.select(*by, "a", F.transform("_b", lambda x: x["v"]).alias("_out"))
+    # A closing node ranks above b, so only the neighbours after b in order travel with the edge.
+    legs = out.filter(F.size("_out") > 1).select(*by, "a", "_out", F.posexplode("_out").alias("_i", "b")).select(
+        *by, "a", "b", F.slice("_out", F.col("_i") + 2, F.size("_out")).alias("_later")).filter(F.size("_later") > 0)
     heads = out.select(*by, F.col("a").alias("b"), F.col("_out").alias("_out_b"))
     return legs.join(heads, [*by, "b"]).select(
-        *by, "a", "b", F.array_intersect("_out", "_out_b").alias("common")).filter(F.size("common") > 0)
+        *by, "a", "b", F.array_intersect("_later", "_out_b").alias("common")).filter(F.size("common") > 0)
 
 
 def triangles_per_node(wedges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -56,7 +56,7 @@ def test_kde_weights_equal_repeats(spark):
     assert key(D.kde(base, "v", 0.0, 5.0, 11, weight="w")) == pytest.approx(key(D.kde(flat, "v", 0.0, 5.0, 11)))
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
+@pytest.mark.parametrize("buckets", [2, 16])
 def test_exact_quantiles_match_numpy(spark, buckets):
     rng = np.random.default_rng(5)
     groups = {"one": [3.0], "two": [1.0, 2.0], "same": [7.0] * 50, "wide": list(rng.normal(0, 1e6, 999)),

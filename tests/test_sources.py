@@ -94,7 +94,8 @@ def test_jobs_run_end_to_end(spark, sf, tmp_path):
                         category_rank("int_bin", PQ.BINS), PQ.STORMS, 10), ["post_effect_by_bin"])
     check(jobs.displacement(V.stays(s), V.EVENTS, V.place_area(s, "fine"), DQ.coverage(s), 10))
     homes = s.table("events").select(F.col("user_id").cast("string").alias("pid"), F.lit("7").alias("home_place_id"))
-    check(jobs.stay_quality(V.stays(s), homes, V.places(s), MQ.centres(s), MQ.population(s)))
+    check(jobs.stay_quality(V.stays(s), homes, V.places(s), MQ.centres(s), MQ.population(s)),
+          ["population_cells", "population_breaks"])
     inc = s.table("customer").select(F.col("c_custkey").cast("string").alias("home_area"), F.col("c_acctbal").alias("median_income"))
     ec = s.table("orders").select(F.col("o_custkey").cast("string").alias("home_area"), F.log("o_totalprice").alias("ec"))
     check(jobs.connectedness(CQ.person(s), inc, ec, merge="first"))
