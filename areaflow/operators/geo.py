@@ -122,7 +122,7 @@ def in_box(lat: str | Column, lon: str | Column, lat_min: float, lat_max: float,
 # --- nearest centre ----------------------------------------------------------------
 
 def nearest_area(points: DataFrame, centres: DataFrame, point_id: str, lon: str = "lon", lat: str = "lat",
-                 finest: float = 0.05, levels: int = 15) -> DataFrame:
+                 finest: float = 0.01, levels: int = 18) -> DataFrame:
     """Area whose centre is nearest in plain degrees; ties go to the smaller id.
 
     Tiles double in size per level. If a point's tile at level k holds a centre, the nearest

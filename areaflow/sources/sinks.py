@@ -26,8 +26,12 @@ def write_tables(tables: dict[str, DataFrame], out: str, private: Sequence[str]
 
 
 def write_daily(df: DataFrame, path: str) -> None:
-    """Write or replace exactly the days present in ``df``."""
-    (df.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write or replace exactly the days present in ``df``.
+
+    Rebalancing groups rows by day for few files per folder and still splits a large day over
+    several tasks.
+    """
+    (df.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(path))
 
 

@@ -1,6 +1,7 @@
 """Headline queries on local cores; prints one JSON line.
 
-BENCH_SF_DIR, BENCH_CPUS, BENCH_RUNS and BENCH_ONLY (comma-separated keys) adjust a run.
+Every query runs once to warm up, then BENCH_RUNS times (default 1); the median counts.
+BENCH_SF_DIR, BENCH_CPUS and BENCH_ONLY (comma-separated keys) adjust a run.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ def main() -> None:
     seconds = {}
     for key in only or HEADLINE:
         taken = []
-        for i in range(runs + (1 if runs > 1 else 0)):
+        for i in range(runs + 1):
             t0 = time.perf_counter()
             queries[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if runs == 1 or i > 0:
+            if i > 0:
                 taken.append(time.perf_counter() - t0)
         seconds[key] = round(statistics.median(taken), 3)
     spark.stop()
