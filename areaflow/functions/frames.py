@@ -73,7 +73,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     """
     n = F.sum(weight) if weight else F.count("*")
     vals = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(n.cast("long").alias("_n"))
         .filter("_n > 0")
     )

@@ -34,7 +34,7 @@ def ec_income(income: DataFrame, ec: DataFrame, how: str = "mean") -> DataFrame:
     merge = F.avg("ec") if how == "mean" else F.min("ec")
     per_area = ec.select("home_area", finite_or_null(F.col("ec").cast("double")).alias("ec")).dropna().groupBy(
         "home_area").agg(merge.alias("ec"))
-    joined = income.select("home_area", "median_income").join(per_area, "home_area", "inner")
+    joined = income.select("home_area", finite_or_null(F.col("median_income").cast("double")).alias("median_income")).join(per_area, "home_area", "inner")
     return residualise(joined, ["ec"], "median_income", suffix="_residual", pred_suffix="_pred_from_income")
 
 

@@ -23,6 +23,10 @@ def log_edges(lo: float, hi: float, n: int) -> list[float]:
     return [10 ** (a + i * step) for i in range(n)] + [10 ** b]
 
 
+def _constants(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def bin_of(x: str | Column, edges: Sequence[float], log: bool = False, last_closed: bool = True) -> Column:
     """Index of the half-open bin holding ``x``; null outside the edges.
 
@@ -31,7 +35,7 @@ def bin_of(x: str | Column, edges: Sequence[float], log: bool = False, last_clos
     """
     x = as_col(x).cast("double")
     n, lo, hi = len(edges) - 1, float(edges[0]), float(edges[-1])
-    edge = F.array(*[F.lit(float(e)) for e in edges])
+    edge = _constants(edges)
     if log:
         safe = F.when(x > 0, x)
         pos = (F.log10(safe) - math.log10(lo)) / ((math.log10(hi) - math.log10(lo)) / n)
@@ -45,7 +49,7 @@ def bin_of(x: str | Column, edges: Sequence[float], log: bool = False, last_clos
 
 
 def _edge_at(edges: Sequence[float], k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(float(e)) for e in edges]), k.cast("int") + 1)
+    return F.element_at(_constants(edges), k.cast("int") + 1)
 
 
 def midpoints(edges: Sequence[float], k: str = "bin", log: bool = False) -> Column:

@@ -133,28 +133,27 @@ def nearest_area(points: DataFrame, centres: DataFrame, point_id: str, lon: str
     if finest * top < 720:
         raise ValueError("the coarsest level must span the globe")
     ix = lambda c: F.floor((F.col(c) + 360.0) / finest)
-    at = lambda c, k: F.shiftright(F.col(c), k)
-    all_levels = lambda lo: F.explode(F.array(*[
-        F.struct(F.lit(k).alias("level"), at("_ix", k).alias("tx"), at("_iy", k).alias("ty"))
-        for k in range(lo, levels + 1)]))
+    def at_levels(df: DataFrame, lo: int) -> DataFrame:
+        """The tile of ``_ix``, ``_iy`` at every level from ``lo`` up."""
+        every = df.withColumn("level", F.explode(F.sequence(F.lit(lo), F.lit(levels))))
+        return every.selectExpr("*", "shiftright(_ix, level) AS tx", "shiftright(_iy, level) AS ty")
+
     c = centres.select("area_id", F.col("lon").alias("_cx"), F.col("lat").alias("_cy")).dropna().groupBy(
         "_cx", "_cy").agg(F.min("area_id").alias("area_id"))
     ctiles = c.withColumn("_ix", ix("_cx")).withColumn("_iy", ix("_cy"))
     pts = points.select(point_id, F.col(lon).alias("_px"), F.col(lat).alias("_py")).dropna().withColumn(
         "_ix", ix("_px")).withColumn("_iy", ix("_py"))
     # Smallest occupied level per finest tile of the points, not per point.
-    occupied = ctiles.select(all_levels(0).alias("_t")).select("_t.*").distinct()
+    occupied = at_levels(ctiles.select("_ix", "_iy").distinct(), 0).select("level", "tx", "ty").distinct()
     probes = pts.select("_ix", "_iy").distinct()
-    found = probes.select("_ix", "_iy", all_levels(0).alias("_t")).select("_ix", "_iy", "_t.*").join(
+    found = at_levels(probes, 0).join(
         occupied, ["level", "tx", "ty"], "left_semi").groupBy("_ix", "_iy").agg(F.min("level").alias("_k"))
-    shift = lambda c: F.expr(f"shiftright({c}, _k + 1)")
-    block = F.explode(F.array(*[
-        F.struct((F.col("_sx") + dx).alias("tx"), (F.col("_sy") + dy).alias("ty"))
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    search = found.withColumn("_sx", shift("_ix")).withColumn("_sy", shift("_iy")).select(
-        "_ix", "_iy", "_k", (F.col("_k") + 1).alias("level"), block.alias("_b")).select(
-        "_ix", "_iy", "_k", "level", "_b.*")
-    leveled = ctiles.select("area_id", "_cx", "_cy", all_levels(1).alias("_t")).select("area_id", "_cx", "_cy", "_t.*")
+    search = (
+        found.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(8))))
+        .selectExpr("_ix", "_iy", "_k", "_k + 1 AS level", "shiftright(_ix, _k + 1) + _d % 3 - 1 AS tx",
+                    "shiftright(_iy, _k + 1) + _d div 3 - 1 AS ty")
+    )
+    leveled = at_levels(ctiles, 1).drop("_ix", "_iy")
     # A centre farther from the tile than the diagonal bound cannot win for any point in it.
     gap = lambda v, i: F.greatest(F.lit(0.0), F.col(i) * finest - 360.0 - F.col(v),
                                   F.col(v) - ((F.col(i) + 1) * finest - 360.0))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaflow.functions.columns import thresholds_met
+from areaflow.functions.columns import finite_or_null, thresholds_met
 from areaflow.functions.frames import attach, exact_quantiles
 from areaflow.operators.density import histogram, kde, linear_edges, pmf
 
@@ -225,7 +225,7 @@ def area_comparison(edges: DataFrame, users: DataFrame, published: DataFrame,
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation over complete pairs; null with fewer than three."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = df.select(*by, finite_or_null(x).alias(x), finite_or_null(y).alias(y)).dropna(subset=[x, y])
     return both.groupBy(*by).agg(
         F.when(F.count("*") >= 3, F.corr(x, y)).alias("rho"), F.count("*").alias("n"))
 

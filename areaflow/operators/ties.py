@@ -99,6 +99,7 @@ def own_tie_probability(spark: SparkSession, edges: DataFrame, users: DataFrame,
                         n_pairs: int = N_RANDOM_PAIRS, seed: int = RANDOM_SEED,
                         min_pairs: int = MIN_NULL_PAIRS, bins: Sequence[float] = DISTANCE_EDGES_KM) -> DataFrame:
     """Share of edges per distance bin over the share of random pairs in it."""
+    users = users.join(cells.select(F.col("cell_id").alias("home_cell")), "home_cell", "left_semi")
     ties = bin_counts(edge_distances(edges, users, cells), "km", "n", bins, True)
     null = _two_ends(random_pairs(spark, users, n_pairs, seed), cells, "cell_a", "cell_b").withColumn(
         "km", pair_km(False))

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of column expressions cost several driver round trips per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

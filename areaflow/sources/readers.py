@@ -47,8 +47,14 @@ def read_daily(spark: SparkSession, path: str, columns: Sequence[str], start: da
 
 
 def read_typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """CSV with a given schema, so codes declared as strings keep their leading zeros."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV columns by name with declared types, so codes declared as strings keep leading zeros.
+
+    The order of columns in the files does not matter and others are not read. A value that
+    does not fit its type becomes null.
+    """
+    want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = require_columns(spark.read.option("header", True).csv(path), want.names, str(path))
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in want.fields])
 
 
 def read_optional_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", small: bool = False) -> None:
-    """Replace a table. ``small`` marks published result tables, written as a single file."""
+    """Replace a table. ``small`` marks published result tables: one file, ordered by its keys."""
+    keys = [n for n, t in df.dtypes if t in ("string", "int", "bigint", "date")]
     out = df.coalesce(1) if small else df
+    if small and keys:
+        out = out.sortWithinPartitions(*keys)
     writer = out.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 

@@ -102,3 +102,17 @@ def test_jobs_run_end_to_end(spark, sf, tmp_path):
     check(jobs.connectedness(CQ.movers(s), income, ec.withColumn("home_area", F.lpad(F.expr("home_area % 25"), 5, "0")), CQ.od_index(s)),
           ["ec_effect", "group_shares", "widest_event", "ec_income_sample"])
     check(jobs.recovery(PQ.recovery(s), PQ.OUTCOMES, PQ.METRICS, {"median_income_z": "Income", "ec_r_z": "EC (residual)"}, "ec"))
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("extra,income,code\n1,5.5,00501\n2,bad,00502\n")
+    df = readers.read_typed_csv(spark, str(tmp_path), "code string, income double")
+    assert [(r.code, r.income) for r in df.orderBy("code").collect()] == [("00501", 5.5), ("00502", None)]
+    with pytest.raises(readers.MissingColumns):
+        readers.read_typed_csv(spark, str(tmp_path), "zip string")
+    assert readers.read_optional_csv(spark, str(tmp_path / "none.csv"), "zip string").columns == ["zip"]
+
+
+def test_index_codes_are_padded_before_use(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("user_country,friend_country,user_region,friend_region,scaled_sci\nUS,US,501,10001,7\nUS,CA,501,1,7\n")
+    assert [tuple(r) for r in readers.read_od_index(spark, str(tmp_path)).collect()] == [("00501", "10001", 7.0)]
