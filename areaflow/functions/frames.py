@@ -20,10 +20,9 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner
     """
     if by:
         return df.join(F.broadcast(stats) if few else stats, list(by), how)
+    # Unpacked by a generator, so the subquery stands in the plan once, not once per column.
     row = stats.select(F.struct(*stats.columns).alias("s"))
-    return df.withColumn("_stats", row.scalar()).select(
-        *df.columns, *[F.col(f"_stats.{c}").alias(c) for c in stats.columns]
-    )
+    return df.select("*", F.inline(F.array(row.scalar())))
 
 
 def zscore(df: DataFrame, values: Sequence[str], by: Sequence[str] = (),

@@ -73,9 +73,9 @@ def histogram(df: DataFrame, value: str, edges: Sequence[float], by: Sequence[st
 
 
 def shares(df: DataFrame, count: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:
-    """Each row's part of its group's total. For small result tables only."""
-    totals = df.groupBy(*by).agg(F.sum(count).alias("_total"))
-    return attach(df, totals, by).withColumn(name, F.col(count) / F.col("_total")).drop("_total")
+    """Each row's part of its group's total. For tables already reduced to one row per bin or value."""
+    total = F.sum(count).over(Window.partitionBy(*(by or [F.lit(0)])))
+    return df.withColumn(name, F.col(count) / total)
 
 
 def binned_share(df: DataFrame, value: str, width: float, upper: float, by: Sequence[str] = ()) -> DataFrame:
@@ -218,8 +218,3 @@ def span_matrix(levels: DataFrame, rows: str, cols: str, count: str, columns: Se
     wide = (wide.pivot(cols, list(columns)) if columns else wide.pivot(cols)).agg(F.sum(count))
     names = [c for c in wide.columns if c != rows]
     return wide.fillna(0, names).select(rows, *[F.log10(F.col(f"`{c}`") + 1).alias(f"s{c}") for c in names])
-
-
-def window_total(value: str | Column, by: Sequence[str]) -> Column:
-    """Group total beside each row; for groups whose size is bounded."""
-    return F.sum(as_col(value)).over(Window.partitionBy(*by))

@@ -95,6 +95,12 @@ def _bins(spark: SparkSession, edges: Sequence[float]) -> DataFrame:
     return spark.range(len(edges) - 1).withColumnRenamed("id", "bin")
 
 
+def _part(c: str) -> Column:
+    """Part of the total over all bins; the table has one row per bin."""
+    total = F.sum(c).over(Window.partitionBy(F.lit(0)))
+    return F.try_divide(F.col(c).cast("double"), total.cast("double"))
+
+
 def own_tie_probability(spark: SparkSession, edges: DataFrame, users: DataFrame, cells: DataFrame,
                         n_pairs: int = N_RANDOM_PAIRS, seed: int = RANDOM_SEED,
                         min_pairs: int = MIN_NULL_PAIRS, bins: Sequence[float] = DISTANCE_EDGES_KM) -> DataFrame:
@@ -106,10 +112,8 @@ def own_tie_probability(spark: SparkSession, edges: DataFrame, users: DataFrame,
     base = bin_counts(null, "km", "n", bins, True).select("bin", F.col("w").alias("null_n"))
     both = _bins(spark, bins).join(ties.select("bin", F.col("w").alias("edge_n")), "bin", "left").join(
         base, "bin", "left").fillna(0, ["edge_n", "null_n"])
-    sums = both.agg(F.sum("edge_n").alias("_e"), F.sum("null_n").alias("_b"))
-    share = F.try_divide(F.try_divide(F.col("edge_n").cast("double"), F.col("_e").cast("double")),
-                         F.try_divide(F.col("null_n").cast("double"), F.col("_b").cast("double")))
-    return attach(both, sums, ()).select(
+    share = F.try_divide(_part("edge_n"), _part("null_n"))
+    return both.select(
         "bin", midpoints(bins, log=True).alias("distance_km"), "edge_n", "null_n",
         F.when(F.col("null_n") >= min_pairs, share).alias("p"))
 
@@ -140,9 +144,6 @@ def od_tie_probability(spark: SparkSession, od_km: DataFrame, box: tuple[float,
         F.sum("weight").alias("w_all"), F.count("*").alias("n_all"),
         F.sum(F.when(inside, F.col("weight"))).alias("w_box"), F.count(F.when(inside, True)).alias("n_box"))
     full = _bins(spark, bins).join(scoped, "bin", "left").fillna(0)
-    sums = full.agg(*[F.sum(c).alias(f"_{c}") for c in ("w_all", "n_all", "w_box", "n_box")])
-    ratio = lambda k: F.when(F.col(f"n_{k}") >= min_pairs[k], F.try_divide(
-        F.try_divide(F.col(f"w_{k}").cast("double"), F.col(f"_w_{k}").cast("double")),
-        F.col(f"n_{k}") / F.col(f"_n_{k}")))
-    return attach(full, sums, ()).select("bin", midpoints(bins, log=True).alias("distance_km"),
+    ratio = lambda k: F.when(F.col(f"n_{k}") >= min_pairs[k], F.try_divide(_part(f"w_{k}"), _part(f"n_{k}")))
+    return full.select("bin", midpoints(bins, log=True).alias("distance_km"),
                                          ratio("all").alias("p_all"), ratio("box").alias("p_box"))
