@@ -51,8 +51,11 @@ def residualise(s: S):
 SQL["ec_sub"] = "SELECT * FROM ec_res WHERE home_area IN (SELECT home_area FROM person WHERE evacuated = 1 AND distance_km > 150)"
 
 
+# The oracle follows the rule for both cases: more than 100 sampled areas, or all areas unchanged.
 @query("residual_refit", f"""
-SELECT home_area, {R('ec - (regr_intercept(ec, median_income) OVER () + regr_slope(ec, median_income) OVER () * median_income)')} AS ec_residual FROM ec_sub""")
+SELECT home_area, {R('ec - (regr_intercept(ec, median_income) OVER () + regr_slope(ec, median_income) OVER () * median_income)')} AS ec_residual
+FROM ec_sub WHERE (SELECT count(*) FROM ec_sub) > 100
+UNION ALL SELECT home_area, {R('ec_residual')} FROM ec_res WHERE (SELECT count(*) FROM ec_sub) <= 100""")
 def residual_refit(s: S):
     far = person(s).filter("evacuated = 1 and distance_km > 150")
     out = regress.residual_refit(ec_table(s), far, "home_area", "ec", "median_income", "ec_residual")

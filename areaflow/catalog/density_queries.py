@@ -109,8 +109,8 @@ def hist2d(s: S):
     return cells2d(s)
 
 
-@query("class_breaks", """
-SELECT CAST(k AS INTEGER) AS k, CASE WHEN d = 6 THEN qs[k + 1] ELSE lo + (hi - lo) * k / 5.0::DOUBLE END AS boundary
+@query("class_breaks", f"""
+SELECT CAST(k AS INTEGER) AS k, {R('CASE WHEN d = 6 THEN qs[k + 1] ELSE lo + (hi - lo) * k / 5.0::DOUBLE END')} AS boundary
 FROM (SELECT quantile_cont(CAST(n AS DOUBLE), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS qs,
              len(list_distinct(quantile_cont(CAST(n AS DOUBLE), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS d,
              min(n)::DOUBLE AS lo, max(n)::DOUBLE AS hi FROM cells2d) CROSS JOIN (SELECT unnest(range(6)) AS k)""")
