@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.catalog.mobility_queries import centres
-from areaflow.catalog.views import EVENTS, SQL, R, S, places, published, query
+from areaflow.catalog.views import EVENTS, SQL, R, S, places, query
 from areaflow.operators import geo
 
 # --- an irregular 5 x 5 tiling with a hole in the middle area ------------------------------------
