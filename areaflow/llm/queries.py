@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm import decontaminate, jaccard, lines, packing, quality, token_files
+from areaflow.llm import decontaminate, jaccard, lines, packing, quality, suffixes, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("clean", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated substrings."""
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every document."""
     return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_token_files, op5_best_fit_packing, op8_host_rules, op9_line_dedup, op10_jaccard_join)}
+    f.__name__: f for f in (op1_decontamination, op2_token_files, op5_best_fit_packing, op7_suffix_dedup, op8_host_rules, op9_line_dedup, op10_jaccard_join)}
 
 #: Queries whose result SQL can give, by name.
 ORACLES: dict[str, str] = {}
