@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm import decontaminate, jaccard, lines, packing, quality, suffixes, token_files
+from areaflow.llm import chats, decontaminate, jaccard, lines, packing, quality, secrets, suffixes, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, through all layers."""
+    return secrets.found(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place."""
     placed = packing.packed(table(spark, sf_dir, "documents"))
@@ -45,6 +55,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("clean", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation read back from the tree, and one whose texts hold control strings."""
+    text = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"),
+                 F.lit(text).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    return chats.formatted(turns.unionByName(extra))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated substrings."""
     return suffixes.deduplicated(table(spark, sf_dir, "documents"))
@@ -55,8 +75,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_token_files, op5_best_fit_packing, op7_suffix_dedup, op8_host_rules, op9_line_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_decontamination, op2_token_files, op3_toxicity, op4_secrets, op5_best_fit_packing, op6_chat_tree,
+    op7_suffix_dedup, op8_host_rules, op9_line_dedup, op10_jaccard_join)}
 
 #: Queries whose result SQL can give, by name.
 ORACLES: dict[str, str] = {}
