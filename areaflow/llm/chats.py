@@ -107,7 +107,7 @@ def _chained(turns: DataFrame, path: str, loss_role: str) -> DataFrame:
                 held[1].append(n + m + len(end) // 4)
                 held[2].append(head + body + end)
                 if role == loss_role:
-                    held[3] += [total + n, total + n + m]
+                    held[3].extend((total + n, total + n + m))
                 total += held[1][-1]
         if now:
             yield row()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ __all__ = ["KEY", "back_to", "batches", "keyed", "map_arrow", "partitions", "sam
 KEY = "row_key"
 #: Bytes of text that reach a Python worker at once; a longer single text is a batch of its own.
 BATCH_BYTES = 8 << 20
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -47,8 +49,14 @@ def back_to(docs: DataFrame, results: DataFrame, how: str = "left") -> DataFrame
 
 
 def batches(spark: SparkSession) -> None:
-    """Bound the bytes of the Arrow batches sent to Python, so that long texts do not add up."""
+    """Bound the bytes of the Arrow batches sent to Python, so that long texts do not add up.
+
+    Python workers started on this machine also learn where the package lies.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, known)))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
