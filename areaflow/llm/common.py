@@ -39,13 +39,14 @@ def same_row(a: str, b: str) -> Column:
 def back_to(docs: DataFrame, results: DataFrame, how: str = "left") -> DataFrame:
     """Every row of ``docs`` with its result row: columns ``d`` (a struct of all its columns) and ``r``.
 
-    Packing both sides into structs keeps any clash of column names away.
+    Packing both sides into structs keeps any clash of column names away. Texts are the large side of any size of
+    input, so the join is by sorting at all of them: what is shuffled then follows the texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     left = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("doc_id", text).alias(KEY)).alias("l")
     right = results.select(F.struct("*").alias("r"), "doc_id", KEY).alias("x")
-    return left.join(right, same_row("l", "x"), how)
+    return left.join(right.hint("merge"), same_row("l", "x"), how)
 
 
 def batches(spark: SparkSession) -> None:

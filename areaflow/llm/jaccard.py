@@ -354,7 +354,7 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     wanted = block_pairs(grouped.join(blocks, "root"), "root", F.col("k")).groupBy("c", "one", "root", "block").agg(
         F.collect_list(F.struct("i", "j")).alias("pairs")).select(
         F.col("one.doc_id").alias("doc_id"), F.col(f"one.{KEY}").alias(KEY), "c", "root", "block", "pairs")
-    texts = keyed(docs).alias("t").join(wanted.alias("w"), same_row("t", "w")).select(
+    texts = keyed(docs).alias("t").join(wanted.alias("w").hint("merge"), same_row("t", "w")).select(
         "t.text", "w.c", "w.root", "w.block", "w.pairs")
 
     def sets(batch):

@@ -383,7 +383,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     anchors = staged(_anchors(first, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK)), "anchors")
     starts = staged(_repeated(anchors), "starts")
     found = starts.agg(F.sum(F.aggregate("starts", F.lit(0), lambda t, b: t + F.octet_length(b)) / 4)).first()[0] or 0
-    near = first.join(starts, F.col(KEY) == F.col("anchor_key"))
+    near = first.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
     runs_ = staged(_sorted_runs(near, max(1, int(found) // CONTEXTS_A_TASK)), "runs")
     met = staged(_meet(runs_), "met")
     loose = met.filter("string is not null").select("doc_id", KEY, "start", "string")
@@ -420,12 +420,12 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     later = digests.join(least, "digest").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col(KEY) == F.col(f"one.{KEY}")))).select("doc_id", KEY).distinct()
     # Rows equal in id and text reach the operator once.
-    first = rows.alias("t").join(firsts.alias("f"), same_row("t", "f")).select("t.*")
+    first = rows.alias("t").join(firsts.alias("f").hint("merge"), same_row("t", "f")).select("t.*")
     if digests.count() != digests.select("doc_id", KEY).distinct().count():
         first = first.dropDuplicates(["doc_id", KEY])
     marks = repeats(first).withColumn("copy", F.lit(False)).unionByName(
         later.withColumn("spans", F.lit(None).cast("array<binary>")).withColumn("copy", F.lit(True)))
-    both = rows.alias("t").join(staged(marks, "spans").alias("m"), same_row("t", "m"), "left").select(
+    both = rows.alias("t").join(staged(marks, "spans").alias("m").hint("merge"), same_row("t", "m"), "left").select(
         "t.doc_id", "t.text", "m.spans", "m.copy")
 
     def run(batch):
