@@ -15,10 +15,13 @@ import re
 import numpy as np
 
 #: Entries a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
+_SPACES = re.compile(r"\s\s")
 #: Characters whose classes are the same in every Unicode version; parts with others go to the tokenizer.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+STOPS = (".", ",")
 _SETTLED = re.compile(r"[\t-\r\x20-\x7e\xa1-ɏ]*")
 
 
@@ -30,29 +33,40 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class _Pretokens(dict):
+    """Ids of what the tokenizer's pattern finds in a part."""
+
     def __init__(self, model):
         super().__init__()
         self.model, self.table = model, _visible_bytes()
 
+    def ids(self, token: str) -> bytes:
+        mapped = token.encode().decode("latin1").translate(self.table)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+
     def __missing__(self, token: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        mapped = token.encode().decode("latin1").translate(self.table)
-        ids = self[token] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        ids = self[token] = self.ids(token)
         return ids
 
 
 class _Parts(dict):
-    """Ids of a space and what follows it, up to the next space."""
+    """Ids of a space and what follows it, up to the next space; most are a word, perhaps with a stop."""
 
     def __init__(self, encoder: TextEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.pretokens = encoder, encoder.pretokens
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[part] = self.encoder.piece(" " + part)
+        if _LETTERS(part):
+            ids = self.pretokens.ids(" " + part)
+        elif part[-1:] in STOPS and _LETTERS(part, 0, len(part) - 1):
+            ids = self[part[:-1]] + self.pretokens[part[-1]]
+        else:
+            ids = self.encoder.piece(" " + part)
+        self[part] = ids
         return ids
 
 
@@ -81,7 +95,7 @@ class TextEncoder:
         return b"".join(map(self.pretokens.__getitem__, self.split(part)))
 
     def __call__(self, text: str) -> bytes:
-        if not self.byte_level or _BESIDE_SPACE.search(text):
+        if not self.byte_level or _SPACES.search(text) and _BESIDE_SPACE.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         if not first or not rest or not rest[-1]:
