@@ -84,7 +84,8 @@ class TextEncoder:
         self.byte_level = (pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre
                            and self.tokenizer.normalizer is None)
         self.split = regex.compile(PATTERN).findall
-        self.pretokens, self.parts = _Pretokens(self.tokenizer.model), _Parts(self)
+        self.pretokens = _Pretokens(self.tokenizer.model)
+        self.parts = _Parts(self)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
