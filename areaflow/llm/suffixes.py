@@ -48,9 +48,9 @@ WINDOW = SPAN - GRAM + 1
 SEGMENT = 1 << 21
 GROUP_CONTEXTS = 20_000
 #: Records a reducing task should see.
-ANCHORS_A_TASK, CONTEXTS_A_TASK = 2 << 20, 1 << 18
+ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 19, 1 << 17
 #: Bytes a map task collects before it sends a run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 _NULL = -(1 << 63)
 _ANCHOR = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<u4"), ("twice", "?")])
 _TABLE = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64)
@@ -306,7 +306,8 @@ def _sorted_runs(near: DataFrame, parts: int) -> DataFrame:
                         continue
                     earlier, later = sorted((other, place))
                     held[suffix] = earlier
-                    spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
+                    if earlier != later:  # else a row that came twice
+                        spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
             if size >= RUN_BYTES:
                 yield _batch(send(), names)
                 held, size = {}, 0
@@ -361,7 +362,8 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
             elif group and common >= len(suffix) and len(group[-1][1]) == len(suffix):
                 earlier, later = sorted((group[-1][0], place))
                 group[-1] = (earlier, suffix)
-                spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
+                if earlier != later:
+                    spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
                 continue
             group.append((place, suffix))
         close()
@@ -373,17 +375,19 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
     return sorted_runs.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(meet, schema)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per document (first copies only) the spans of bytes to remove, as packed pairs: ``doc_id, row_key, spans``."""
-    spark = docs.sparkSession
+def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Per document the spans of bytes to remove, as packed pairs: ``doc_id, row_key, spans``.
+
+    ``rows`` come from ``keyed``; documents whose key is in ``settled`` are not looked into.
+    """
+    spark = rows.sparkSession
     batches(spark)
-    first = docs
     size = F.octet_length("text")
-    n = first.agg(F.sum(size)).first()[0] or 0
-    anchors = staged(_anchors(first, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK)), "anchors")
-    starts = staged(_repeated(anchors), "starts")
+    n = rows.agg(F.sum(size)).first()[0] or 0
+    anchors = staged(_anchors(rows, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK)), "anchors")
+    starts = staged(_repeated(anchors).join(settled, F.col("anchor_key") == F.col(KEY), "left_anti"), "starts")
     found = starts.agg(F.sum(F.aggregate("starts", F.lit(0), lambda t, b: t + F.octet_length(b)) / 4)).first()[0] or 0
-    near = first.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
+    near = rows.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
     runs_ = staged(_sorted_runs(near, max(1, int(found) // CONTEXTS_A_TASK)), "runs")
     met = staged(_meet(runs_), "met")
     loose = met.filter("string is not null").select("doc_id", KEY, "start", "string")
@@ -416,14 +420,12 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     rows = keyed(docs)
     digests = staged(rows.select("doc_id", KEY, F.octet_length("text").alias("n"), F.md5("text").alias("digest")), "digests")
     least = digests.filter(F.col("n") >= SPAN).groupBy("digest").agg(F.min(F.struct("doc_id", KEY)).alias("one"))
-    firsts = least.select(F.col("one.doc_id").alias("doc_id"), F.col(f"one.{KEY}").alias(KEY))
-    later = digests.join(least, "digest").filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col(KEY) == F.col(f"one.{KEY}")))).select("doc_id", KEY).distinct()
-    # Rows equal in id and text reach the operator once.
-    first = rows.alias("t").join(firsts.alias("f").hint("merge"), same_row("t", "f")).select("t.*")
-    if digests.count() != digests.select("doc_id", KEY).distinct().count():
-        first = first.dropDuplicates(["doc_id", KEY])
-    marks = repeats(first).withColumn("copy", F.lit(False)).unionByName(
+    known = staged(digests.join(least, "digest", "left").select("doc_id", KEY, F.coalesce(
+        ~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col(KEY) == F.col(f"one.{KEY}"))), F.lit(False)).alias("copy")), "copies")
+    # Only small tables say which documents are copies; the texts move for the spans and for the result.
+    settled = known.groupBy(KEY).agg(F.min("copy").alias("all")).filter("all").select(KEY)
+    later = known.filter("copy").select("doc_id", KEY).distinct()
+    marks = repeats(rows, settled).withColumn("copy", F.lit(False)).unionByName(
         later.withColumn("spans", F.lit(None).cast("array<binary>")).withColumn("copy", F.lit(True)))
     both = rows.alias("t").join(staged(marks, "spans").alias("m").hint("merge"), same_row("t", "m"), "left").select(
         "t.doc_id", "t.text", "m.spans", "m.copy")
