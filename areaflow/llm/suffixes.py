@@ -420,8 +420,8 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     rows = keyed(docs)
     digests = staged(rows.select("doc_id", KEY, F.octet_length("text").alias("n"), F.md5("text").alias("digest")), "digests")
     least = digests.filter(F.col("n") >= SPAN).groupBy("digest").agg(F.min(F.struct("doc_id", KEY)).alias("one"))
-    known = staged(digests.join(least, "digest", "left").select("doc_id", KEY, F.coalesce(
-        ~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col(KEY) == F.col(f"one.{KEY}"))), F.lit(False)).alias("copy")), "copies")
+    known = staged(digests.join(least, "digest", "left").select("doc_id", KEY, (F.col("one").isNotNull() & ~(
+        F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & F.col(KEY).eqNullSafe(F.col(f"one.{KEY}")))).alias("copy")), "copies")
     # Only small tables say which documents are copies; the texts move for the spans and for the result.
     settled = known.groupBy(KEY).agg(F.min("copy").alias("all")).filter("all").select(KEY)
     later = known.filter("copy").select("doc_id", KEY).distinct()
