@@ -34,6 +34,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import KEY, arrow_schema, batches, keyed, map_arrow, same_row, staged
+from areaflow.llm.common import KEY, arrow_schema, batches, keyed, map_arrow, partitions, same_row, staged
 
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
-SEGMENT = 1 << 21
-GROUP_CONTEXTS = 20_000
+SEGMENT = 1 << 18
+GROUP_CONTEXTS = 4_000
+LOOSE_ROWS = 20_000
 #: Records a reducing task should see.
 ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 19, 1 << 17
 #: Bytes a map task collects before it sends a run.
@@ -258,9 +260,9 @@ def decoded(blob: bytes):
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     known = np.frombuffer(raw, "<u2", n, 4).tolist()
     sizes = np.frombuffer(raw, "<u2", n, 4 + 2 * n).tolist()
-    places = np.frombuffer(raw, _PLACE, n, 4 + 4 * n)
+    places = (p.item() for p in np.frombuffer(raw, _PLACE, n, 4 + 4 * n))
     at, before = 4 + (4 + _PLACE.itemsize) * n, b""
-    for k, m, place in zip(known, sizes, places.tolist(), strict=True):
+    for k, m, place in zip(known, sizes, places, strict=True):
         before = before[:k] + raw[at:at + m]
         at += m
         yield before, k, place
@@ -334,45 +336,76 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
     """Spans that repeat, and single strings of very common grams: ``doc_id, row_key, spans, start, string``."""
     schema = "doc_id long, row_key long, spans binary, start long, string binary"
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        spans, loose = defaultdict(list), []
-        group: list[tuple[tuple, bytes]] = []
-
-        def close():
-            if len(group) > GROUP_CONTEXTS:
-                loose.extend((p[0], p[1], s, x) for p, suffix in group for s, x in _strings(suffix, p))
-            elif len(group) > 1:
-                group.sort()
-                seen = set()
-                for place, suffix in group:
-                    for s, x in _strings(suffix, place):
-                        if x in seen:
-                            own = spans[place[:2]]
-                            if own and own[-1][0] <= s <= own[-1][1] - SPAN + 1:
-                                own[-1] = (own[-1][0], s + SPAN)
-                            else:
-                                own.append((s, s + SPAN))
-                        else:
-                            seen.add(x)
-            group.clear()
-
-        for suffix, common, place in merged([decoded(b) for b in rows["run"]]):
+    names = arrow_schema(schema)
+
+    def loose(group):
+        for place, suffix in group:
+            doc = None if place[0] == _NULL else place[0]
+            yield from ([doc, place[1], None, s, x] for s, x in _strings(suffix, place))
+
+    def close(group, spans):
+        group.sort()
+        seen = set()
+        for place, suffix in group:
+            own = spans[place[:2]]
+            for s, x in _strings(suffix, place):
+                if x not in seen:
+                    seen.add(x)
+                elif own and own[-1][0] <= s <= own[-1][1] - SPAN + 1:
+                    own[-1] = (own[-1][0], s + SPAN)
+                else:
+                    own.append((s, s + SPAN))
+
+    def part(blobs):
+        """The output of one range: strings of a very common gram as soon as it is over, spans at the end."""
+        spans, group, wide = defaultdict(list), [], False
+        for suffix, common, place in merged([decoded(b) for b in blobs]):
             if common < 8 + GRAM:
-                close()
+                if wide:
+                    yield from loose(group)
+                elif len(group) > 1:
+                    close(group, spans)
+                group, wide = [], False
             elif group and common >= len(suffix) and len(group[-1][1]) == len(suffix):
                 earlier, later = sorted((group[-1][0], place))
                 group[-1] = (earlier, suffix)
                 if earlier != later:
                     spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
                 continue
+            elif len(group) >= GROUP_CONTEXTS:
+                # The last stays, as equal ones may follow it.
+                yield from loose(group[:-1])
+                group, wide = group[-1:], True
             group.append((place, suffix))
-        close()
-        out = [(None if d == _NULL else d, k, np.array(v, "<u4").tobytes(), None, None) for (d, k), v in spans.items()]
-        out += [(None if d == _NULL else d, k, None, s, x) for d, k, s, x in loose]
-        return pd.DataFrame(out, columns=["doc_id", "row_key", "spans", "start", "string"]).astype(
-            {"doc_id": "Int64", "row_key": "int64", "start": "Int64"})
+        if wide:
+            yield from loose(group)
+        elif len(group) > 1:
+            close(group, spans)
+        for (d, k), v in spans.items():
+            if v:
+                yield [None if d == _NULL else d, k, np.array(v, "<u4").tobytes(), None, None]
 
-    return sorted_runs.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(meet, schema)
+    def run(it):
+        def ranges():
+            now, blobs = None, []
+            for batch in it:
+                for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if number != now and blobs:
+                        yield blobs
+                        blobs = []
+                    now = number
+                    blobs.append(blob)
+            if blobs:
+                yield blobs
+
+        for blobs in ranges():
+            rows = part(blobs)
+            while some := list(islice(rows, LOOSE_ROWS)):
+                yield _batch(some, names)
+
+    n = partitions(sorted_runs.sparkSession)
+    return (sorted_runs.filter("part >= 0").select("part", "run").repartition(n, "part").sortWithinPartitions("part")
+            .mapInArrow(run, schema))
 
 
 def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
