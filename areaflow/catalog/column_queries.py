@@ -134,18 +134,20 @@ def unpivot_shares(s: S):
 
 @query("complete_domain", """
 SELECT s.c_mktsegment AS segment, r.r_name AS region, coalesce(n, 0) AS n
-FROM (SELECT DISTINCT c_mktsegment FROM customer) s CROSS JOIN region r
+FROM (SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT 'UNSERVED') s CROSS JOIN region r
 LEFT JOIN (SELECT c_mktsegment, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
-           JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9900 GROUP BY 1, 2) c
+           JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) c
   ON c.c_mktsegment = s.c_mktsegment AND c.r_name = r.r_name""")
 def complete_domain(s: S):
-    """Counts over a fixed segment x region domain; missing combinations are filled with zero."""
+    """Counts over a segment x region domain wider than the data; missing combinations are filled with zero."""
     c = s.table("customer").join(s.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
         s.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("region"), "c_acctbal")
+        F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("region"))
     regions = s.table("region").select(F.collect_set("r_name").alias("r"))
-    domain = c.select("segment").distinct().withColumn("region", F.explode(regions.scalar()))
-    counts = c.filter("c_acctbal > 9900").groupBy("segment", "region").agg(F.count("*").alias("n"))
+    served = c.select("segment").distinct()
+    unserved = s.spark.createDataFrame([("UNSERVED",)], "segment string")
+    domain = served.unionByName(unserved).withColumn("region", F.explode(regions.scalar()))
+    counts = c.groupBy("segment", "region").agg(F.count("*").alias("n"))
     return complete(counts, domain, ["segment", "region"], {"n": 0})
 
 
@@ -158,12 +160,12 @@ def zscore_by_group(s: S):
                             ["c_mktsegment"]).select("c_custkey", "c_acctbal_z"))
 
 
-@query("span_matrix", """
-SELECT num_stays, """ + ", ".join(f"{R(f'log10(coalesce(sum(CASE WHEN duration_days = {d} THEN 1 END), 0) + 1)')} AS s{d}" for d in (27, 28, 29, 30)) + """
-FROM (SELECT num_stays, duration_days FROM spans WHERE duration_days BETWEEN 27 AND 30) GROUP BY 1""")
+@query("span_matrix", f"""
+SELECT num_stays, duration_days, {R('log10(count(*) + 1)')} AS log_count FROM spans GROUP BY 1, 2""")
 def span_matrix(s: S):
-    levels = mobility.activity_levels(mobility.user_spans(stays(s))).filter(F.col("duration_days").between(27, 30))
-    return published(density.span_matrix(levels, "num_stays", "duration_days", "count", [27, 28, 29, 30]))
+    """All spans in long form; a report pivots the columns it lists."""
+    levels = mobility.activity_levels(mobility.user_spans(stays(s)))
+    return published(levels.select("num_stays", "duration_days", F.log10(F.col("count") + 1).alias("log_count")))
 
 
 @query("displaced_flags", """

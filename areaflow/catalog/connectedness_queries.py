@@ -94,7 +94,7 @@ def group_shares(s: S):
     return published(shares_table(s))
 
 
-@query("widest_event", "SELECT disaster, CAST(sum(n_area) AS BIGINT) AS n_area FROM g_share GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1")
+@query("widest_event", "SELECT disaster, CAST(sum(n_area) AS BIGINT) AS n_area FROM g_share GROUP BY 1 ORDER BY 2 DESC, 1 ASC LIMIT 1")
 def widest_event(s: S):
     return K.widest_event(shares_table(s))
 
@@ -200,7 +200,7 @@ SQL["tie_km"] = f"""
 SELECT CASE WHEN a.area_id = b.area_id THEN sqrt(a.area_km2) ELSE {_hav('a', 'b')} END AS km
 FROM edges e JOIN users u ON u.user_id = e.u JOIN users v ON v.user_id = e.v
 JOIN tie_cells a ON a.cell_id = u.home_cell JOIN tie_cells b ON b.cell_id = v.home_cell WHERE e.n_total >= 2"""
-_N = 100_000
+_N = ties.N_RANDOM_PAIRS
 SQL["user_pos"] = """
 SELECT home_cell, row_number() OVER (ORDER BY home_cell % 256, home_cell, user_id) - 1 AS pos FROM users"""
 SQL["null_km"] = f"""

@@ -66,23 +66,26 @@ def evac_status(s: S):
     return dwell.evacuation_status(coarse_places(s))
 
 
+_LISTED = (*THRESHOLDS, 99_999)  # the last is reached by nobody
 _SUMMARY = """
-SELECT disaster, CAST(threshold_minutes AS INTEGER) AS threshold_minutes, count(pre_area) AS n_users_with_pre_home,
+SELECT l.disaster AS disaster, CAST(l.threshold_minutes AS INTEGER) AS threshold_minutes, count(pre_area) AS n_users_with_pre_home,
        count(crisis_area) AS n_users_with_disaster_week_location,
        CAST(coalesce(sum(CASE WHEN pre_area IS NOT NULL AND crisis_area <> pre_area THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_evacuated,
        {rate} AS evacuation_rate
-FROM {src} GROUP BY 1, 2"""
+FROM (SELECT * FROM (VALUES """ + ", ".join(f"('{e.label}')" for e in EVENTS) + """) e(disaster),
+      (VALUES """ + ", ".join(f"({t})" for t in _LISTED) + """) t(threshold_minutes)) l
+LEFT JOIN {src} p ON p.disaster = l.disaster AND p.threshold_minutes = l.threshold_minutes GROUP BY 1, 2"""
 _RATE = R("sum(CASE WHEN pre_area IS NOT NULL AND crisis_area <> pre_area THEN 1.0 ELSE 0.0 END) / nullif(count(pre_area), 0)")
 
 
 @query("evac_summary", _SUMMARY.format(rate=_RATE, src="ep_coarse"))
 def evac_summary(s: S):
-    return published(dwell.evacuation_summary(coarse_places(s)))
+    return published(dwell.evacuation_summary(coarse_places(s), EVENTS, _LISTED))
 
 
 @query("evac_summary_fine", _SUMMARY.format(rate=_RATE, src="ep_fine"))
 def evac_summary_fine(s: S):
-    return published(dwell.evacuation_summary(fine_places(s)))
+    return published(dwell.evacuation_summary(fine_places(s), EVENTS, _LISTED))
 
 
 SQL["cohort60"] = """

@@ -121,19 +121,19 @@ def points_per_area(s: S):
         F.sum("n").alias("n"))
 
 
-# --- exposure: errors are observation points of two storms, radii from their values ---------------
+# --- exposure: events are observation points of two storms, radii from their values ---------------
 
 _QUADS = ("ne", "se", "sw", "nw")
 SQL["track"] = """
 SELECT CASE WHEN event_id % 2 = 0 THEN 'Storm A' ELSE 'Storm B' END AS disaster,
   24.0::DOUBLE + (event_id * 13 % 1200) / 100.0::DOUBLE AS lat, -101.0::DOUBLE + (event_id * 29 % 1200) / 100.0::DOUBLE AS lon,
   """ + ", ".join(f"greatest(value / {t} * {f} - 3.0::DOUBLE, 0.0::DOUBLE) AS r{t}_{q}" for t in (34, 50, 64) for q, f in zip(_QUADS, (8, 6, 4, 5))) + """
-FROM events WHERE event_type = 'error' AND value > 250"""
+FROM events"""
 
 
 def track(s: S) -> DataFrame:
     e = F.col("event_id")
-    return s.table("events").filter("event_type = 'error' and value > 250").select(
+    return s.table("events").select(
         F.when(e % 2 == 0, EVENTS[0].label).otherwise(EVENTS[1].label).alias("disaster"),
         (F.lit(24.0) + (e * 13 % 1200) / 100.0).alias("lat"), (F.lit(-101.0) + (e * 29 % 1200) / 100.0).alias("lon"),
         *[F.greatest(F.col("value") / t * f - 3.0, F.lit(0.0)).alias(f"r{t}_{q}")

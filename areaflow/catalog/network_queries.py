@@ -38,10 +38,14 @@ def interaction_edges(s: S):
     return N.interaction_edges(voice(s), sms(s), users(s))
 
 
+_LISTED = (*N.EDGE_THRESHOLDS, 99_999)  # no pair has so many contacts
+
+
 @query("edges_by_threshold", """
-SELECT threshold_m, CAST(sum(degree) // 2 AS BIGINT) AS n_edges, count(*) AS n_nodes FROM deg GROUP BY 1""")
+SELECT CAST(l.m AS INTEGER) AS threshold_m, CAST(coalesce(sum(degree), 0) // 2 AS BIGINT) AS n_edges, count(degree) AS n_nodes
+FROM (VALUES """ + ", ".join(f"({t})" for t in _LISTED) + """) l(m) LEFT JOIN deg ON threshold_m = l.m GROUP BY 1""")
 def edges_by_threshold(s: S):
-    return N.network_size(N.degrees(edges(s)))
+    return N.network_size(N.degrees(edges(s), _LISTED), _LISTED)
 
 
 @query("degree", "SELECT * FROM deg")

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner", few: bool = True) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner", few: bool = False) -> DataFrame:
     """Add per-group statistics (one row per group) to every row.
 
-    ``few`` states that the keys are report keys - events, thresholds, metrics, outcomes - whose
-    combinations are listed in the job's parameters. The statistics are then a handful of
-    rows and are broadcast, which spares shuffling the rows onto as few partitions as there are
-    groups. With keys that grow with the data pass ``few=False``: a plain equi-join.
+    A plain equi-join: Spark broadcasts statistics whose size it has seen to be small, and splits
+    hot keys of others. ``few`` forces the broadcast; only for keys whose combinations are listed in
+    the job's parameters.
     Without keys the single statistics row is read as a scalar subquery.
     """
     if by:

@@ -98,10 +98,10 @@ def group_shares(person: DataFrame, ec: DataFrame, thresholds: Sequence[int] = D
 
 
 def widest_event(shares: DataFrame) -> DataFrame:
-    """Event covering most areas over all groups and thresholds."""
+    """Event covering most areas over all groups and thresholds; of equals the first by name."""
     sizes = shares.groupBy("disaster").agg(F.sum("n_area").alias("n_area"))
-    best = F.max(F.struct(F.col("n_area"), F.col("disaster"))).alias("_m")
-    return sizes.agg(best).select(F.col("_m.disaster").alias("disaster"), F.col("_m.n_area").alias("n_area"))
+    best = F.min(F.struct((-F.col("n_area")).alias("less"), F.col("disaster"), F.col("n_area"))).alias("_m")
+    return sizes.agg(best).filter("_m is not null").select(F.col("_m.disaster").alias("disaster"), F.col("_m.n_area").alias("n_area"))
 
 
 # --- destinations ---------------------------------------------------------------------

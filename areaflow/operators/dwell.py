@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions.columns import (between_dates, clip, event_windows, is_night, night_anchor,
                                         planar_km, relative_day, thresholds_met, week_start)
-from areaflow.functions.frames import top_one
+from areaflow.functions.frames import complete, top_one
 
 # Defaults of the evacuation and displacement definitions.
 EVAC_THRESHOLDS_MIN = (240, 480, 720, 960, 1200, 1440, 1680, 1920)
@@ -144,14 +144,18 @@ def evacuation_status(places: DataFrame) -> DataFrame:
     return places.filter(F.col("pre_area").isNotNull()).withColumn("evacuated", moved())
 
 
-def evacuation_summary(places: DataFrame) -> DataFrame:
-    """Counts and rate per event and threshold."""
+def evacuation_summary(places: DataFrame, events: Sequence[Event], thresholds: Sequence[int]) -> DataFrame:
+    """Counts and rate per event and threshold; zeros and no rate where nobody reaches a threshold."""
     moved_n = F.sum(F.when(F.col("pre_area").isNotNull(), moved()).otherwise(0))
-    return places.groupBy("disaster", "threshold_minutes").agg(
+    counts = places.groupBy("disaster", "threshold_minutes").agg(
         F.count("pre_area").alias("n_users_with_pre_home"),
         F.count("crisis_area").alias("n_users_with_disaster_week_location"),
-        moved_n.alias("n_evacuated"),
-    ).withColumn("evacuation_rate", F.try_divide(
+        moved_n.cast("long").alias("n_evacuated"),
+    )
+    listed = places.sparkSession.createDataFrame(
+        [(e.label, int(t)) for e in events for t in thresholds], "disaster string, threshold_minutes int")
+    names = ["n_users_with_pre_home", "n_users_with_disaster_week_location", "n_evacuated"]
+    return complete(counts, listed, ["disaster", "threshold_minutes"], dict.fromkeys(names, 0)).withColumn("evacuation_rate", F.try_divide(
         F.col("n_evacuated").cast("double"), F.col("n_users_with_pre_home").cast("double")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import finite_or_null, thresholds_met
-from areaflow.functions.frames import attach, exact_quantiles
+from areaflow.functions.frames import attach, complete, exact_quantiles
 from areaflow.operators.density import histogram, kde, linear_edges, pmf
 
 # Thresholds of the network sweeps and ranges of the metric densities.
@@ -74,10 +74,12 @@ def degrees(edges: DataFrame, thresholds: Sequence[int] = EDGE_THRESHOLDS) -> Da
         F.col("_p.t").alias("threshold_m"), "node", F.col("_p.d").alias("degree"))
 
 
-def network_size(degree: DataFrame) -> DataFrame:
-    """Edges and nodes per threshold; every edge adds two to the degree sum."""
-    return degree.groupBy("threshold_m").agg(
+def network_size(degree: DataFrame, thresholds: Sequence[int] = EDGE_THRESHOLDS) -> DataFrame:
+    """Edges and nodes per threshold, zero where there are none; every edge adds two to the degree sum."""
+    sizes = degree.groupBy("threshold_m").agg(
         (F.sum("degree") / 2).cast("long").alias("n_edges"), F.count("*").alias("n_nodes"))
+    listed = degree.sparkSession.createDataFrame([(int(t),) for t in thresholds], "threshold_m int")
+    return complete(sizes, listed, ["threshold_m"], {"n_edges": 0, "n_nodes": 0})
 
 
 def degree_pmf(degree: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def tie_network(inp: TieInputs, min_night_events: int = mobility.MIN_HOME_NIGHT_
         "users": users,
         "edges": edges,
         "homes_by_threshold": mobility.homes_by_threshold(homes, home_thresholds),
-        "edges_by_threshold": network.network_size(degree),
+        "edges_by_threshold": network.network_size(degree, thresholds),
         "degree_by_threshold": network.degree_pmf(degree),
         "degree_distribution": network.degree_histogram(degree, main_threshold),
         "unique_places_distribution": D.histogram(places, "n_places", D.linear_edges(0, 100, 50)),
@@ -133,7 +133,7 @@ def evacuation(stays: DataFrame, events: Sequence[Event], place_area: DataFrame,
     cohort = staged(dwell.cohort(places, area_xy, main), "cohort")
     far = cohort.filter((F.col("evacuated") == 1) & (F.col("distance_km") <= max_km))
     return {
-        "threshold_summary": dwell.evacuation_summary(places),
+        "threshold_summary": dwell.evacuation_summary(places, events, thresholds),
         "distance_kde": D.kde(far, "distance_km", 0.0, max_km, 500, ["disaster"], min_values=5, zero_upto=1.0),
         "cohort": cohort,
     }

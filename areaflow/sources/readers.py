@@ -49,11 +49,13 @@ def read_daily(spark: SparkSession, path: str, columns: Sequence[str], start: da
 def read_typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """CSV columns by name with declared types, so codes declared as strings keep leading zeros.
 
-    The order of columns in the files does not matter and others are not read. A value that
-    does not fit its type becomes null.
+    Columns not named are not read. A value that does not fit its type becomes null. All files
+    must have the header of the first: one with another order or set of columns is an error when it is
+    read, as its values would land under other names.
     """
     want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = require_columns(spark.read.option("header", True).csv(path), want.names, str(path))
+    first = require_columns(spark.read.option("header", True).csv(path), want.names, str(path))
+    raw = spark.read.option("header", True).option("enforceSchema", False).schema(first.schema).csv(path)
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in want.fields])
 
 

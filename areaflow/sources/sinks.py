@@ -42,7 +42,9 @@ def written_days(df_path: str, spark) -> list:
     """Days already written. One value per day folder."""
     try:
         done = spark.read.parquet(df_path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return [r["day"] for r in done.select("day").distinct().collect()]
 

@@ -18,15 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache(maxsize=1)
 def _scratch() -> str:
-    """Folder for a session without a configured one (tests); removed when Python ends."""
+    """Folder for a local session without a configured one (tests); removed when Python ends."""
     path = tempfile.mkdtemp(prefix="areaflow-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch one only if unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _scratch()
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a scratch folder; on a cluster, whose machines would
+    each write to their own disk, it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return _scratch()
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -64,10 +64,11 @@ def test_evacuation_status_by_hand(spark, areas):
     assert got[("moved", 240)] == ("01", "02") and got[("moved", 480)] == (None, "02")
     assert got[("gone", 240)] == ("02", None) and got[("late", 240)] == (None, "01")
     assert got[("tie", 240)] == ("01", "02") and not any(p == "small" for p, _ in got)
-    row = {r.threshold_minutes: r for r in dwell.evacuation_summary(places).collect()}
+    row = {r.threshold_minutes: r for r in dwell.evacuation_summary(places, [EVENT], (240, 480, 9999)).collect()}
     assert (row[240].n_users_with_pre_home, row[240].n_users_with_disaster_week_location, row[240].n_evacuated) == (4, 4, 2)
     assert row[240].evacuation_rate == 0.5
     assert row[480].n_users_with_pre_home == 0 and row[480].evacuation_rate is None
+    assert row[9999].n_evacuated == 0 and row[9999].evacuation_rate is None
     xy = spark.createDataFrame([("01", 0.0, 0.0), ("02", 3000.0, 4000.0)], "area_id string, x double, y double")
     c = {r.pid: r.distance_km for r in dwell.cohort(places, xy, 240).collect()}
     assert c == {"home": 0.0, "moved": 5.0, "gone": None, "tie": 5.0}

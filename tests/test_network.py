@@ -80,8 +80,8 @@ def test_connectedness_counts_missing_income_as_low(spark):
 
 def test_degree_sizes(spark):
     edges, _ = graph(spark, [(1, 2, 5), (1, 3, 1)], {1: "A", 2: "A", 3: "A"})
-    got = {r.threshold_m: (r.n_edges, r.n_nodes) for r in N.network_size(N.degrees(edges, [1, 2, 9])).collect()}
-    assert got == {1: (2, 3), 2: (1, 2)}
+    got = {r.threshold_m: (r.n_edges, r.n_nodes) for r in N.network_size(N.degrees(edges, [1, 2, 9]), [1, 2, 9]).collect()}
+    assert got == {1: (2, 3), 2: (1, 2), 9: (0, 0)}
     p = {(r.threshold_m, r.degree): r.p for r in N.degree_pmf(N.degrees(edges, [1])).collect()}
     assert p == {(1, 1): pytest.approx(2 / 3), (1, 2): pytest.approx(1 / 3)}
 

@@ -116,3 +116,10 @@ def test_csv_is_read_by_name(spark, tmp_path):
 def test_index_codes_are_padded_before_use(spark, tmp_path):
     (tmp_path / "s.csv").write_text("user_country,friend_country,user_region,friend_region,scaled_sci\nUS,US,501,10001,7\nUS,CA,501,1,7\n")
     assert [tuple(r) for r in readers.read_od_index(spark, str(tmp_path)).collect()] == [("00501", "10001", 7.0)]
+
+
+def test_csv_with_another_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,income\n00501,5.5\n")
+    (tmp_path / "b.csv").write_text("income,code\n7.5,00503\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_typed_csv(spark, str(tmp_path), "code string, income double").collect()
