@@ -34,7 +34,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from hashlib import sha256
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -113,7 +113,8 @@ def _pieces(rec: np.ndarray, part: np.ndarray, column: str):
 def _anchors(first: DataFrame, parts: int) -> DataFrame:
     """Anchor hashes by range, one record for each hash and task, marked if the task has it twice.
 
-    Later places of a hash in the same task are known to be repeats; they go to part -1, which nobody sorts.
+    Later places of a hash in the same task are known to be repeats; they are marked and dealt out by
+    document, so a hash in a third of all documents does not fill its range.
     """
 
     def run(it):
@@ -123,9 +124,10 @@ def _anchors(first: DataFrame, parts: int) -> DataFrame:
             rec = np.concatenate(held)
             rec = rec[np.argsort(rec["h"], kind="stable")]
             again = np.append(False, rec["h"][1:] == rec["h"][:-1])
-            rec["twice"][:-1] = again[1:]
+            rec["twice"] = again
+            rec["twice"][:-1] |= again[1:]
             part = np.minimum((rec["h"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), parts - 1).astype(np.int64)
-            part[again] = -1
+            part[again] = rec["key"][again] % parts
             return _pieces(rec, part, "records")
 
         for batch in it:
@@ -166,14 +168,8 @@ def _repeated(anchors: DataFrame) -> DataFrame:
         same = rec["h"][1:] == rec["h"][:-1]
         return _by_document(rec[rec["twice"] | np.append(same, False) | np.append(False, same)])
 
-    def known(it):
-        for rows in it:
-            yield _by_document(_unpack(rows["records"]))
-
-    schema = "anchor_key long, starts binary"
-    met = anchors.filter("part >= 0").groupBy("part").applyInPandas(meet, schema)
-    return met.unionByName(anchors.filter("part < 0").select("records").mapInPandas(known, schema)).groupBy(
-        "anchor_key").agg(F.collect_list("starts").alias("starts"))
+    met = anchors.groupBy("part").applyInPandas(meet, "anchor_key long, starts binary")
+    return met.groupBy("anchor_key").agg(F.collect_list("starts").alias("starts"))
 
 
 def shared(a: bytes, b: bytes, known: int) -> int:
@@ -274,7 +270,7 @@ def context(raw: bytes, h: int, first: int, last: int, anchor: int) -> bytes:
 
 
 def _sorted_runs(near: DataFrame, parts: int) -> DataFrame:
-    """Front-coded runs by range (``part``), and spans already known to repeat (part -1)."""
+    """Front-coded runs by range (``part``), and spans already known to repeat, dealt out by document."""
     schema = "part int, run binary, doc_id long, row_key long, spans binary"
     names = arrow_schema(schema)
 
@@ -288,7 +284,7 @@ def _sorted_runs(near: DataFrame, parts: int) -> DataFrame:
             for suffix, place in rows:
                 by[int.from_bytes(suffix[:4], "big") * parts >> 32].append((suffix, place))
             yield from ([p, front_coded(r), None, None, None] for p, r in by.items())
-            yield from ([-1, None, None if d == _NULL else d, k, np.array(v, "<u4").tobytes()] for (d, k), v in spans.items())
+            yield from ([k % parts, None, None if d == _NULL else d, k, np.array(v, "<u4").tobytes()] for (d, k), v in spans.items())
 
         for batch in it:
             for doc, key, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -333,7 +329,7 @@ def _strings(suffix: bytes, place: tuple):
 
 
 def _meet(sorted_runs: DataFrame) -> DataFrame:
-    """Spans that repeat, and single strings of very common grams: ``doc_id, row_key, spans, start, string``."""
+    """Spans that repeat (those known before pass through), and single strings of very common grams: ``doc_id, row_key, spans, start, string``."""
     schema = "doc_id long, row_key long, spans binary, start long, string binary"
 
     names = arrow_schema(schema)
@@ -389,22 +385,25 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
         def ranges():
             now, blobs = None, []
             for batch in it:
-                for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for number, blob, *span in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if number != now and blobs:
-                        yield blobs
+                        yield blobs, []
                         blobs = []
                     now = number
-                    blobs.append(blob)
+                    if blob is None:
+                        yield [], [[*span, None, None]]
+                    else:
+                        blobs.append(blob)
             if blobs:
-                yield blobs
+                yield blobs, []
 
-        for blobs in ranges():
-            rows = part(blobs)
+        for blobs, known in ranges():
+            rows = chain(known, part(blobs))
             while some := list(islice(rows, LOOSE_ROWS)):
                 yield _batch(some, names)
 
     n = partitions(sorted_runs.sparkSession)
-    return (sorted_runs.filter("part >= 0").select("part", "run").repartition(n, "part").sortWithinPartitions("part")
+    return (sorted_runs.repartition(n, "part").sortWithinPartitions("part")
             .mapInArrow(run, schema))
 
 
@@ -417,12 +416,11 @@ def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
     batches(spark)
     size = F.octet_length("text")
     n = rows.agg(F.sum(size)).first()[0] or 0
-    anchors = staged(_anchors(rows, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK)), "anchors")
+    anchors = _anchors(rows, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK))
     starts = staged(_repeated(anchors).join(settled, F.col("anchor_key") == F.col(KEY), "left_anti"), "starts")
     found = starts.agg(F.sum(F.aggregate("starts", F.lit(0), lambda t, b: t + F.octet_length(b)) / 4)).first()[0] or 0
     near = rows.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
-    runs_ = staged(_sorted_runs(near, max(1, int(found) // CONTEXTS_A_TASK)), "runs")
-    met = staged(_meet(runs_), "met")
+    met = staged(_meet(_sorted_runs(near, max(1, int(found) // CONTEXTS_A_TASK))), "met")
     loose = met.filter("string is not null").select("doc_id", KEY, "start", "string")
     place = F.struct("doc_id", KEY, "start")
     least = loose.groupBy("string").agg(F.min(place).alias("least"))
@@ -434,8 +432,7 @@ def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
             np.array([(s, s + SPAN) for s in v], "<u4").tobytes() for v in batch.column("starts").to_pylist()]}
 
     more = map_arrow(later, packed, f"doc_id long, {KEY} long, spans binary")
-    spans = met.filter("spans is not null").select("doc_id", KEY, "spans").unionByName(
-        runs_.filter("part < 0").select("doc_id", KEY, "spans")).unionByName(more)
+    spans = met.filter("spans is not null").select("doc_id", KEY, "spans").unionByName(more)
     return spans.groupBy("doc_id", KEY).agg(F.collect_list("spans").alias("spans"))
 
 
