@@ -16,7 +16,7 @@ __all__ = ["KEY", "back_to", "batches", "keyed", "map_arrow", "partitions", "sam
 #: Name of the row key among the columns that operators hand to each other.
 KEY = "row_key"
 #: Bytes of text that reach a Python worker at once; a longer single text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

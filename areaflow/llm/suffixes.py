@@ -50,9 +50,9 @@ SEGMENT = 1 << 18
 GROUP_CONTEXTS = 4_000
 LOOSE_ROWS = 20_000
 #: Records a reducing task should see.
-ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 19, 1 << 17
+ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 17, 1 << 16
 #: Bytes a map task collects before it sends a run.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 _NULL = -(1 << 63)
 _ANCHOR = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<u4"), ("twice", "?")])
 _TABLE = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64)
