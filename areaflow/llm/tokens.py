@@ -21,7 +21,8 @@ _BESIDE_SPACE = re.compile(r" \s|\s ")
 _SPACES = re.compile(r"\s\s")
 #: Characters whose classes are the same in every Unicode version; parts with others go to the tokenizer.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-STOPS = (".", ",")
+#: A word and the signs behind it: two matches of the tokenizer's pattern.
+_WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
 _SETTLED = re.compile(r"[\t-\r\x20-\x7e\xa1-ɏ]*")
 
 
@@ -40,7 +41,10 @@ class _Pretokens(dict):
         self.model, self.table = model, _visible_bytes()
 
     def ids(self, token: str) -> bytes:
-        mapped = token.encode().decode("latin1").translate(self.table)
+        if token.isascii() and token.isprintable():
+            mapped = token.replace(" ", self.table[32])
+        else:
+            mapped = token.encode().decode("latin1").translate(self.table)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
 
     def __missing__(self, token: str) -> bytes:
@@ -50,22 +54,35 @@ class _Pretokens(dict):
         return ids
 
 
+def _simple(part: str) -> bool:
+    return bool(_LETTERS(part) or _WORD_AND_SIGNS(part))
+
+
 class _Parts(dict):
-    """Ids of a space and what follows it, up to the next space; most are a word, perhaps with a stop."""
+    """Ids of ``lead`` and what follows it, up to the next space; most are a word, perhaps with signs.
+
+    A line end between two such words is a match of its own. The parts on both sides of it are remembered,
+    but not the whole: most words that meet at a line end do so once.
+    """
 
-    def __init__(self, encoder: TextEncoder):
+    def __init__(self, encoder: TextEncoder, lead: str):
         super().__init__()
-        self.encoder, self.pretokens = encoder, encoder.pretokens
+        self.encoder, self.pretokens, self.lead = encoder, encoder.pretokens, lead
 
     def __missing__(self, part: str) -> bytes:
+        word, line_end, rest = part.partition("\n")
+        if line_end:
+            if _simple(word) and _simple(rest):
+                return self[word] + self.pretokens[line_end] + self.encoder.starts[rest]
+            return self.encoder.piece(self.lead + part)
         if len(self) >= REMEMBERED:
             self.clear()
         if _LETTERS(part):
-            ids = self.pretokens.ids(" " + part)
-        elif part[-1:] in STOPS and _LETTERS(part, 0, len(part) - 1):
-            ids = self[part[:-1]] + self.pretokens[part[-1]]
+            ids = self.pretokens.ids(self.lead + part)
+        elif m := _WORD_AND_SIGNS(part):
+            ids = self[m[1]] + self.pretokens[m[2]]
         else:
-            ids = self.encoder.piece(" " + part)
+            ids = self.encoder.piece(self.lead + part)
         self[part] = ids
         return ids
 
@@ -85,7 +102,7 @@ class TextEncoder:
                            and self.tokenizer.normalizer is None)
         self.split = regex.compile(PATTERN).findall
         self.pretokens = _Pretokens(self.tokenizer.model)
-        self.parts = _Parts(self)
+        self.parts, self.starts = _Parts(self, " "), _Parts(self, "")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
