@@ -6,11 +6,12 @@ benchmark's q-grams; hits of one item are counted in bands of diagonals that are
 budget and overlap by half, so that any match lies whole in one band; bands that reach the bound
 name a region, and the region is verified by an alignment kept within the band.
 
-Texts are compared in lower case (A-Z), with each run of ASCII white space and punctuation as one space.
+Texts are compared with the case of all letters folded, with each run of ASCII white space and punctuation as one
+space.
 
-Defined cases: a null or empty text matches nothing, a null or empty item is matched by nothing. Items too
-short for a q-gram guarantee are compared with an edit budget small enough to give one; items shorter than
-``q`` bytes are found as exact words. Rows equal in id and text get equal results each. Repeated items are
+Defined cases: a null or empty text matches nothing, a null or empty item is matched by nothing. Every item has
+its stated edit budget; items too short for a guarantee by 8-grams are looked up by the longest grams that give
+one. Items shorter than 8 bytes are found as exact words. Rows equal in id and text get equal results each. Repeated items are
 reported each. Empty tables give an empty result. Other columns are not read.
 """
 
@@ -32,14 +33,13 @@ _BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 for _b in [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]:
     _FOLD[_b] = 32
 
 
 def folded(text: str) -> np.ndarray:
-    """Comparable bytes of a text: lower case, words set apart by single spaces."""
-    x = _FOLD[np.frombuffer(text.encode(), np.uint8)]
+    """Comparable bytes of a text: case folded, words set apart by single spaces."""
+    x = _FOLD[np.frombuffer(text.casefold().encode(), np.uint8)]
     blank = x == 32
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1]
@@ -48,17 +48,20 @@ def folded(text: str) -> np.ndarray:
     return x[lo:max(lo, hi)]
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Every run of eight bytes as one number."""
-    if len(x) < Q:
+def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """Every run of ``q`` bytes, at most eight, as one number."""
+    if len(x) < q:
         return np.empty(0, np.uint64)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, Q)).view(np.uint64).ravel()
+    x = np.append(x, np.zeros(Q - q, np.uint8))
+    each = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, Q)).view("<u8").ravel()
+    return each & np.uint64((1 << 8 * q) - 1)
 
 
-def budget(m: int, rate: float) -> tuple[int, int]:
-    """Edits allowed for an item of ``m`` bytes and the q-grams a match is then sure to share."""
-    e = min(int(rate * m), max(0, (m + 1) // (2 * Q) - 1))
-    return e, m + 1 - (e + 1) * Q
+def budget(m: int, rate: float) -> tuple[int, int, int]:
+    """Edits allowed for an item of ``m`` bytes, the length of its grams and how many a match is then sure to share."""
+    e = min(int(rate * m), m - 1)
+    q = min(Q, m // (e + 1))
+    return e, q, m + 1 - (e + 1) * q
 
 
 def distance(item: np.ndarray, part: np.ndarray, limit: int) -> tuple[int, int, int] | None:
@@ -84,59 +87,80 @@ def distance(item: np.ndarray, part: np.ndarray, limit: int) -> tuple[int, int,
     return (int(cost[end]), int(start[end]), end) if cost[end] <= limit else None
 
 
-class Items:
-    """The q-grams of a block of items: a bit table for all positions of a text, then exact postings."""
+class Grams:
+    """The grams of one length of some items: a bit table for all positions of a text, then exact postings."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
-        self.items = items
-        self.budgets = [budget(len(x), rate) for _, x in items]
-        long = [(k, x) for k, (_, x) in enumerate(items) if len(x) >= Q]
-        values = [grams(x) for _, x in long]
-        self.value = np.concatenate(values) if values else np.empty(0, np.uint64)
-        self.item = np.concatenate([np.full(len(v), k) for (k, _), v in zip(long, values, strict=True)]) if values else np.empty(0, int)
-        self.place = np.concatenate([np.arange(len(v)) for v in values]) if values else np.empty(0, int)
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]):
+        self.q = q
+        values = [grams(x, q) for _, x in items]
+        self.value = np.concatenate(values)
+        self.item = np.concatenate([np.full(len(v), k) for (k, _), v in zip(items, values, strict=True)])
+        self.place = np.concatenate([np.arange(len(v)) for v in values])
         order = np.argsort(self.value, kind="stable")
         self.value, self.item, self.place = self.value[order], self.item[order], self.place[order]
         self.table = np.zeros(1 << _BITS, bool)
         self.table[self.slot(self.value)] = True
-        self.short = [(k, x.tobytes()) for k, (_, x) in enumerate(items) if 0 < len(x) < Q]
 
     @staticmethod
     def slot(values: np.ndarray) -> np.ndarray:
         return (values * _MIX) >> np.uint64(64 - _BITS)
 
-    def bands(self, g: np.ndarray):
-        """Item, first and last text position of each band of diagonals that reaches the bound."""
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Item and diagonal of every gram that a text shares, in the order of items."""
+        g = grams(x, self.q)
         at = np.flatnonzero(self.table[self.slot(g)])
         lo = np.searchsorted(self.value, g[at], "left")
         n = np.searchsorted(self.value, g[at], "right") - lo
         if not n.sum():
-            return
+            return None
         each = np.repeat(np.arange(len(at)), n)
         posting = np.repeat(lo, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        item, position = self.item[posting], at[each]
-        diagonal = position - self.place[posting]
-        for k in np.unique(item):
-            e, need = self.budgets[k]
-            mine = item == k
-            d, p = diagonal[mine], position[mine]
-            if len(d) < need:
+        item, diagonal = self.item[posting], at[each] - self.place[posting]
+        order = np.lexsort((diagonal, item))
+        return item[order], diagonal[order]
+
+
+class Items:
+    """A block of items, with their grams by length."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
+        self.items = items
+        self.budgets = [budget(len(x), rate) if len(x) else (0, Q, 1) for _, x in items]
+        by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for k, (_, x) in enumerate(items):
+            if len(x) >= Q:
+                by[self.budgets[k][1]].append((k, x))
+        self.grams = [Grams(q, some) for q, some in sorted(by.items())]
+        self.short = [(k, x.tobytes()) for k, (_, x) in enumerate(items) if 0 < len(x) < Q]
+
+    def bands(self, x: np.ndarray):
+        """Item and first and last diagonal with a hit, of each band of diagonals that reaches the bound."""
+        for some in self.grams:
+            hits = some.hits(x)
+            if hits is None:
                 continue
-            width = e + 1
-            for shift in (0, width):
-                band = (d + shift) // (2 * width)
-                which, count = np.unique(band, return_counts=True)
-                for b in which[count >= need]:
-                    inside = band == b
-                    yield int(k), int(p[inside].min()), int(p[inside].max()) + Q, int(d[inside].min()), int(d[inside].max())
+            item, diagonal = hits
+            edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                k = int(item[lo])
+                e, _, need = self.budgets[k]
+                if hi - lo < need:
+                    continue
+                d, width = diagonal[lo:hi], e + 1
+                for shift in (0, width):
+                    starts = np.flatnonzero(np.diff((d + shift) // (2 * width), prepend=-(1 << 60)))
+                    ends = np.append(starts[1:], len(d))
+                    for s, t in zip(starts, ends, strict=True):
+                        if t - s >= need:
+                            yield k, int(d[s]), int(d[t - 1])
 
     def regions(self, text: str) -> list[tuple[int, int, int, int]]:
         """Verified regions: item id, edits, start and end in the folded text; overlapping ones of an item once."""
         x = folded(text)
         best: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         done = set()
-        for k, _, _, d_lo, d_hi in self.bands(grams(x)):
-            item, (e, _) = self.items[k][1], self.budgets[k]
+        for k, d_lo, d_hi in self.bands(x):
+            item, e = self.items[k][1], self.budgets[k][0]
             lo, hi = max(0, d_lo - e), min(len(x), d_hi + len(item) + e)
             if (k, lo, hi) in done:
                 continue

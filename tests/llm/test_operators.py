@@ -157,6 +157,23 @@ def test_leaks(spark, docs, none):
     assert decontaminate.clean_documents(docs, bench).columns == docs.columns
 
 
+def test_leaks_at_the_stated_limit(spark):
+    items = {5: "Über dürre Wälder ziehen Nebelfähren, während Straßen ruhig schlafen", 6: "the seven quick owls", 7: "winter tales"}
+    near = {6: "tha seven qucik owls".replace("qucik", "quyck"), 7: "winter tades"}
+    letters = "abcdefghijklmnopqrstuvwxyz" * 9
+    items |= {m: "".join(letters[(7 * i + i * i // 26 + m) % len(letters)] for i in range(m)) for m in (47, 100, 233, 1000)}
+    for m in (47, 100, 233, 1000):
+        x, e = list(items[m]), m // 10
+        for k in range(e):
+            x[k * m // e + m // e // 2] = "0"
+        near[m] = "".join(x)
+    near[5] = items[5].upper()
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame([(m, "zq " + x + " qz") for m, x in near.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(5, 5, 0), (6, 6, 2), (7, 7, 1), *[(m, m, m // 10) for m in (47, 100, 233, 1000)]}
+
+
 def test_token_files(spark, docs, none, tmp_path):
     tokenizer = encoder(vocabulary_path()).tokenizer
     at, want = 0, []
