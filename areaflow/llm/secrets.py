@@ -1,28 +1,38 @@
 """Secret scans through nested encodings.
 
-Every text is scanned for three kinds of secret. Then a worklist unwraps what is encoded in it: runs with
-percent escapes, runs with Unicode, hex or entity escapes, base64 runs, and compressed bytes inside those.
+Every text is scanned for three kinds of secret. Then a worklist unwraps what is encoded in it: percent escapes,
+Unicode, hex or entity escapes, base64 runs, also over single line ends, and compressed bytes inside any of these.
 Each decoded layer is scanned and searched for further layers until nothing is left to unwrap; a layer seen
 before at the same place ends its branch, so texts that decode to themselves end too. Positions are carried
 along: a secret in any layer is reported at the characters of the original text that produced it.
 
-Escapes are decoded together with up to 64 characters before them on their line, so that a name in plain text
-finds its encoded value. Base64 counts as a layer where its bytes are readable text or compressed.
+Some characters are part of no secret and of no encoding, so a text falls into stretches that they divide. All
+escapes of one kind in a stretch are decoded at once, beside what is plain in it. Base64 counts as a layer where
+its bytes are readable text or compressed.
+
+Compressed bytes are unfolded in pieces, through all members and to their end, whatever the length; every piece ends
+with a stretch, so only a single stretch is held whole. Bytes compressed twice are spilled to a file of the task.
 
 Defined cases: a null text is empty and has no secrets. Equal rows get equal results each. An empty table gives
-an empty result. Other columns are not read. ``LAYER_BYTES`` bounds what one compressed layer may unfold to;
-a longer one is scanned up to there and marked in ``cut_layers``, so that no text can fill a worker's memory.
+an empty result. Other columns are not read. Damaged or incomplete compressed bytes are scanned as far as they
+unfold and counted in ``cut_layers``.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import html
+import io
 import re
+import tempfile
 import zlib
+from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -36,14 +46,24 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-LAYER_BYTES = 16 << 20
-BEFORE = 64
+#: Bytes unfolded at once, and bytes of a nested compressed layer that are kept in memory.
+PIECE_BYTES = 1 << 20
+SPILL_BYTES = 16 << 20
 
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+_STRETCH = re.compile(r"""[A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;\r\n]+""")
+_TO_LAST_DIVIDER = re.compile(r"""(?s:.*)[^A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;\r\n]""")
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"(?:[^\s\"'<>\\&]*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};))+[^\s\"'<>\\&]*")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
+
+# Compressed bytes among escapes: how they start, and single bytes of them.
+_PACKED_PERCENT = re.compile(r"%1[fF]%8[bB]|(?:x|%78)(?:%01|%5[eE]|%9[cC]|%[dD][aA]|\^)")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[^%\s\"'<>]")
+_PACKED_ESCAPE = re.compile(r"(?:\\x|\\u00)1[fF](?:\\x|\\u00)8[bB]|(?:x|\\x78|\\u0078)(?:(?:\\x|\\u00)(?:01|5[eE]|9[cC]|[dD][aA])|\^)"
+                            r"|&#(?:31|[xX]1[fF]);&#(?:139|[xX]8[bB]);|(?:x|&#120;|&#[xX]78;)&#(?:1|94|156|218|[xX](?:0?1|5[eE]|9[cC]|[dD][aA]));")
+_ESCAPE_BYTE = re.compile(_ESCAPE.pattern + r"|\\([abtnvfr0'\"\\/])|[^\\Ā-\U0010ffff]")
+_SHORT = dict(zip("abtnvfr0'\"\\/", b"\a\b\t\n\v\f\r\0'\"\\/", strict=True))
 
 Span = tuple[str, int, int]
 
@@ -62,49 +82,45 @@ def matches(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text and, for each of its characters, the span of the original text it came from."""
+    """A decoded text in pieces, each with the span of the original text it came from, character by character or as a whole."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]] | None = None):
+        self.text, self.pieces = text, pieces or [(0, 0, len(text), True)]
+        self.at = [p[0] for p in self.pieces]
 
     def span(self, lo: int, hi: int) -> tuple[int, int]:
-        if self.starts is None:
-            return lo, hi
-        return min(self.starts[lo:hi]), max(self.ends[lo:hi])
-
-    def part(self, pieces: list[tuple[str, int, int]]) -> Layer:
-        """A layer of pieces, each a text and the span of this layer that it stands for; equal lengths map one to one."""
-        text, starts, ends = [], [], []
+        at, start, _, same = self.pieces[bisect_right(self.at, lo) - 1]
+        first = start + lo - at if same else start
+        at, start, end, same = self.pieces[bisect_right(self.at, hi - 1) - 1]
+        return first, start + hi - at if same else end
+
+    def part(self, pieces: list[tuple[str | None, int, int]]) -> Layer:
+        """A layer of pieces, each the span of this layer that it stands for and its new text, None if unchanged."""
+        text, out, size = [], [], 0
         for new, lo, hi in pieces:
-            text.append(new)
-            if len(new) == hi - lo and new == self.text[lo:hi]:
-                each = [self.span(k, k + 1) for k in range(lo, hi)]
-                starts += [s for s, _ in each]
-                ends += [e for _, e in each]
+            if new is None:
+                k = bisect_right(self.at, lo) - 1
+                while lo < hi:
+                    end = min(hi, self.at[k + 1] if k + 1 < len(self.at) else hi)
+                    out.append((size, *self.span(lo, end), self.pieces[k][3]))
+                    text.append(self.text[lo:end])
+                    size, lo, k = size + end - lo, end, k + 1
             elif new:
-                s, e = self.span(lo, hi)
-                starts += [s] * len(new)
-                ends += [e] * len(new)
-        return Layer("".join(text), starts, ends)
+                out.append((size, *self.span(lo, hi), False))
+                text.append(new)
+                size += len(new)
+        return Layer("".join(text), out)
 
 
-def _line_before(text: str, at: int) -> int:
-    return max(at - BEFORE, text.rfind("\n", 0, at) + 1, 0)
-
-
-def _substituted(layer: Layer, region: re.Match, escape: re.Pattern, value) -> Layer | None:
-    lo, at = _line_before(layer.text, region.start()), region.start()
-    pieces = [(layer.text[lo:at], lo, at)]
-    for m in escape.finditer(layer.text, *region.span()):
+def _substituted(layer: Layer, lo: int, hi: int, escape: re.Pattern, value) -> Layer | None:
+    """A stretch with all escapes of one kind replaced."""
+    pieces, at = [], lo
+    for m in escape.finditer(layer.text, lo, hi):
         new = value(m)
-        if new is None:
-            continue
-        pieces += [(layer.text[at:m.start()], at, m.start()), (new, *m.span())]
-        at = m.end()
-    if len(pieces) == 1:
-        return None
-    pieces.append((layer.text[at:region.end()], at, region.end()))
-    return layer.part(pieces)
+        if new is not None:
+            pieces += [(None, at, m.start()), (new, *m.span())]
+            at = m.end()
+    return layer.part([*pieces, (None, at, hi)]) if pieces else None
 
 
 def _percent(m: re.Match) -> str:
@@ -118,15 +134,96 @@ def _escape(m: re.Match) -> str | None:
     return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
 
 
-def unpacked(raw: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed zlib or gzip bytes and whether they were cut; None if they are neither."""
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+def _packed(raw: bytes) -> bool:
+    """Whether bytes start as gzip or zlib do."""
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0
+
+
+def _extent(raw: bytes) -> int:
+    """How many bytes the compressed members at the start of ``raw`` take, all if the last is not complete."""
+    rest = raw
+    while _packed(rest):
+        d = zlib.decompressobj(47)
         try:
-            d = zlib.decompressobj(47)
-            return d.decompress(raw, LAYER_BYTES), bool(d.unconsumed_tail)
+            d.decompress(rest, PIECE_BYTES)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, PIECE_BYTES)
         except zlib.error:
-            return None
-    return None
+            return len(raw)
+        if not d.eof:
+            return len(raw)
+        rest = d.unused_data
+    return len(raw) - len(rest)
+
+
+class Packed:
+    """Compressed bytes and the part of a layer that they stand for."""
+
+    def __init__(self, raw: bytes, layer: Layer, lo: int, hi: int):
+        self.raw, self.where, self.broken = raw, layer.span(lo, hi), False
+
+    def _inflated(self, source) -> Iterator[bytes]:
+        """What all members unfold to, in pieces; bytes behind them come as they are, after a divider."""
+        d, fed, rest = zlib.decompressobj(47), False, b""
+        while raw := rest or source.read(PIECE_BYTES):
+            try:
+                out = d.decompress(raw, PIECE_BYTES)
+            except zlib.error:
+                self.broken = True
+                yield b"\0" + raw
+                while raw := source.read(PIECE_BYTES):
+                    yield raw
+                return
+            if out:
+                yield out
+            rest, fed = d.unconsumed_tail, True
+            if d.eof:
+                rest = d.unused_data.lstrip(b"\0") or source.read(PIECE_BYTES).lstrip(b"\0")
+                if len(rest) == 1:
+                    rest += source.read(PIECE_BYTES)
+                fed = False
+                if rest and not _packed(rest):
+                    yield b"\0" + rest
+                    while raw := source.read(PIECE_BYTES):
+                        yield raw
+                    return
+                d = zlib.decompressobj(47)
+        while fed and not d.eof and (out := d.decompress(b"", PIECE_BYTES)):
+            yield out
+        self.broken |= fed and not d.eof
+
+    def layers(self) -> Iterator[Layer]:
+        """The unfolded text, through any further compression, in pieces that end with a stretch."""
+        source, seen = io.BytesIO(self.raw), {sha256(self.raw).digest()}
+        while True:
+            out, head = self._inflated(source), b""
+            while len(head) < 3 and (more := next(out, b"")):
+                head += more
+            if not _packed(head):
+                break
+            digest, spill = sha256(), tempfile.SpooledTemporaryFile(SPILL_BYTES)
+            for piece in chain([head], out):
+                digest.update(piece)
+                spill.write(piece)
+            source.close()
+            spill.seek(0)
+            source = spill
+            if digest.digest() in seen:
+                return
+            seen.add(digest.digest())
+        decode, held = codecs.getincrementaldecoder("utf-8")("replace").decode, []
+        for piece in chain([head], out):
+            text = decode(piece)
+            if m := _TO_LAST_DIVIDER.match(text):
+                yield self._whole("".join(held) + text[:m.end()])
+                held = [text[m.end():]]
+            else:
+                held.append(text)
+        yield self._whole("".join(held) + decode(b"", True))
+        source.close()
+
+    def _whole(self, text: str) -> Layer:
+        return Layer(text, [(0, *self.where, False)])
 
 
 def _readable(raw: bytes) -> str | None:
@@ -137,58 +234,171 @@ def _readable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
-def _base64(run: str) -> tuple[str, bool] | None:
-    """Text inside a base64 run, through any compression, and whether a layer was cut."""
+def _base64(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    cut, seen = False, set()
-    while (more := unpacked(raw)) and sha256(raw).digest() not in seen:
-        seen.add(sha256(raw).digest())
-        raw, cut = more[0], cut or more[1]
-    text = raw.decode(errors="ignore") if cut else _readable(raw)
-    return (text, cut) if text else None
+        return b""
+
+
+def _runs(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Base64 runs, long ones first: lines of equal length with a line of any length before and after, and every line.
 
+    With each run, the number of its characters before its last line.
+    """
+    for m in _BASE64.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(m[0])]
+        ends = [hi for _, hi in lines[:-1]] + [len(m[0])]
+        size = [hi - lo for lo, hi in lines]
+        wanted = {(k, k) for k in range(len(lines)) if size[k] >= 16}
+        a = 0
+        while a < len(lines) and len(lines) > 1:
+            b = a
+            while b + 1 < len(lines) and size[b + 1] == size[a]:
+                b += 1
+            wanted |= {(i, j) for i in (a, max(a - 1, 0)) for j in (b, min(b + 1, len(lines) - 1))}
+            a = b + 1
+        for i, j in sorted(wanted, key=lambda w: (w[0] - w[1], w)):
+            lo, hi = lines[i][0], ends[j]
+            yield m[0][lo:hi].replace("\r", "").replace("\n", ""), m.start() + lo, m.start() + hi, sum(size[i:j])
+
+
+def _byte_runs(text: str, start: re.Pattern, one: re.Pattern, value) -> Iterator[tuple[bytes, int, int]]:
+    """Compressed bytes written with escapes: the bytes from a start to where they have unfolded."""
+    at = 0
+    while first := start.search(text, at):
+        at = first.start() + 1
+        raw, ends, p = bytearray(), [], first.start()
+        d, used, out = zlib.decompressobj(47), 0, 0
+        try:
+            while True:
+                lo = len(raw)
+                while len(raw) < lo + 4096 and (m := one.match(text, p)):
+                    new = value(m)
+                    if new is None:
+                        break
+                    raw += new
+                    p = m.end()
+                    ends += [p] * len(new)
+                if len(raw) == lo:
+                    used = lo
+                    break
+                more = bytes(raw[lo:])
+                while more and not d.eof:
+                    out += len(d.decompress(more, PIECE_BYTES))
+                    more = d.unconsumed_tail
+                while d.eof and _packed(d.unused_data):  # the next member
+                    more, d = d.unused_data, zlib.decompressobj(47)
+                    while more and not d.eof:
+                        out += len(d.decompress(more, PIECE_BYTES))
+                        more = d.unconsumed_tail
+                if d.eof and len(d.unused_data) > 1:
+                    used = len(raw) - len(d.unused_data)
+                    break
+        except zlib.error:
+            used = len(raw)
+        if out:
+            yield bytes(raw[:used]), first.start(), ends[used - 1]
+            at = ends[used - 1]
+
+
+def _percent_byte(blank: str):
+    def value(m: re.Match) -> bytes:
+        return bytes([int(m[1], 16)]) if m[1] else m[0].replace("+", blank).encode(errors="replace")
+    return value
 
-def inner(layer: Layer):
+
+def _escape_byte(m: re.Match) -> bytes | None:
+    if m[5]:
+        return bytes([_SHORT[m[5]]])
+    if m[4]:
+        body = m[4][2:-1]
+        point = int(body[1:], 16) if body[0] in "xX" else int(body)
+    else:
+        code = m[1] or m[2] or m[3]
+        point = int(code, 16) if code else ord(m[0])
+    return bytes([point]) if point < 256 else None
+
+
+def inner(layer: Layer) -> Iterator[Layer | Packed | None]:
     """The layers directly inside one."""
     text = layer.text
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            yield _substituted(layer, m, _PERCENT_RUN, _percent), False
-    if "\\" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
-            yield _substituted(layer, m, _ESCAPE, _escape), False
-    for m in _BASE64.finditer(text):
-        if found := _base64(m[0]):
-            yield layer.part([(found[0], *m.span())]), found[1]
+    percent, escaped = "%" in text, "\\" in text or "&#" in text
+    if percent or escaped:
+        for m in _STRETCH.finditer(text):
+            if percent and text.find("%", *m.span()) >= 0:
+                yield _substituted(layer, *m.span(), _PERCENT_RUN, _percent)
+            if escaped:
+                yield _substituted(layer, *m.span(), _ESCAPE, _escape)
+    if percent:
+        for blank in (" ", "+") if "+" in text else " ":  # forms write a blank as a plus sign
+            for found in _byte_runs(text, _PACKED_PERCENT, _PERCENT_BYTE, _percent_byte(blank)):
+                yield Packed(found[0], layer, *found[1:])
+    if escaped:
+        for found in _byte_runs(text, _PACKED_ESCAPE, _ESCAPE_BYTE, _escape_byte):
+            yield Packed(found[0], layer, *found[1:])
+    whole = (0, 0)
+    for run, lo, hi, before in _runs(text):
+        raw = _base64(run)
+        if _packed(raw) and before and (used := _extent(raw)) <= before * 3 // 4 and not _readable(raw[used:]):
+            continue  # the last line is a word of its own
+        if _packed(raw) and not whole[0] <= lo < hi <= whole[1]:
+            packed = Packed(raw, layer, lo, hi)
+            yield packed
+            if not packed.broken:
+                whole = lo, hi
+        if plain := _readable(raw):
+            yield layer.part([(plain, lo, hi)])
+
+
+class _Scan:
+    """Spans found in one text, and its layers seen."""
+
+    def __init__(self):
+        self.spans, self.seen, self.layers, self.cut = set(), set(), 0, 0
+
+    def new(self, raw: bytes, where: tuple[int, int]) -> bool:
+        mark = (sha256(raw).digest(), *where)
+        if mark in self.seen:
+            return False
+        self.seen.add(mark)
+        return True
+
+    def search(self, layer: Layer) -> None:
+        work = deque([layer])
+        while work:
+            for new in inner(work.popleft()):
+                if isinstance(new, Packed):
+                    if self.new(new.raw, new.where):
+                        unfolded = False
+                        for piece in new.layers():
+                            if piece.text.strip("\0") and self.new(piece.text.encode(errors="replace"), new.where):
+                                unfolded = True
+                                self.spans.update((k, *new.where) for k, _, _ in matches(piece.text))
+                                self.search(piece)
+                        self.layers += unfolded
+                        self.cut += new.broken and unfolded
+                elif new is not None and new.text and self.new(new.text.encode(errors="replace"), new.span(0, len(new.text))):
+                    self.layers += 1
+                    self.spans.update((k, *new.span(lo, hi)) for k, lo, hi in matches(new.text))
+                    work.append(new)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans, number of layers unwrapped, number cut."""
+    """Base spans, all spans, number of layers unwrapped, number of those that break off."""
     order = {k: i for i, k in enumerate(KINDS)}
 
     def key(s: Span):
         return s[1], order[s[0]], s[2]
 
     base = sorted(matches(text), key=key)
-    spans, work, seen, cut = set(base), deque([Layer(text)]), set(), 0
-    while work:
-        for new, short in inner(work.popleft()):
-            if new is None or not new.text:
-                continue
-            mark = (sha256(new.text.encode(errors="replace")).digest(), *new.span(0, len(new.text)))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            cut += short
-            spans.update((k, *new.span(lo, hi)) for k, lo, hi in matches(new.text))
-            work.append(new)
-    return base, sorted(spans, key=key), len(seen), cut
+    state = _Scan()
+    state.spans.update(base)
+    state.search(Layer(text))
+    return base, sorted(state.spans, key=key), state.layers, state.cut
 
 
 def joined(spans: list[Span]) -> str:

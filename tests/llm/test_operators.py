@@ -249,6 +249,34 @@ def test_secrets_layers():
     assert secrets.scan("%2525252525")[1] == []
 
 
+@pytest.mark.parametrize("text", [
+    "%70assword: hunter22x", '"p%61ssword": "hunter22x"', "password%3D hunter22x", r'"\u0070assword": "hunter22x"',
+    "%70assword: %68unter22x", r"p%61ssword: \x68unter22x"])
+def test_secrets_beside_plain_text(text):
+    _, spans, _, _ = secrets.scan("so, " + text + ", it is")
+    assert [("so, " + text)[lo:hi].strip('"') for k, lo, hi in spans if k == "assign"] == [text.strip('"')]
+
+
+def test_secrets_in_compressed_bytes():
+    from base64 import b64encode, encodebytes
+    from gzip import compress
+    from urllib.parse import quote, quote_plus
+
+    secret = b"password=Zx81hhQQ22lm"
+    noise = bytes(RNG.choice(b"abcdefgh, ") for _ in range(300))
+    far = b64encode(compress(b"some words, " * (20 << 20 >> 3) + secret)).decode()
+    members = b64encode(compress(b"one, ") + compress(secret)).decode()
+    twice = b64encode(compress(compress(noise + secret))).decode()
+    packed = compress(noise + b" " + secret)
+    forms = [far, members, twice, quote(packed), quote_plus(packed), "".join(f"%{c:02x}" for c in packed),
+             "".join(f"\\x{c:02x}" for c in packed), repr(packed)[2:-1], "".join(f"&#{c};" for c in packed),
+             encodebytes(packed).decode().strip(), encodebytes(noise + b", " + secret).decode().strip()]
+    for k, x in enumerate(forms):
+        base, spans, _, cut = secrets.scan("see, " + x + "\nlast words")
+        assert (base, cut) == ([], 0) and ("assign", 5, 5 + len(x)) in spans, (k, spans, x[:100])
+    assert secrets.scan(b64encode(packed[:-60]).decode())[3] == 1
+
+
 def test_secrets_table(docs, none):
     assert secrets.found(docs).count() == docs.count() and secrets.found(none).count() == 0
 
