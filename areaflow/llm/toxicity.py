@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-cased words, hashed. Terms whose documents differ in label more than chance gives
-are kept; the machine learns a weight and a short vector for each, and the products of vectors score pairs of
-terms, so a mention that is harmless alone can count beside an insult. Scores are probabilities: the
+A text is the set of its lower-cased words, hashed. The machine learns a weight and a short vector for every term
+in at least ``LEAST`` rows of the sample, whatever it says alone, and the products of vectors score pairs of terms,
+so terms that are harmless alone can count beside each other. Scores are probabilities: the
 intercept is moved from the share of toxic rows in the training sample to that among all labels.
 
 The fit uses a bounded sample: at most ``sample`` rows of either label, taken by a hash of the row over all
@@ -28,7 +28,7 @@ from areaflow.llm.common import KEY, keyed, map_arrow
 FOLDS = 5
 BUCKETS = 1 << 20
 SAMPLE = 3000
-TERMS = 1500
+LEAST = 3
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 500_000
 
@@ -57,7 +57,7 @@ def terms(text: str) -> set[int]:
 
 
 class Machine:
-    """A factorization machine on the presence of selected terms."""
+    """A factorization machine on the presence of terms."""
 
     def __init__(self, columns: np.ndarray, bias: float, weight: np.ndarray, factor: np.ndarray):
         self.columns, self.bias, self.weight, self.factor = columns, bias, weight, factor
@@ -72,53 +72,57 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(present), -30, 30))))
 
 
-def selected(sets: list[set[int]], labels: np.ndarray, most: int = TERMS, least_z: float = 3.5) -> np.ndarray:
-    """Buckets whose share among toxic rows differs from that among the others, strongest first."""
-    both = [np.fromiter((b for s, y in zip(sets, labels, strict=True) if y == k for b in s), np.int64) for k in (0, 1)]
-    n0, n1 = max((labels == 0).sum(), 1), max((labels == 1).sum(), 1)
-    c0, c1 = (np.bincount(b, minlength=BUCKETS) for b in both)
-    p = (c0 + c1) / (n0 + n1)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n0 + 1 / n1), 1e-9))
-    strength = np.where(c0 + c1 >= 5, np.abs(z), 0)
-    order = np.argsort(-strength, kind="stable")[:most]
-    return order[strength[order] > least_z]
+def fit(sets: list[set[int]], labels: np.ndarray, share: float, rank: int = 8, epochs: int = 30, batch: int = 64,
+        rate: float = 4.0, shrink: float = 1.0, decay: float = 0.05, seed: int = 7) -> Machine:
+    """Fit by proximal gradient steps on the logistic loss, rows of the sample in a fixed random order.
 
-
-def fit(sets: list[set[int]], labels: np.ndarray, share: float, rank: int = 8, epochs: int = 60, batch: int = 64,
-        rate: float = 0.02, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Fit by Adam on the logistic loss, rows of the sample in a fixed random order."""
+    A weight shrinks by ``shrink`` times the standard error of its gradient under labels given by chance, a vector by
+    the share ``decay``; a batch reads and changes only the terms of its rows, with the shrinkage due since they were last seen.
+    """
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Machine(np.empty(0, np.int64), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, rank)))
-    columns = selected(sets, labels)
-    place = {int(b): i for i, b in enumerate(columns)}
-    x = np.zeros((len(sets), len(columns)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [place[b] for b in s if b in place]] = 1
+    every = np.fromiter((b for s in sets for b in sorted(s)), np.int64)
+    columns, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    frequent = count >= LEAST
+    column, row = (np.cumsum(frequent) - 1)[column[frequent[column]]], row[frequent[column]]
+    columns = columns[frequent]
+    edges = np.searchsorted(row, np.arange(len(sets) + 1))
     rng = np.random.default_rng(seed)
-    theta = [np.zeros(1), np.zeros(len(columns)), rng.normal(0, 0.05, (len(columns), rank))]
-    first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    step = 0
-    for _ in range(epochs):
+    inside = float(labels.mean())
+    bias = float(np.log(inside / (1 - inside)))
+    weight = np.zeros(len(columns), np.float32)
+    factor = rng.normal(0, 0.01, (len(columns), rank)).astype(np.float32)
+    due = (shrink * np.sqrt(inside * (1 - inside) * count[frequent]) / len(sets)).astype(np.float32)
+    last, step = np.zeros(len(columns), np.int64), 0
+    for epoch in range(epochs):
         order = rng.permutation(len(sets))
+        pace = rate * (1 - epoch / epochs)
         for at in range(0, len(order), batch):
-            rows = x[order[at:at + batch]]
-            y = labels[order[at:at + batch]]
-            total = rows @ theta[2]
-            z = theta[0] + rows @ theta[1] + 0.5 * ((total ** 2).sum(1) - rows @ (theta[2] ** 2).sum(1))
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            seen = d @ rows
-            grads = [np.array([d.sum()]), seen + decay * theta[1] / 10,
-                     rows.T @ (d[:, None] * total) - seen[:, None] * theta[2] + decay * theta[2]]
+            some = order[at:at + batch]
+            y = labels[some]
+            seen, place = np.unique(np.concatenate([column[edges[i]:edges[i + 1]] for i in some]), return_inverse=True)
+            x = np.zeros((len(some), len(seen)), np.float32)
+            x[np.repeat(np.arange(len(some)), edges[some + 1] - edges[some]), place] = 1
             step += 1
-            for k, g in enumerate(grads):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                theta[k] = theta[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    inside = float(labels.mean())
+            gap = (step - last[seen]).astype(np.float32)
+            last[seen] = step
+            w, v = weight[seen], factor[seen]
+            w = np.sign(w) * np.maximum(np.abs(w) - pace * gap * due[seen], 0)
+            v = v * np.exp(-pace * decay * gap)[:, None]
+            total = x @ v
+            z = bias + x @ w + 0.5 * ((total ** 2).sum(1) - x @ (v ** 2).sum(1))
+            d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
+            alone = d @ x
+            bias -= pace * float(d.sum())
+            weight[seen] = w - pace * alone
+            change = x.T @ (d[:, None] * total) - alone[:, None] * v
+            factor[seen] = v - pace * change / np.maximum(1, np.sqrt((change ** 2).sum() / 0.01))
+    weight = np.sign(weight) * np.maximum(np.abs(weight) - rate / epochs * (step - last) * due, 0)
     share = min(max(share, 1e-6), 1 - 1e-6)
     moved = np.log(share / (1 - share)) - np.log(inside / (1 - inside))
-    return Machine(columns, float(theta[0][0] + moved), theta[1], theta[2])
+    return Machine(columns, bias + float(moved), weight.astype(float), factor.astype(float))
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Machine:

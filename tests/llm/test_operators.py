@@ -232,6 +232,19 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_pairs_alone():
+    """Two terms that say nothing alone, and a rare one that only toxic rows hold."""
+    rng = np.random.default_rng(3)
+    sets = [{10 + k % 2, 20 + k // 2 % 2, *(100 + rng.integers(0, 300, 15)).tolist()} for k in range(800)]
+    labels = np.array([int(k % 2 == k // 2 % 2) for k in range(800)])
+    machine = toxicity.fit(sets[:600], labels[:600], 0.5)
+    right = [(machine.score(s) >= 0.5) == bool(y) for s, y in zip(sets[600:], labels[600:], strict=True)]
+    assert np.mean(right) >= 0.9
+    rare = [{1, 2, 3} | ({9} if k < 10 and k % 2 else set()) for k in range(600)]
+    machine = toxicity.fit(rare, np.arange(600) % 2, 0.5)
+    assert machine.score({1, 2, 3, 9}) > machine.score({1, 2, 3}) + 0.1
+
+
 def test_secrets_layers():
     from base64 import b64encode
     from gzip import compress
