@@ -16,7 +16,6 @@ gives no sequence. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from collections import defaultdict
 
 import numpy as np
@@ -79,66 +78,92 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 20,
-                 takers: int = 32) -> list[list[int]]:
+class _Takers:
+    """Open bins by free space and by what they can give back: nothing, a piece or two, by total length.
+
+    Entries are left behind when a bin changes and dropped when they come up; the bits of an integer say which
+    free spaces may have one.
+    """
+
+    def __init__(self, lengths: list[int]):
+        self.lengths, self.bits, self.stacks, self.version = lengths, {}, defaultdict(list), defaultdict(int)
+
+    def put(self, b: int, pieces: list[int], free: int) -> None:
+        self.version[b] += 1
+        if not free or not pieces:
+            return
+        back = {0: ()} | {self.lengths[y]: (y,) for y in pieces}
+        for k, y in enumerate(pieces):
+            for z in pieces[:k]:
+                back.setdefault(self.lengths[y] + self.lengths[z], (y, z))
+        for total, some in back.items():
+            self.stacks[total, free].append((b, self.version[b], some))
+            self.bits[total] = self.bits.get(total, 0) | 1 << free
+
+    def fullest(self, total: int, least: int, giver: int) -> tuple[int, int, tuple] | None:
+        """Free space, bin and pieces of the fullest bin, not the giver, that has ``least`` free and gives back ``total``."""
+        fits = self.bits[total] >> least
+        while fits:
+            step = (fits & -fits).bit_length() - 1
+            stack = self.stacks[total, least + step]
+            while stack and self.version[stack[-1][0]] != stack[-1][1]:
+                stack.pop()
+            if not stack:
+                self.bits[total] ^= 1 << least + step
+            for b, version, some in reversed(stack):
+                if b != giver and self.version[b] == version:
+                    return least + step, b, some
+            fits &= fits - 1
+        return None
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Fill bins from emptier ones by moves and exchanges while the sum of squared fills grows.
 
-    Only bins with space take part. The emptiest bin gives, the others take, fullest first: a move if
-    a piece fits, else the exchange of a piece for a shorter one or for two shorter ones that uses most
-    of the space. A round tries to drain each bin once, into the ``takers``
-    fullest; the search ends when a round found no step, or after ``rounds``.
+    Only bins with space take part. Each gives in turn, the emptiest first, to any other: of its moves and its
+    exchanges of a piece for a shorter one or for two shorter ones, the one that leaves the least space in the
+    taker. The search ends when a whole pass over the open bins found no step.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=fill.__getitem__)
-
-    def step(giver: int, taker: int) -> bool:
-        space, best = capacity - fill[taker], (0, None, ())
-        edge = fill[giver] - fill[taker]  # a step must shift more than this for the squares to grow
-        shorter = sorted((lengths[i], i) for i in bins[taker])
-        for x in bins[giver]:
-            need = lengths[x]
-            if max(edge, best[0]) < need <= space:
-                best = (need, x, ())
-                continue
-            for k, (one, y) in enumerate(shorter):
-                if one >= need:
-                    break
-                gain = need - one
-                if max(edge, best[0]) < gain <= space:
-                    best = (gain, x, (y,))
-                for two, z in shorter[k + 1:]:
-                    gain = need - one - two
-                    if gain <= max(edge, best[0]):
-                        break
-                    if gain <= space:
-                        best = (gain, x, (y, z))
-        gain, x, back = best
-        if x is None:
+    open_ = [b for b in range(len(bins)) if fill[b] < capacity]
+    takers = _Takers(lengths)
+    for b in open_:
+        takers.put(b, bins[b], capacity - fill[b])
+
+    def step(giver: int) -> bool:
+        best = (capacity + 1, 0, 0, 0, ())
+        for need, x in sorted({lengths[x]: x for x in bins[giver]}.items(), reverse=True):
+            for total in takers.bits:
+                gain = need - total
+                if gain <= 0 or not takers.bits[total] >> gain:
+                    continue
+                found = takers.fullest(total, gain, giver)
+                # The taker must end fuller than the giver was for the squares to grow.
+                if found and found[0] - gain < capacity - fill[giver] and (found[0] - gain, -gain) < best[:2]:
+                    best = (found[0] - gain, -gain, x, found[1], found[2])
+            if not best[0]:
+                break
+        if best[0] > capacity:
             return False
+        _, gain, x, taker, back = best
         bins[giver].remove(x)
         bins[taker].append(x)
         for y in back:
             bins[taker].remove(y)
             bins[giver].append(y)
-        fill[giver] -= gain
-        fill[taker] += gain
+        fill[giver] += gain
+        fill[taker] -= gain
+        for b in (giver, taker):
+            takers.put(b, bins[b], capacity - fill[b])
         return True
 
-    for _ in range(rounds):
+    moved = True
+    while moved:
         moved = False
-        for giver in list(open_):
-            for taker in open_[:-takers - 1:-1]:
-                while taker != giver and fill[giver] and fill[taker] < capacity and fill[taker] >= fill[giver] and step(giver, taker):
-                    moved = True
-                if not fill[giver]:
-                    break
-        ranked: list[tuple[int, int]] = []
-        for b in open_:
-            if 0 < fill[b] < capacity:
-                insort(ranked, (fill[b], b))
-        open_ = [b for _, b in ranked]
-        if not moved or len(open_) < 2:
-            break
+        open_ = sorted((b for b in open_ if 0 < fill[b] < capacity), key=fill.__getitem__)
+        for giver in open_:
+            while 0 < fill[giver] < capacity and step(giver):
+                moved = True
     return [b for b in bins if b]
 
 

@@ -211,6 +211,23 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(6)) and len(bins) == 3
 
 
+@pytest.mark.parametrize("many", [1, 200])
+def test_local_search_tries_every_bin(many):
+    lengths = [504] * 6 * many + [258] * 6 * many + [254] * 6 * many + [242] * 12 * many  # 9 bins hold what best fit puts into 11
+    bins = packing.local_search(packing.best_fit(lengths, 1000), lengths, 1000)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and len(bins) <= 10 * many
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= 1000
+    kinds = {tuple(sorted(lengths[i] for i in b)) for b in bins}
+    for giver in kinds:
+        for taker in kinds:
+            for x in giver:
+                for back in [(), *[(y,) for y in taker], *[(y, z) for k, y in enumerate(taker) for z in taker[:k]]]:
+                    gain = x - sum(back)
+                    assert (not 0 < gain <= 1000 - sum(taker) or sum(taker) + gain <= sum(giver)
+                            or giver == taker and sum(giver in (tuple(sorted(lengths[i] for i in b)),) for b in bins) == 1)
+
+
 def test_quality(docs, none):
     out = {(r["doc_id"], r["n_words"]): r for r in quality.judged(docs).collect()}
     assert out[(6, 0)]["base_failed"] and not out[(6, 0)]["kept"]
