@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areaflow.llm.common import arrow_schema, batches, map_arrow, partitions, staged
-from areaflow.llm.tokens import _visible_bytes, encoder, vocabulary_path
+from areaflow.llm.tokens import visible_bytes, encoder, vocabulary_path
 from areaflow.sources.staging import shared_dir
 
 NODE = 16
@@ -71,7 +71,7 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
 
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> list[bytes]:
-    tokenizer, back = encoder(path).tokenizer, {c: b for b, c in _visible_bytes().items()}
+    tokenizer, back = encoder(path).tokenizer, {c: b for b, c in visible_bytes().items()}
     return [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
             for t in (tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size()))]
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm import chats, decontaminate, jaccard, lines, packing, quality, secrets, suffixes, token_files, toxicity
+from areaflow.llm import (
+    bpe_trie, chats, decontaminate, jaccard, lines, packing, quality, secrets, spelling, suffixes, token_files, toxicity, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +77,30 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, its form and the last form."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error",
+                      F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        "vec_id", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
+def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and its text back from them."""
+    back = bpe_trie.decoded(bpe_trie.encoded(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe_trie.listed("ids"), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontamination, op2_token_files, op3_toxicity, op4_secrets, op5_best_fit_packing, op6_chat_tree,
-    op7_suffix_dedup, op8_host_rules, op9_line_dedup, op10_jaccard_join)}
+    op7_suffix_dedup, op8_host_rules, op9_line_dedup, op10_jaccard_join, op11_spelling_variants,
+    op12_embedding_whitening, op13_bpe_trie)}
 
 #: Queries whose result SQL can give, by name.
 ORACLES: dict[str, str] = {}

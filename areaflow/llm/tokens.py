@@ -26,7 +26,7 @@ _WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fu
 _SETTLED = re.compile(r"[\t-\r\x20-\x7e\xa1-ɏ]*")
 
 
-def _visible_bytes() -> dict[int, str]:
+def visible_bytes() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     hidden = [b for b in range(256) if b not in shown]
@@ -38,7 +38,7 @@ class _Pretokens(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.table = model, _visible_bytes()
+        self.model, self.table = model, visible_bytes()
 
     def ids(self, token: str) -> bytes:
         if token.isascii() and token.isprintable():
