@@ -79,7 +79,7 @@ FROM deg d LEFT JOIN (SELECT threshold_m, node, count(*) AS n FROM (
 
 
 def clustering(s: S) -> DataFrame:
-    return N.local_clustering(N.edges_at(edges(s)), ["threshold_m"])
+    return N.local_clustering(edges(s))
 
 
 @query("local_clustering", f"SELECT threshold_m, node, degree, triangles, {R('clustering')} AS clustering FROM clust")
@@ -96,7 +96,7 @@ LEFT JOIN clust c ON c.threshold_m = t.m AND c.node = u.user_id GROUP BY 1, 2"""
 @query("area_clustering", f"SELECT threshold_m, area_id, n_users, {R('clustering')} AS clustering FROM clust_area")
 def area_clustering(s: S):
     people, ties = users_and_edges(s)
-    return published(N.area_clustering(N.local_clustering(N.edges_at(ties), ["threshold_m"]), people))
+    return published(N.area_clustering(N.local_clustering(ties), people))
 
 
 SQL["within"] = "SELECT threshold_m, area_u AS area_id, u, v FROM at_m WHERE area_u = area_v"
@@ -111,7 +111,7 @@ FROM within w GROUP BY 1, 2"""
 
 @query("support_ratio", f"SELECT threshold_m, area_id, n_edges, {R('support_ratio')} AS support_ratio FROM support WHERE n_edges >= 3")
 def support_ratio(s: S):
-    return published(N.support_ratio(N.edges_at(edges(s)), 3))
+    return published(N.support_ratio(edges(s), 3))
 
 
 SQL["hi_area"] = """
@@ -127,7 +127,7 @@ SELECT threshold_m, area_id, avg(f) * 2 AS ec FROM (
 @query("econ_connectedness", f"SELECT threshold_m, area_id, {R('ec')} AS ec FROM ec")
 def econ_connectedness(s: S):
     people, ties = users_and_edges(s)
-    return published(N.economic_connectedness(N.edges_at(ties), N.area_income_class(people, income(s))))
+    return published(N.economic_connectedness(ties, N.area_income_class(people, income(s))))
 
 
 SQL["sweep"] = """
