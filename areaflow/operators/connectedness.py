@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import displaced_beyond, finite_or_null
-from areaflow.functions.frames import exact_quantiles, zscore
+from areaflow.functions.frames import exact_quantiles
 from areaflow.operators.density import kde
-from areaflow.operators.regress import fit_linear, residualise, with_interval
+from areaflow.operators.regress import fit_linear, residualise, standardised, with_interval
 
 # Displacement thresholds (km) and quadrant labels.
 DISTANCE_THRESHOLDS_KM = (10, 50, 100)
@@ -63,9 +63,9 @@ def ec_effect(person: DataFrame, ec: DataFrame, thresholds: Sequence[int] = DIST
     """
     known = ec.select("home_area", finite_or_null("ec_residual").alias("ec_residual")).dropna()
     shares = area_shares(person, known, thresholds)
-    z = zscore(shares, ["ec_residual"], ["disaster", "threshold_km"])
-    fit = fit_linear(z.withColumn("y", F.col("share") * 100.0), "y", ["ec_residual_z"],
-                     ["disaster", "threshold_km"], None, "HC1", 3)
+    by = ["disaster", "threshold_km"]
+    stats, z = standardised(shares, by, ["ec_residual"], flat=0.0)
+    fit = fit_linear(shares, F.col("share") * 100.0, z, by, None, "HC1", 3, stats)
     return with_interval(fit.filter(F.col("term") == "ec_residual_z"), 1.96, "lo_pp", "hi_pp").select(
         "disaster", "threshold_km", F.col("coef").alias("beta_pp"), F.col("se").alias("se_pp"), "lo_pp", "hi_pp",
         "p", F.col("n").alias("n_area"))

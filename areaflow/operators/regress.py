@@ -2,13 +2,14 @@
 
 Pass one sums cross-products per group; a k x k system (k at most a handful) is solved for
 each group's single row; pass two attaches the coefficients, computes residuals and leverages
-and sums the sandwich's middle. Rows never leave Spark and the numpy code sees one row per group.
+and sums the sandwich's middle. Columns that are standardised or made free of another in their group are expressions over one more row
+per group, so they cost one more pass, however many there are. Rows never leave Spark and the numpy code sees one row per group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import FOREST_CUTS, TABLE_CUTS, stars
-from areaflow.functions.frames import attach, zscore
+from areaflow.functions.frames import attach
 
 # Fixed value: 97.5 % point of the standard normal distribution.
 Z975 = 1.959963984540054
@@ -27,11 +28,11 @@ def _key_ddl(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"`{b}` {types[b]}, " for b in by)
 
 
-def _solve(k: int, keys: Sequence[str]):
+def _solve(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             beta, inv = [], []
-            for xx, xy in zip(b["xx"], b["xy"]):
+            for xx, xy in zip(b["_xx"], b["_xy"]):
                 full = np.zeros((k, k))
                 full[np.triu_indices(k)] = xx
                 full = full + np.triu(full, 1).T
@@ -39,7 +40,7 @@ def _solve(k: int, keys: Sequence[str]):
                 g = np.linalg.pinv(full, rcond=1e-13, hermitian=True)
                 beta.append(g @ np.asarray(xy, dtype=float))
                 inv.append(g.ravel())
-            yield b[[*keys, "n"]].assign(beta=beta, inv=inv)
+            yield b.drop(columns=["_xx", "_xy"]).assign(_beta=beta, _inv=inv)
 
     return run
 
@@ -67,30 +68,76 @@ def _sandwich(k: int, keys: Sequence[str], terms: Sequence[str], hc1: bool):
     return run
 
 
-def fit_linear(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (),
-               weight: str | None = None, cov: str = "HC3", min_rows: int = 3) -> DataFrame:
+def standardised(rows: DataFrame, by: Sequence[str], values: Sequence[str], on: str | None = None,
+                 free: Sequence[str] = (), flat: float | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """What standardises columns per group, from one pass, and the standardised columns as expressions over both.
+
+    Means, variances and covariances (each merged from centred partial sums) determine all of it: ``values`` minus mean over
+    population sd, and ``free``, named ``_r``, first made free of ``on``: the residual of a column regressed on another
+    has mean zero and the variance that the covariance leaves. Attaching the one row per group to the rows gives the
+    columns without another pass. ``flat`` stands where nothing varies (null: no value). ``_size`` counts the group.
+    """
+    named = list(dict.fromkeys([*values, *([on] if on else []), *free]))
+    aggs = [F.count("*").alias("_size")]
+    for v in named:
+        aggs += [F.avg(v).alias(f"_m_{v}"), F.var_pop(v).alias(f"_v_{v}")]
+    stats = rows.groupBy(*by).agg(*aggs, *[F.covar_pop(v, on).alias(f"_c_{v}") for v in free])
+    off = lambda v: F.col(v).cast("double") - F.col(f"_m_{v}")
+
+    def over_sd(part: Column, variance: Column) -> Column:
+        z = F.when(variance > 0, part / F.sqrt(variance))
+        return z if flat is None else F.coalesce(z, F.when(part.isNotNull(), F.lit(float(flat))))
+
+    out = {f"{v}_z": over_sd(off(v), F.col(f"_v_{v}")) for v in values}
+    for v in free:
+        slope = F.try_divide(F.col(f"_c_{v}"), F.col(f"_v_{on}"))
+        out[f"{v}_r_z"] = over_sd(off(v) - slope * off(on), F.col(f"_v_{v}") - slope * F.col(f"_c_{v}"))
+    return stats, out
+
+
+def fit_linear(df: DataFrame, y: str | Column, terms: Sequence[str] | Mapping[str, Column], by: Sequence[str] = (),
+               weight: str | None = None, cov: str = "HC3", min_rows: int = 3, stats: DataFrame | None = None,
+               only: Column | None = None) -> DataFrame:
     """Least squares with intercept per group; one row per group and term.
 
     ``cov`` is ``HC1`` or ``HC3``; with ``weight`` the whitened rows enter the sandwich.
     p-values use the normal distribution. Rows with a missing value are left out.
+
+    ``y`` and ``terms`` may be expressions that also read ``stats``, one row per group. That row travels with the group's
+    coefficients, so ``df`` is read once for the cross-products and once for the sandwich, besides what ``stats``
+    takes. ``only``: an aggregate over the fitted rows' terms (by name) that a group must meet.
     """
-    by, names = list(by), ["const", *terms]
+    by = list(by)
+    terms = dict(terms) if isinstance(terms, Mapping) else {t: F.col(t) for t in terms}
+    names = ["const", *terms]
     k = len(names)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(*by, F.col(y).cast("double").alias("_y"), w.alias("_w"), F.lit(1.0).alias("_x0"),
-                     *[F.col(t).cast("double").alias(f"_x{i}") for i, t in enumerate(terms, 1)]).dropna()
+    carried = [c for c in stats.columns if c not in by] if stats is not None else []
     x = [F.col(f"_x{i}") for i in range(k)]
+
+    def rows(group: DataFrame | None, *more: str) -> DataFrame:
+        """The design, with the columns of the group's row."""
+        full = df if group is None else attach(df, group, by)
+        design = {"_y": F.col(y) if isinstance(y, str) else y, "_w": w, "_x0": F.lit(1.0)}
+        design |= {f"_x{i}": t for i, t in enumerate(terms.values(), 1)}
+        return full.select(*by, *more, *[c.cast("double").alias(n) for n, c in design.items()]).dropna(subset=list(design))
+
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    moments = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("xx"),
-        F.array(*[F.sum(F.col("_w") * x[i] * F.col("_y")) for i in range(k)]).alias("xy"),
-    ).filter(F.col("n") >= min_rows)
+    first = rows(stats, *carried)
+    if only is not None:
+        first = first.withColumns({t: x[i] for i, t in enumerate(terms, 1)})
+    moments = first.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("_xx"),
+        F.array(*[F.sum(F.col("_w") * x[i] * F.col("_y")) for i in range(k)]).alias("_xy"),
+        *[F.first(c).alias(c) for c in carried], (F.lit(True) if only is None else only).alias("_only"),
+    ).filter((F.col("_n") >= min_rows) & F.col("_only")).drop("_only")
     keys = _key_ddl(df, by)
-    solved = moments.mapInPandas(_solve(k, by), keys + "n long, beta array<double>, inv array<double>")
-    b = lambda i: F.element_at("beta", i + 1)
-    g = lambda i, j: F.element_at("inv", i * k + j + 1)
-    fitted = attach(rows, solved, by)
-    fitted = fitted.withColumn("_e", F.col("_y") - _total([b(i) * x[i] for i in range(k)]))
+    kept = _key_ddl(stats, carried) if stats is not None else ""
+    solved = moments.select(*by, "_n", *carried, "_xx", "_xy").mapInPandas(
+        _solve(k), f"{keys}_n long, {kept}_beta array<double>, _inv array<double>")
+    b = lambda i: F.element_at("_beta", i + 1)
+    g = lambda i, j: F.element_at("_inv", i * k + j + 1)
+    fitted = rows(solved, "_n", "_beta", "_inv").withColumn("_e", F.col("_y") - _total([b(i) * x[i] for i in range(k)]))
     m = F.col("_w") * F.col("_w") * F.col("_e") * F.col("_e")
     if cov == "HC3":
         quad = _total([(1.0 if i == j else 2.0) * g(i, j) * x[i] * x[j] for i, j in pairs])
@@ -98,7 +145,7 @@ def fit_linear(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] =
         m = m / F.nullif(F.col("_h") * F.col("_h"), F.lit(0.0))
     fitted = fitted.withColumn("_m", m)
     meats = fitted.groupBy(*by).agg(
-        F.first("n").alias("n"), F.first("beta").alias("beta"), F.first("inv").alias("inv"),
+        F.first("_n").alias("n"), F.first("_beta").alias("beta"), F.first("_inv").alias("inv"),
         F.array(*[F.sum(F.col("_m") * x[i] * x[j]) for i, j in pairs]).alias("meat"))
     return meats.mapInPandas(_sandwich(k, by, names, cov == "HC1"),
                              keys + "term string, coef double, se double, z double, p double, n long")
@@ -149,24 +196,20 @@ def residual_refit(df: DataFrame, sample: DataFrame, key: str, y: str, x: str, r
 # --- recovery ----------------------------------------------------------------------
 
 def _recovery_rows(recovery: DataFrame, outcomes: Sequence[str], metrics: Sequence[str], income: str,
-                   weight: str, min_rows: int) -> DataFrame:
-    """Long by outcome, complete rows with positive weight, groups with enough rows."""
-    long = recovery.select("event", income, weight, *metrics, F.explode(F.array(*[
+                   weight: str) -> DataFrame:
+    """Long by outcome, complete rows with positive weight."""
+    return recovery.select("event", income, weight, *metrics, F.explode(F.array(*[
         F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes])).alias("_o")).select(
         "event", "_o.outcome", "_o.y", income, weight, *metrics).dropna().filter(F.col(weight) >= 1)
-    size = long.groupBy("event", "outcome").agg(F.count("*").alias("_size")).filter(F.col("_size") >= min_rows)
-    return attach(long, size, ["event", "outcome"]).drop("_size")
 
 
 def recovery_regression(recovery: DataFrame, outcomes: Sequence[str], metrics: Sequence[str],
                         income: str = "median_income", weight: str = "n_damaged", min_rows: int = 10) -> DataFrame:
-    """Weighted, standardised regressions of each outcome on income and income-free metrics, HC3."""
+    """Weighted, standardised regressions of each outcome on income and income-free metrics, HC3; three passes in all."""
     by = ["event", "outcome"]
-    rows = _recovery_rows(recovery, outcomes, metrics, income, weight, min_rows)
-    free = residualise(rows, metrics, income, by)
-    terms = [income, *[f"{m}_r" for m in metrics]]
-    z = zscore(free, ["y", *terms], by, flat=None)
-    fit = fit_linear(z, "y_z", [f"{t}_z" for t in terms], by, weight, "HC3", min_rows)
+    rows = _recovery_rows(recovery, outcomes, metrics, income, weight)
+    stats, z = standardised(rows, by, ["y", income], income, metrics)
+    fit = fit_linear(rows, z.pop("y_z"), z, by, weight, "HC3", min_rows, stats.filter(F.col("_size") >= min_rows))
     return with_interval(fit)
 
 
@@ -185,13 +228,15 @@ def variance_decomposition(recovery: DataFrame, outcomes: Sequence[str], metric:
     """Weighted R² of income, of the metric, and of income with the income-free metric.
 
     R² does not change under standardising or when the metric is replaced by its residual
-    beside income, so the three weighted correlations determine all of them in one pass.
+    beside income, so the three weighted correlations determine all of them in one pass over the standardised rows.
     """
     by = ["event", "outcome"]
-    rows = zscore(_recovery_rows(recovery, outcomes, [metric], income, weight, min_rows), ["y", income, metric], by,
-                  flat=None)
+    rows = _recovery_rows(recovery, outcomes, [metric], income, weight)
+    stats, z = standardised(rows, by, ["y", income, metric])
+    rows = attach(rows, stats.filter(F.col("_size") >= min_rows), by).select(
+        *by, F.col(weight).cast("double").alias("_weight"), *[c.alias(n) for n, c in z.items()])
     v = {"y": "y_z", "a": f"{income}_z", "b": f"{metric}_z"}
-    w = F.col(weight).cast("double")
+    w = F.col("_weight")
     aggs = [F.count("*").alias("n"), F.sum(w).alias("_w")]
     aggs += [F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in v.items()]
     duo = [("y", "y"), ("a", "a"), ("b", "b"), ("y", "a"), ("y", "b"), ("a", "b")]
@@ -226,9 +271,7 @@ def panel_by_bin(panel: DataFrame, disasters: Sequence[str], value: str = "mean_
     Bins with few rows or only one side of the event are left out.
     """
     rows, dummies = _panel_design(panel, disasters)
-    both = rows.groupBy("int_bin").agg(F.min("post").alias("_a"), F.max("post").alias("_b")).filter("_a < _b")
-    usable = rows.join(both.select("int_bin"), "int_bin", "left_semi")
-    fit = fit_linear(usable, value, ["post", *dummies], ["int_bin"], None, "HC3", min_rows)
+    fit = fit_linear(rows, value, ["post", *dummies], ["int_bin"], None, "HC3", min_rows, only=F.min("post") < F.max("post"))
     return fit.filter(F.col("term") == "post").select(
         "int_bin", F.col("coef").alias("alpha1_km"), F.col("se").alias("std_err"), "p", "n")
 

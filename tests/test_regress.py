@@ -124,3 +124,48 @@ def test_destination_excess(spark):
     assert got == {10: (2, pytest.approx(math.log(2 / 6))), 50: (1, pytest.approx(math.log(2 / 6)))}
     other = {r.home_area: r.baseline for r in K.origin_baseline(od, include_self=False).collect()}
     assert other == {"a": 1.0, "b": 5.0}
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_standardised_columns_follow_from_one_pass(spark, data, tmp_path):
+    g, x1, x2, y, w = data
+    df = spark.createDataFrame([(str(a), float(b), float(c) * 1e6 + 4e8, float(d), int(e), 5.0) for a, b, c, d, e in zip(*data)],
+                               "event string, metric double, income double, out1 double, n_damaged int, out2 double")
+    df.withColumn("spare", df.out1 * 2).write.parquet(f"{tmp_path}/recovery")
+    rows = spark.read.parquet(f"{tmp_path}/recovery")
+    fit = R.recovery_regression(rows, ["out1", "out2"], ["metric"], "income", min_rows=26)
+    got = {(r.event, r.outcome, r.term): (r.coef, r.se) for r in fit.collect()}
+    m = g == "b"  # the other group is too small, and out2 does not vary
+    z = lambda v: (v - v.mean()) / v.std()
+    income = x2[m] * 1e6 + 4e8
+    slope, cut = np.polyfit(income - income.mean(), x1[m], 1)
+    free = x1[m] - slope * (income - income.mean()) - cut
+    b, se = robust(np.column_stack([z(income), z(free)]), z(y[m]), w[m].astype(int).astype(float))
+    assert {k[:2] for k in got} == {("b", "out1")}
+    for i, t in enumerate(["const", "income_z", "metric_r_z"]):
+        assert got["b", "out1", t] == pytest.approx((b[i], se[i]), abs=1e-10)
+    assert scans(fit) == 3
+    parts = R.variance_decomposition(rows, ["out1"], "metric", "income", min_rows=26)
+    assert scans(parts) == 2
+    ww = w[m].astype(int).astype(float)
+
+    def r2(cols):
+        xs = np.column_stack([np.ones(m.sum()), *cols]) * np.sqrt(ww)[:, None]
+        e = z(y[m]) * np.sqrt(ww) - xs @ np.linalg.lstsq(xs, z(y[m]) * np.sqrt(ww), rcond=None)[0]
+        centred = z(y[m]) - np.average(z(y[m]), weights=ww)
+        return 1 - (e ** 2).sum() / (ww * centred ** 2).sum()
+
+    row = parts.first()
+    assert row.r2_income_only == pytest.approx(r2([z(income)]), abs=1e-10)
+    assert row.r2_income_plus_ec == pytest.approx(r2([z(income), z(x1[m])]), abs=1e-10)
+
+
+def test_effect_where_nothing_varies(spark):
+    rows = [("S", f"p{i}", f"a{i % 4}", 1 if i % 3 else 0, 60.0) for i in range(40)]
+    person = spark.createDataFrame(rows, "disaster string, pid string, home_area string, evacuated int, distance_km double")
+    ec = spark.createDataFrame([(f"a{i}", 0.5) for i in range(4)], "home_area string, ec_residual double")
+    out = K.ec_effect(person, ec, [10]).collect()
+    assert [(r.beta_pp, r.n_area) for r in out] == [(0.0, 4)]
