@@ -35,47 +35,114 @@ def ring_edges(polygons: DataFrame, keep: Sequence[str] = ("area_id", "part")) -
     return polygons.filter(F.size("ring") >= 3).withColumn("_r", closed).select(*keep, pairs.alias("edges"))
 
 
-def polygon_tiles(polygons: DataFrame, size: float) -> DataFrame:
-    """One row per ring and touched tile with only the edges a ray from that tile can meet."""
-    edges = ring_edges(polygons)
-    low = lambda a, b: F.array_min(F.transform("edges", lambda e: F.least(e[a], e[b])))
-    high = lambda a, b: F.array_max(F.transform("edges", lambda e: F.greatest(e[a], e[b])))
-    boxed = edges.select("*", tile(low("x1", "x2"), size).alias("_a"), tile(high("x1", "x2"), size).alias("_b"),
-                         tile(low("y1", "y2"), size).alias("_c"), tile(high("y1", "y2"), size).alias("_d"))
-    rows = boxed.withColumn("ty", F.explode(F.sequence("_c", "_d")))
-    y0, y1 = F.col("ty") * size, (F.col("ty") + 1) * size
-    band = rows.withColumn("edges", F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-                                             & (F.least(e["y1"], e["y2"]) <= y1)))
-    cells = band.withColumn("tx", F.explode(F.sequence("_a", "_b")))
-    x0 = F.col("tx") * size
-    return cells.select("area_id", "part", "tx", "ty", F.filter(
-        "edges", lambda e: F.greatest(e["x1"], e["x2"]) >= x0).alias("edges")).filter(F.size("edges") > 0)
+# How far a cell's reference point lies from its corner, in parts of its side. No round number, so that vertices
+# given in round numbers hardly ever lie on a line through it.
+_REF = (0.3819660112501051, 0.6180339887498949)
+
+
+def _side(e: Column, x: Column, y: Column) -> Column:
+    """Positive on the left of an edge, negative on its right."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+
+
+def _crossings(edges: str | Column, rx: Column, ry: Column, px: Column, py: Column) -> Column:
+    """How many edges the segment from (rx, ry) to (px, py) crosses; a vertex counts to one side of its line."""
+    over = lambda x, y: (px - rx) * (y - ry) - (py - ry) * (x - rx) > 0
+    return F.size(F.filter(edges, lambda e: (over(e["x1"], e["y1"]) != over(e["x2"], e["y2"]))
+                           & ((_side(e, rx, ry) > 0) != (_side(e, px, py) > 0))))
+
+
+def _touching(edges: str | Column, ix: Column, iy: Column, side: Column) -> Column:
+    """The edges that touch a closed square cell; one that only comes close may stay."""
+    half = side / 2
+    cx, cy, reach = (ix + 0.5) * side, (iy + 0.5) * side, half * (1 + 1e-9)
+    return F.filter(edges, lambda e: (
+        (F.greatest(e["x1"], e["x2"]) >= cx - reach) & (F.least(e["x1"], e["x2"]) <= cx + reach)
+        & (F.greatest(e["y1"], e["y2"]) >= cy - reach) & (F.least(e["y1"], e["y2"]) <= cy + reach)
+        & (F.abs(_side(e, cx, cy)) <= (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * reach)))
+
+
+def polygon_cover(polygons: DataFrame, size: float = 4.0, levels: int = 12, max_edges: int = 16,
+                  splits: int = 8) -> DataFrame:
+    """Square cells of mixed levels that cover each area: cells inside it, and cells with the edges that touch them.
+
+    A cell of level k has the side ``size / 2**k``. An area starts at the level of its own extent and cells are split, at most ``splits``
+    times, while they hold more than ``max_edges`` edges or are wide beside the area; cells outside are dropped. ``inside``
+    says whether the cell's reference point is in the area. It is known for a child from its parent's point: the segment
+    between both stays in the parent, so only the parent's edges can lie between. Cells without ``edges`` are wholly inside.
+    """
+    rings = ring_edges(polygons)
+    low = lambda p, q: F.array_min(F.transform("edges", lambda e: F.least(e[p], e[q])))
+    high = lambda p, q: F.array_max(F.transform("edges", lambda e: F.greatest(e[p], e[q])))
+    whole = rings.groupBy("area_id").agg(F.flatten(F.collect_list("edges")).alias("edges")).select(
+        "area_id", "edges", low("x1", "x2").alias("bx1"), high("x1", "x2").alias("bx2"),
+        low("y1", "y2").alias("by1"), high("y1", "y2").alias("by2"))
+    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"))
+    start = F.floor(F.log2(F.lit(float(size)) / extent))
+    side = lambda level: F.lit(float(size)) / F.pow(F.lit(2.0), level)
+    sized = whole.withColumn("_extent", extent).withColumn("level", F.greatest(F.lit(0), F.least(
+        F.lit(levels), F.coalesce(start, F.lit(levels)))).cast("int"))
+    at = lambda c: F.floor(F.col(c) / side(F.col("level")))
+    roots = sized.withColumn("iy", F.explode(F.sequence(at("by1"), at("by2")))).withColumn(
+        "ix", F.explode(F.sequence(at("bx1"), at("bx2"))))
+    box = ["bx1", "bx2", "by1", "by2"]
+    rx, ry = (F.col("ix") + _REF[0]) * side(F.col("level")), (F.col("iy") + _REF[1]) * side(F.col("level"))
+
+    def ray(e: Column) -> Column:
+        crossing = (e["x2"] - e["x1"]) * (ry - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > ry) != (e["y2"] > ry)) & (rx < crossing)
+
+    # The segment from a cell's point to a child's or a place's: from cells on only the edges in the cell count.
+    cells = roots.select("area_id", *box, "_extent", "level", "ix", "iy", (F.size(F.filter("edges", ray)) % 2 == 1).alias("inside"),
+                         _touching("edges", F.col("ix"), F.col("iy"), side(F.col("level"))).alias("edges"))
+    used = lambda df: df.filter(F.col("inside") | (F.size("edges") > 0))
+    cells = used(cells)
+    for _ in range(min(splits, levels)):
+        wide = side(F.col("level")) * 4 > F.col("_extent")
+        split = (F.col("level") < levels) & (F.size("edges") > 0) & ((F.size("edges") > max_edges) | wide)
+        fine = side(F.col("level") + 1)
+
+        def child(q: Column) -> Column:
+            x, y = F.col("ix") * 2 + q % 2, F.col("iy") * 2 + F.floor(q / 2)
+            turns = _crossings("edges", rx, ry, (x + _REF[0]) * fine, (y + _REF[1]) * fine) % 2 == 1
+            return F.struct((F.col("level") + 1).alias("level"), x.alias("ix"), y.alias("iy"),
+                            (F.col("inside") != turns).alias("inside"), _touching("edges", x, y, fine).alias("edges"))
+
+        kept = F.array(F.struct("level", "ix", "iy", "inside", "edges"))
+        four = F.transform(F.array(*[F.lit(q).cast("long") for q in range(4)]), child)
+        cells = used(cells.select("area_id", *box, "_extent", F.inline(F.when(split, four).otherwise(kept))))
+    return cells.select("area_id", *box, "level", "ix", "iy", "inside", "edges")
+
+
+def candidate_pairs(points: DataFrame, cover: DataFrame, size: float = 4.0, levels: int = 12) -> DataFrame:
+    """Points (``_px``, ``_py``) beside the cover's cells they lie in, found by the point's cell at every level."""
+    every = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    side = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
+    placed = every.withColumn("ix", F.floor(F.col("_px") / side)).withColumn("iy", F.floor(F.col("_py") / side))
+    return placed.join(cover, ["level", "ix", "iy"])
 
 
 def assign_area(points: DataFrame, polygons: DataFrame, point_id: str, lon: str = "lon", lat: str = "lat",
-                size: float = 0.5) -> DataFrame:
+                size: float = 4.0, levels: int = 12) -> DataFrame:
     """Area strictly containing each point; the smallest id when several do, null when none does.
 
-    ``points`` should hold distinct places, so a busy place is tested once.
+    ``points`` should hold distinct places, so a busy place is tested once. Points meet the cells of
+    :func:`polygon_cover`: in a cell inside an area nothing is tested; elsewhere the area's box, then the edges of that
+    cell alone, against the segment from the cell's reference point.
     """
-    pts = points.select(point_id, F.col(lon).alias("_px"), F.col(lat).alias("_py")).dropna()
-    placed = pts.withColumn("tx", tile("_px", size)).withColumn("ty", tile("_py", size))
+    pts = points.select(point_id, F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")).dropna()
     px, py = F.col("_px"), F.col("_py")
 
-    def crosses(e: Column) -> Column:
-        straddles = (e["y1"] > py) != (e["y2"] > py)
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return straddles & (px < at)
-
     def touches(e: Column) -> Column:
-        aligned = (e["x2"] - e["x1"]) * (py - e["y1"]) == (e["y2"] - e["y1"]) * (px - e["x1"])
-        return (aligned & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        return ((_side(e, px, py) == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    tested = placed.join(polygon_tiles(polygons, size), ["tx", "ty"]).select(
-        point_id, "area_id", F.size(F.filter("edges", crosses)).alias("_n"), F.exists("edges", touches).alias("_on"))
-    inside = tested.groupBy(point_id, "area_id").agg(F.sum("_n").alias("_n"), F.max("_on").alias("_on")).filter(
-        (F.col("_n") % 2 == 1) & ~F.col("_on"))
+    cell = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
+    turns = _crossings("edges", (F.col("ix") + _REF[0]) * cell, (F.col("iy") + _REF[1]) * cell, px, py) % 2 == 1
+    boxed = (px > F.col("bx1")) & (px < F.col("bx2")) & (py > F.col("by1")) & (py < F.col("by2"))
+    inside = candidate_pairs(pts, polygon_cover(polygons, size, levels), size, levels).filter(
+        F.when(F.size("edges") == 0, F.col("inside")).otherwise(
+            boxed & (F.col("inside") != turns) & ~F.exists("edges", touches)))
     found = inside.groupBy(point_id).agg(F.min("area_id").alias("area_id"))
     return points.select(point_id).join(found, point_id, "left")
 

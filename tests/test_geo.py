@@ -24,6 +24,51 @@ def test_square_with_hole_and_boundary(spark):
         assert got == want, size
 
 
+def star(rng, x, y, r, corners):
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(x + r * rng.uniform(0.3, 1) * math.cos(t), y + r * rng.uniform(0.3, 1) * math.sin(t)) for t in turns]
+
+
+def by_ray(ring, x, y):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("size", [4.0, 0.7])
+def test_cover_against_every_polygon(spark, size):
+    rng = random.Random(6)
+    shapes = [star(rng, rng.uniform(-3, 3), rng.uniform(-3, 3), rng.choice([0.02, 0.3, 5.0]), rng.choice([3, 12, 150])) for _ in range(60)]
+    shapes += [[(x / 8, y / 8), (x / 8 + 0.25, y / 8), (x / 8 + 0.25, y / 8 + 0.25), (x / 8, y / 8 + 0.25)] for x in range(-3, 3) for y in range(-3, 3)]
+    polys = spark.createDataFrame([(f"{k:03}", 0, False, s) for k, s in enumerate(shapes)], RING)
+    # Round numbers lie on cell borders, on lines of vertices and on edges.
+    spots = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(500)] + [(x / 16, y / 16) for x in range(-8, 8, 1) for y in range(-7, 8, 2)]
+    spots += [(s[0][0], s[0][1]) for s in shapes] + [((s[0][0] + s[1][0]) / 2 + 1e-4, (s[0][1] + s[1][1]) / 2) for s in shapes]
+    edge = lambda x, y: any(
+        (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)
+        for s in shapes[60:] for (x1, y1), (x2, y2) in zip(s, s[1:] + s[:1]))
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, lon double, lat double")
+    got = {r.id: r.area_id for r in geo.assign_area(pts, polys, "id", size=size).collect()}
+    assert len(got) == len(spots)
+    for i, (x, y) in enumerate(spots):
+        if i < 500 or not edge(x, y) and (x, y) not in [s[0] for s in shapes]:
+            assert got[i] == min((f"{k:03}" for k, s in enumerate(shapes) if by_ray(s, x, y)), default=None), (x, y)
+    assert {got[i] for i, p in enumerate(spots) if p == (0.0, 0.0)} <= {f"{k:03}" for k in range(60)} | {None}
+
+
+def test_a_dense_tile_has_few_candidates(spark):
+    """500 areas and 100,000 places in one cell of the coarsest level: few pairs are tested."""
+    rng = random.Random(12)
+    shapes = [star(rng, 0.1 + 0.16 * (k % 25), 0.1 + 0.19 * (k // 25), 0.08, 40) for k in range(500)]
+    polys = spark.createDataFrame([(f"{k:03}", 0, False, s) for k, s in enumerate(shapes)], RING)
+    pts = spark.range(100_000).selectExpr("id", "4 * pmod(id * 0.6180339887498949D, 1) AS _px", "4 * pmod(id * 0.7548776662466927D, 1) AS _py")
+    pairs = geo.candidate_pairs(pts, geo.polygon_cover(polys))
+    n, edges, tested = pairs.selectExpr("count(*)", "sum(size(edges))", "count(if(size(edges) > 0, 1, null))").first()
+    assert tested < 80_000 and n < 100_000 and edges / tested <= 17
+
+
 def test_polygon_measures(spark):
     polys = spark.createDataFrame([
         ("A", 0, False, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]),
