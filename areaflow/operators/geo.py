@@ -40,85 +40,76 @@ def ring_edges(polygons: DataFrame, keep: Sequence[str] = ("area_id", "part")) -
 _REF = (0.3819660112501051, 0.6180339887498949)
 
 
-def _side(e: Column, x: Column, y: Column) -> Column:
+# Predicates on the edges ``e`` of an array, as SQL text: nested lambdas are built once by the parser.
+
+def _turn(x: str, y: str) -> str:
     """Positive on the left of an edge, negative on its right."""
-    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return f"((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))"
 
 
-def _crossings(edges: str | Column, rx: Column, ry: Column, px: Column, py: Column) -> Column:
+def _crossings(rx: str, ry: str, px: str, py: str) -> str:
     """How many edges the segment from (rx, ry) to (px, py) crosses; a vertex counts to one side of its line."""
-    over = lambda x, y: (px - rx) * (y - ry) - (py - ry) * (x - rx) > 0
-    return F.size(F.filter(edges, lambda e: (over(e["x1"], e["y1"]) != over(e["x2"], e["y2"]))
-                           & ((_side(e, rx, ry) > 0) != (_side(e, px, py) > 0))))
+    over = lambda x, y: f"(({px} - {rx}) * ({y} - {ry}) - ({py} - {ry}) * ({x} - {rx}) > 0)"
+    return (f"size(filter(edges, e -> {over('e.x1', 'e.y1')} != {over('e.x2', 'e.y2')} "
+            f"AND ({_turn(rx, ry)} > 0) != ({_turn(px, py)} > 0)))")
 
 
-def _touching(edges: str | Column, ix: Column, iy: Column, side: Column) -> Column:
+def _touching(ix: str, iy: str, side: str) -> str:
     """The edges that touch a closed square cell; one that only comes close may stay."""
-    half = side / 2
-    cx, cy, reach = (ix + 0.5) * side, (iy + 0.5) * side, half * (1 + 1e-9)
-    return F.filter(edges, lambda e: (
-        (F.greatest(e["x1"], e["x2"]) >= cx - reach) & (F.least(e["x1"], e["x2"]) <= cx + reach)
-        & (F.greatest(e["y1"], e["y2"]) >= cy - reach) & (F.least(e["y1"], e["y2"]) <= cy + reach)
-        & (F.abs(_side(e, cx, cy)) <= (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * reach)))
+    cx, cy, reach = f"(({ix} + 0.5D) * {side})", f"(({iy} + 0.5D) * {side})", f"({side} * {0.5 * (1 + 1e-9)!r}D)"
+    return (f"filter(edges, e -> greatest(e.x1, e.x2) >= {cx} - {reach} AND least(e.x1, e.x2) <= {cx} + {reach} "
+            f"AND greatest(e.y1, e.y2) >= {cy} - {reach} AND least(e.y1, e.y2) <= {cy} + {reach} "
+            f"AND abs({_turn(cx, cy)}) <= (abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {reach})")
+
+
+def _reference(ix: str, iy: str, side: str) -> tuple[str, str]:
+    return f"(({ix} + {_REF[0]!r}D) * {side})", f"(({iy} + {_REF[1]!r}D) * {side})"
+
+
+def _cell_side(size: float, level: str) -> str:
+    return f"({float(size)!r}D / pow(2D, {level}))"
 
 
 def polygon_cover(polygons: DataFrame, size: float = 4.0, levels: int = 12, max_edges: int = 16,
-                  splits: int = 8) -> DataFrame:
+                  splits: int = 3) -> DataFrame:
     """Square cells of mixed levels that cover each area: cells inside it, and cells with the edges that touch them.
 
-    A cell of level k has the side ``size / 2**k``. An area starts at the level of its own extent and cells are split, at most ``splits``
+    A cell of level k has the side ``size / 2**k``. An area starts at the level of its own extent and cells are split in 8 x 8, at most ``splits``
     times, while they hold more than ``max_edges`` edges or are wide beside the area; cells outside are dropped. ``inside``
     says whether the cell's reference point is in the area. It is known for a child from its parent's point: the segment
     between both stays in the parent, so only the parent's edges can lie between. Cells without ``edges`` are wholly inside.
     """
-    rings = ring_edges(polygons)
-    low = lambda p, q: F.array_min(F.transform("edges", lambda e: F.least(e[p], e[q])))
-    high = lambda p, q: F.array_max(F.transform("edges", lambda e: F.greatest(e[p], e[q])))
-    whole = rings.groupBy("area_id").agg(F.flatten(F.collect_list("edges")).alias("edges")).select(
-        "area_id", "edges", low("x1", "x2").alias("bx1"), high("x1", "x2").alias("bx2"),
-        low("y1", "y2").alias("by1"), high("y1", "y2").alias("by2"))
-    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"))
-    start = F.floor(F.log2(F.lit(float(size)) / extent))
-    side = lambda level: F.lit(float(size)) / F.pow(F.lit(2.0), level)
-    sized = whole.withColumn("_extent", extent).withColumn("level", F.greatest(F.lit(0), F.least(
-        F.lit(levels), F.coalesce(start, F.lit(levels)))).cast("int"))
-    at = lambda c: F.floor(F.col(c) / side(F.col("level")))
-    roots = sized.withColumn("iy", F.explode(F.sequence(at("by1"), at("by2")))).withColumn(
-        "ix", F.explode(F.sequence(at("bx1"), at("bx2"))))
-    box = ["bx1", "bx2", "by1", "by2"]
-    rx, ry = (F.col("ix") + _REF[0]) * side(F.col("level")), (F.col("iy") + _REF[1]) * side(F.col("level"))
-
-    def ray(e: Column) -> Column:
-        crossing = (e["x2"] - e["x1"]) * (ry - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return ((e["y1"] > ry) != (e["y2"] > ry)) & (rx < crossing)
-
-    # The segment from a cell's point to a child's or a place's: from cells on only the edges in the cell count.
-    cells = roots.select("area_id", *box, "_extent", "level", "ix", "iy", (F.size(F.filter("edges", ray)) % 2 == 1).alias("inside"),
-                         _touching("edges", F.col("ix"), F.col("iy"), side(F.col("level"))).alias("edges"))
-    used = lambda df: df.filter(F.col("inside") | (F.size("edges") > 0))
-    cells = used(cells)
-    for _ in range(min(splits, levels)):
-        wide = side(F.col("level")) * 4 > F.col("_extent")
-        split = (F.col("level") < levels) & (F.size("edges") > 0) & ((F.size("edges") > max_edges) | wide)
-        fine = side(F.col("level") + 1)
-
-        def child(q: Column) -> Column:
-            x, y = F.col("ix") * 2 + q % 2, F.col("iy") * 2 + F.floor(q / 2)
-            turns = _crossings("edges", rx, ry, (x + _REF[0]) * fine, (y + _REF[1]) * fine) % 2 == 1
-            return F.struct((F.col("level") + 1).alias("level"), x.alias("ix"), y.alias("iy"),
-                            (F.col("inside") != turns).alias("inside"), _touching("edges", x, y, fine).alias("edges"))
-
-        kept = F.array(F.struct("level", "ix", "iy", "inside", "edges"))
-        four = F.transform(F.array(*[F.lit(q).cast("long") for q in range(4)]), child)
-        cells = used(cells.select("area_id", *box, "_extent", F.inline(F.when(split, four).otherwise(kept))))
+    ends = lambda fn, of, p, q: f"array_{fn}(transform(edges, e -> {of}(e.{p}, e.{q})))"
+    box = "bx1", "bx2", "by1", "by2"
+    side = _cell_side(size, "level")
+    whole = ring_edges(polygons).groupBy("area_id").agg(F.flatten(F.collect_list("edges")).alias("edges")).selectExpr(
+        "area_id", "edges", f"{ends('min', 'least', 'x1', 'x2')} AS bx1", f"{ends('max', 'greatest', 'x1', 'x2')} AS bx2",
+        f"{ends('min', 'least', 'y1', 'y2')} AS by1", f"{ends('max', 'greatest', 'y1', 'y2')} AS by2").selectExpr(
+        "*", "greatest(bx2 - bx1, by2 - by1) AS _extent").selectExpr(
+        "*", f"CAST(greatest(0, least({levels}, coalesce(floor(log2({float(size)!r}D / _extent)), {levels}))) AS INT) AS level")
+    span = lambda low, high: f"sequence(floor({low} / {side}), floor({high} / {side}))"
+    roots = whole.selectExpr("*", f"explode({span('by1', 'by2')}) AS iy").selectExpr("*", f"explode({span('bx1', 'bx2')}) AS ix")
+    rx, ry = _reference("ix", "iy", side)
+    ray = f"(e.y1 > {ry}) != (e.y2 > {ry}) AND {rx} < (e.x2 - e.x1) * ({ry} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1"
+    # Only here all edges are asked; from these cells on the edges in the cell are enough.
+    cells = roots.selectExpr("area_id", *box, "_extent", "level", "ix", "iy", f"size(filter(edges, e -> {ray})) % 2 = 1 AS inside",
+                             f"{_touching('ix', 'iy', side)} AS edges").filter("inside OR size(edges) > 0")
+    fine, x, y = _cell_side(size, "(level + 3)"), "(ix * 8 + q % 8)", "(iy * 8 + q div 8)"
+    child = (f"struct(level + 3 AS level, {x} AS ix, {y} AS iy, "
+             f"inside != ({_crossings(rx, ry, *_reference(x, y, fine))} % 2 = 1) AS inside, {_touching(x, y, fine)} AS edges)")
+    split = f"level + 3 <= {levels} AND size(edges) > 0 AND (size(edges) > {max_edges} OR {side} * 2 > _extent)"
+    for _ in range(splits):
+        cells = cells.selectExpr("area_id", *box, "_extent", f"""inline(CASE WHEN {split}
+            THEN transform(sequence(0L, 63L), q -> {child}) ELSE array(struct(level, ix, iy, inside, edges)) END)""").filter(
+            "inside OR size(edges) > 0")
     return cells.select("area_id", *box, "level", "ix", "iy", "inside", "edges")
 
 
 def candidate_pairs(points: DataFrame, cover: DataFrame, size: float = 4.0, levels: int = 12) -> DataFrame:
     """Points (``_px``, ``_py``) beside the cover's cells they lie in, found by the point's cell at every level."""
-    every = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    side = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
-    placed = every.withColumn("ix", F.floor(F.col("_px") / side)).withColumn("iy", F.floor(F.col("_py") / side))
+    side = _cell_side(size, "level")
+    placed = points.selectExpr("*", f"explode(sequence(0, {levels})) AS level").selectExpr(
+        "*", f"floor(_px / {side}) AS ix", f"floor(_py / {side}) AS iy")
     return placed.join(cover, ["level", "ix", "iy"])
 
 
@@ -131,18 +122,12 @@ def assign_area(points: DataFrame, polygons: DataFrame, point_id: str, lon: str
     cell alone, against the segment from the cell's reference point.
     """
     pts = points.select(point_id, F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")).dropna()
-    px, py = F.col("_px"), F.col("_py")
-
-    def touches(e: Column) -> Column:
-        return ((_side(e, px, py) == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-
-    cell = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
-    turns = _crossings("edges", (F.col("ix") + _REF[0]) * cell, (F.col("iy") + _REF[1]) * cell, px, py) % 2 == 1
-    boxed = (px > F.col("bx1")) & (px < F.col("bx2")) & (py > F.col("by1")) & (py < F.col("by2"))
+    boxed = "_px > bx1 AND _px < bx2 AND _py > by1 AND _py < by2"
+    on_edge = (f"exists(edges, e -> {_turn('_px', '_py')} = 0 AND _px BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+               "AND _py BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))")
+    turns = f"{_crossings(*_reference('ix', 'iy', _cell_side(size, 'level')), '_px', '_py')} % 2 = 1"
     inside = candidate_pairs(pts, polygon_cover(polygons, size, levels), size, levels).filter(
-        F.when(F.size("edges") == 0, F.col("inside")).otherwise(
-            boxed & (F.col("inside") != turns) & ~F.exists("edges", touches)))
+        f"CASE WHEN size(edges) = 0 THEN inside ELSE {boxed} AND inside != ({turns}) AND NOT {on_edge} END")
     found = inside.groupBy(point_id).agg(F.min("area_id").alias("area_id"))
     return points.select(point_id).join(found, point_id, "left")
 
