@@ -226,6 +226,22 @@ def tie_distance_own(s: S):
     return published(ties.own_tie_probability(s.spark, edges.filter("n_total >= 2"), people, tie_cells(s), _N))
 
 
+SQL["null_pairs"] = f"""
+SELECT {_hav('a', 'b')} AS km, CAST(p.n * q.n AS BIGINT) AS n FROM (SELECT home_cell, count(*) AS n FROM users GROUP BY 1) p
+CROSS JOIN (SELECT home_cell, count(*) AS n FROM users GROUP BY 1) q
+JOIN tie_cells a ON a.cell_id = p.home_cell JOIN tie_cells b ON b.cell_id = q.home_cell WHERE p.home_cell <> q.home_cell"""
+
+
+@query("tie_distance_exact", f"""
+SELECT bin, {R('sqrt(lo * hi)')} AS distance_km, edge_n, null_n,
+  {R('CASE WHEN null_n >= 50 THEN (edge_n / sum(edge_n) OVER ()) / (null_n / sum(null_n) OVER ()) END')} AS p
+FROM (SELECT bin, lo, hi, (SELECT count(*) FROM tie_km WHERE km >= lo AND (km < hi OR (bin = 53 AND km = hi))) AS edge_n,
+        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM null_pairs WHERE km >= lo AND (km < hi OR (bin = 53 AND km = hi))) AS null_n FROM km_bins)""")
+def tie_distance_exact(s: S):
+    people, edges = users_and_edges(s)
+    return published(ties.own_tie_probability(s.spark, edges.filter("n_total >= 2"), people, tie_cells(s), None))
+
+
 SQL["nation_dim"] = """
 SELECT CAST(CAST(area_id AS INTEGER) AS VARCHAR) AS area_id, 25.0::DOUBLE + CAST(area_id AS INTEGER) * 0.21::DOUBLE AS lat,
        -100.0::DOUBLE + CAST(area_id AS INTEGER) * 0.17::DOUBLE AS lon, 900.0::DOUBLE AS area_km2 FROM centres"""

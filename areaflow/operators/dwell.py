@@ -42,12 +42,34 @@ def valid_stays(stays: DataFrame) -> DataFrame:
     return stays.filter((F.col("stay_us") > 0) & F.col("place_id").isNotNull())
 
 
+def scan_ranges(events: Sequence[Event], lo: dict[str, date], hi: dict[str, date]) -> Column:
+    """Rows that any event's window (inclusive local dates) needs, as ranges on the raw timestamp and the panel.
+
+    Windows of one panel that overlap or follow each other become one range. The ranges are joined by OR, which
+    reaches Parquet's row groups: what lies between events far apart is not read.
+    """
+    spans: dict[str | None, list[tuple[date, date]]] = {}
+    for e in sorted(events, key=lambda e: lo[e.label]):
+        known = spans.setdefault(e.panel, [])
+        start, end = lo[e.label], hi[e.label]
+        if known and start <= known[-1][1] + timedelta(days=1):
+            known[-1] = known[-1][0], max(known[-1][1], end)
+        else:
+            known.append((start, end))
+    out = F.lit(False)
+    for k, (panel, span) in enumerate((p, s) for p, ranges in spans.items() for s in ranges):
+        inside = between_dates("local_time", *span)
+        if panel is not None:
+            inside = inside & (F.col("panel") == panel)
+        out = inside if k == 0 else out | inside
+    return out
+
+
 def _tag_events(stays: DataFrame, events: Sequence[Event], lo: dict[str, date], hi: dict[str, date],
                 columns: Sequence[Column]) -> DataFrame:
     """One copy of a row for every event whose window (inclusive local dates) holds it.
 
-    The events are a short literal list, so this is row-local; the overall window is also
-    given as a range on the raw timestamp for Parquet row-group pruning.
+    The events are a short literal list, so this is row-local; :func:`scan_ranges` keeps all else from being read.
     """
     hits = []
     for e in events:
@@ -57,7 +79,7 @@ def _tag_events(stays: DataFrame, events: Sequence[Event], lo: dict[str, date],
         tag = F.struct(F.lit(e.label).alias("disaster"), F.lit(e.day).alias("event_day"))
         hits.append(F.when(inside, tag))
     return (
-        stays.filter(between_dates("local_time", min(lo.values()), max(hi.values())))
+        stays.filter(scan_ranges(events, lo, hi))
         .withColumn("_e", F.explode(F.array_compact(F.array(*hits))))
         .select(F.col("_e.disaster").alias("disaster"), F.col("_e.event_day").alias("event_day"), *columns)
     )

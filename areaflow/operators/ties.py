@@ -1,4 +1,4 @@
-"""Tie probability against distance: own network with a random-pair null, and an OD index.
+"""Tie probability against distance: own network with a random-pair or exact null, and an OD index.
 
 Home cells stand for users, so edges are counted per pair of cells before any coordinates are
 attached. ``cells``: ``cell_id``, ``lat``, ``lon``, ``area_id``, ``area_km2``.
@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from areaflow.functions.columns import haversine_km
+from areaflow.functions.columns import EARTH_RADIUS_KM, haversine_km
 from areaflow.functions.frames import attach
 from areaflow.operators.density import bin_of, log_edges, midpoints
+from areaflow.sources.staging import staged
 
 # Distance bins, null-model size and seed, smallest counts per bin.
 DISTANCE_EDGES_KM = tuple(log_edges(0.5, 500.0, 54))
@@ -85,6 +86,77 @@ def random_pairs(spark: SparkSession, users: DataFrame, n: int = N_RANDOM_PAIRS,
         F.count("*").alias("n"))
 
 
+# --- exact null model ---------------------------------------------------------------------
+
+def _tree_level(places: DataFrame, bits: int, parent_bits: int, last: bool) -> DataFrame:
+    """Nodes of one level: tiles of ``2**bits`` a side over the globe, or at ``last`` the places themselves.
+
+    A node has its ``key`` and its ``parent``'s, the users ``n`` under it, and the box of its places on the unit sphere in space.
+    """
+    tiles = lambda b: (F.floor((F.col("lon") + 180.0) / 360.0 * (1 << b)) * (1 << 24)
+                       + F.floor((F.col("lat") + 90.0) / 180.0 * (1 << b))).cast("long")
+    rows = places.withColumn("parent", tiles(parent_bits) if parent_bits else F.lit(0).cast("long"))
+    if last:
+        rows = rows.withColumn("key", F.row_number().over(Window.partitionBy("parent").orderBy("lat", "lon")).cast("long"))
+    else:
+        rows = rows.withColumn("key", tiles(bits))
+    flat = F.cos(F.radians("lat"))
+    axes = {"x": flat * F.cos(F.radians("lon")), "y": flat * F.sin(F.radians("lon")), "z": F.sin(F.radians("lat"))}
+    return rows.groupBy("parent", "key").agg(
+        F.sum("n").alias("n"), *[f(c).alias(f"{tag}{a}") for a, c in axes.items() for tag, f in (("low", F.min), ("top", F.max))],
+        F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+
+
+def _reach(a: str, b: str) -> tuple[Column, Column]:
+    """Least and greatest great-circle distance between places in two nodes' boxes, a little widened."""
+    at = lambda side, c: F.col(f"{side}.{c}")
+    gap = [F.greatest(F.lit(0.0), at(a, f"low{k}") - at(b, f"top{k}"), at(b, f"low{k}") - at(a, f"top{k}")) for k in "xyz"]
+    far = [F.greatest(at(a, f"top{k}") - at(b, f"low{k}"), at(b, f"top{k}") - at(a, f"low{k}")) for k in "xyz"]
+    km = lambda d: F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / 2, F.lit(1.0)))
+    return km(gap) * (1 - 1e-9) - 1e-6, km(far) * (1 + 1e-9) + 1e-6
+
+
+def exact_null_counts(users: DataFrame, cells: DataFrame, bins: Sequence[float] = DISTANCE_EDGES_KM,
+                      bits: Sequence[int] = (3, 6, 9, 12)) -> DataFrame:
+    """Ordered pairs of different users by distance bin of their home cells, all counted.
+
+    Two copies of a tree of places are walked together. Where the distances between two nodes' boxes all lie in one
+    bin, or out of all bins, the pair is settled by the product of its users; only other pairs are opened into pairs of their
+    children. Each level is written, so a lost executor costs one level.
+    """
+    per_cell = users.groupBy(F.col("home_cell").alias("cell_id")).agg(F.count("*").alias("n"))
+    places = staged(per_cell.join(cells.select("cell_id", "lat", "lon"), "cell_id").groupBy("lat", "lon").agg(
+        F.sum("n").alias("n")).filter("lat IS NOT NULL AND lon IS NOT NULL"), "places")
+    node = [f"{t}{k}" for k in "xyz" for t in ("low", "top")]
+    ahead = users.sparkSession.createDataFrame([(0, 0)], "pa long, pb long")
+    settled = None
+    for level, b in enumerate([*bits, None]):
+        nodes = _tree_level(places, b or 0, bits[level - 1] if level else 0, b is None)
+        side = lambda p, s: nodes.select(F.col("parent").alias(p), F.struct("key", "n", "lat", "lon", *node).alias(s))
+        pairs = ahead.join(side("pa", "a"), "pa").join(side("pb", "b"), "pb").filter(
+            (F.col("pa") != F.col("pb")) | (F.col("a.key") <= F.col("b.key")))
+        low, high = _reach("a", "b")
+        if b is None:
+            found = bin_of(haversine_km("a.lat", "a.lon", "b.lat", "b.lon"), bins, True, True)
+            pairs = pairs.withColumns({"bin": found, "done": F.lit(True)})
+        else:
+            first, last = bin_of(low, bins, True, True), bin_of(high, bins, True, True)
+            pairs = pairs.withColumns({"bin": F.when(first == last, first),
+                                       "done": (first == last) | (high < bins[0]) | (low > bins[-1])})
+        same = (F.col("pa") == F.col("pb")) & (F.col("a.key") == F.col("b.key"))
+        # Users of one place are no distance apart, so a node against itself is never settled whole.
+        now = staged(pairs.select(F.col("a.key").alias("pa"), F.col("b.key").alias("pb"), "bin", F.coalesce("done", F.lit(False)).alias("done"),
+                                  F.when(same, F.lit(0)).otherwise(F.col("a.n") * F.col("b.n") * 2).alias("w")), "node-pairs")
+        counts = now.filter("done AND bin IS NOT NULL").groupBy("bin").agg(F.sum("w").alias("w"))
+        settled = counts if settled is None else settled.unionByName(counts)
+        ahead = now.filter("NOT done").select("pa", "pb")
+        if ahead.isEmpty():
+            break
+    return settled.groupBy("bin").agg(F.sum("w").cast("long").alias("null_n"))
+
+
+# --- shares by distance -------------------------------------------------------------------
+
 def bin_counts(df: DataFrame, km: str, weight: str, edges: Sequence[float], last_closed: bool,
                by: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("bin", bin_of(km, edges, True, last_closed)).filter(F.col("bin").isNotNull()).groupBy(
@@ -102,14 +174,17 @@ def _part(c: str) -> Column:
 
 
 def own_tie_probability(spark: SparkSession, edges: DataFrame, users: DataFrame, cells: DataFrame,
-                        n_pairs: int = N_RANDOM_PAIRS, seed: int = RANDOM_SEED,
+                        n_pairs: int | None = N_RANDOM_PAIRS, seed: int = RANDOM_SEED,
                         min_pairs: int = MIN_NULL_PAIRS, bins: Sequence[float] = DISTANCE_EDGES_KM) -> DataFrame:
-    """Share of edges per distance bin over the share of random pairs in it."""
+    """Share of edges per distance bin over the share of user pairs in it: a seeded draw of ``n_pairs``, or all (``None``)."""
     users = users.join(cells.select(F.col("cell_id").alias("home_cell")), "home_cell", "left_semi")
     ties = bin_counts(edge_distances(edges, users, cells), "km", "n", bins, True)
-    null = _two_ends(random_pairs(spark, users, n_pairs, seed), cells, "cell_a", "cell_b").withColumn(
-        "km", pair_km(False))
-    base = bin_counts(null, "km", "n", bins, True).select("bin", F.col("w").alias("null_n"))
+    if n_pairs is None:
+        base = exact_null_counts(users, cells, bins)
+    else:
+        null = _two_ends(random_pairs(spark, users, n_pairs, seed), cells, "cell_a", "cell_b").withColumn(
+            "km", pair_km(False))
+        base = bin_counts(null, "km", "n", bins, True).select("bin", F.col("w").alias("null_n"))
     both = _bins(spark, bins).join(ties.select("bin", F.col("w").alias("edge_n")), "bin", "left").join(
         base, "bin", "left").fillna(0, ["edge_n", "null_n"])
     share = F.try_divide(_part("edge_n"), _part("null_n"))

@@ -68,7 +68,7 @@ def tie_network(inp: TieInputs, min_night_events: int = mobility.MIN_HOME_NIGHT_
 
 def tie_comparison(edges: DataFrame, users: DataFrame, published: DataFrame, cells: DataFrame, od: DataFrame,
                    areas: DataFrame, box: tuple[float, float, float, float], threshold: int = 3,
-                   min_edges: int = 50, n_pairs: int = ties.N_RANDOM_PAIRS) -> dict[str, DataFrame]:
+                   min_edges: int = 50, n_pairs: int | None = ties.N_RANDOM_PAIRS) -> dict[str, DataFrame]:
     """Own area metrics beside published ones; tie probability by distance for network and index."""
     spark = edges.sparkSession
     comparison = staged(network.area_comparison(edges, users, published, threshold), "comparison")

@@ -104,3 +104,18 @@ def test_displacement_curve(spark, areas):
     rebased = {r.rel_day: r.p for r in dwell.rebase_curve(curve, -4).collect()}
     assert rebased == {-4: 0.0, -2: 1.0, 1: 0.5}
     assert all(r.p is None and r.lo is None for r in dwell.rebase_curve(curve, -10).collect())
+
+
+def test_only_the_windows_are_read(spark, areas, tmp_path):
+    events = [Event("S", date(2020, 8, 26), "x"), Event("T", date(2020, 8, 28), "x"), Event("U", date(2024, 1, 24), "y")]
+    s = stays_of(spark, [("p", "a", datetime(2020, 8, 5, 22), 600), ("p", "b", datetime(2020, 8, 26, 22), 600),
+                         ("p", "a", datetime(2022, 1, 9, 22), 600), ("q", "a", datetime(2024, 1, 9, 22), 600)])
+    s.withColumn("panel", F.when(F.col("pid") == "p", "x").otherwise("y")).write.parquet(f"{tmp_path}/stays")
+    read = spark.read.parquet(f"{tmp_path}/stays")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    places = dwell.evacuation_places(read, events, areas, (240,))
+    pushed = [x for x in places._jdf.queryExecution().executedPlan().toString().splitlines() if "PushedFilters" in x]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [x[x.index("PushedFilters"):] for x in pushed]
+    assert pushed and all(x.count("GreaterThanOrEqual(local_time") == 2 and x.count("EqualTo(panel,") == 2 for x in pushed)
+    assert {(r.disaster, r.pid) for r in places.collect()} == {("S", "p"), ("T", "p"), ("U", "q")}
