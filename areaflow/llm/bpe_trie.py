@@ -153,7 +153,21 @@ class Endings:
         return there
 
 
-class TrieEncoder:
+class Decoder:
+    """Texts of ids under one tokenizer file."""
+
+    def __init__(self, merges: Merges):
+        self.token_bytes = merges.bytes | {i: t.encode() for t, i in merges.added.items()}
+
+    def decode(self, ids: Iterable[int]) -> str:
+        try:
+            raw = b"".join(map(self.token_bytes.__getitem__, ids))
+        except KeyError:
+            raw = b"".join(self.token_bytes.get(i, b"") for i in ids)
+        return raw.decode("utf-8", "replace")
+
+
+class TrieEncoder(Decoder):
     """Ids of texts, and texts of ids, under one tokenizer file."""
 
     def __init__(self, path: str):
@@ -161,6 +175,7 @@ class TrieEncoder:
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
+        super().__init__(self.merges)
         self.endings = Endings(self.merges)
         self.size = {i: len(b) for i, b in self.merges.bytes.items()}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -169,7 +184,6 @@ class TrieEncoder:
         self.library = Tokenizer.from_file(path).pre_tokenizer
         added = sorted(self.merges.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.token_bytes = self.merges.bytes | {i: t.encode() for t, i in self.merges.added.items()}
 
     def _settle(self, last: list[int], states: list[int], depth: int, byte: int) -> None:
         """Automaton state and last token of the prefix of ``depth`` bytes, from those of its shorter prefixes."""
@@ -288,15 +302,9 @@ class TrieEncoder:
         for k, words in held:
             parts[k].append(np.fromiter(chain.from_iterable(map(find, words)), np.int32))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        try:
-            raw = b"".join(map(self.token_bytes.__getitem__, ids))
-        except KeyError:
-            raw = b"".join(self.token_bytes.get(i, b"") for i in ids)
-        return raw.decode("utf-8", "replace")
-
 
 _ENCODERS: dict[str, TrieEncoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def trie_encoder(path: str) -> TrieEncoder:
@@ -306,6 +314,13 @@ def trie_encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
+def decoder(path: str) -> Decoder:
+    """The worker's decoder for a tokenizer file; it needs none of what encoding holds."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(Merges(path))
+    return _DECODERS[path]
+
+
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, row key and ``ids`` (array of int) of every row of ``docs``."""
     path = path or vocabulary_path()
@@ -322,7 +337,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> dict:
-        decode = trie_encoder(path).decode
+        decode = decoder(path).decode
         ids = batch["ids"]
         texts = [decode(ids[k].values.to_numpy(zero_copy_only=False).tolist()) if ids[k].is_valid else None
                  for k in range(len(ids))]
