@@ -38,6 +38,21 @@ def incremental_daily(s: S):
     return sinks.merged(s.spark.read.parquet(out), ["u", "v"], ["n_voice", "n_sms"])
 
 
+@query("incremental_late", _PAIRS.format(w=""))
+def incremental_late(s: S):
+    """Daily files, a third of them late: days done already are done again when the files arrive."""
+    source, out = _folder(s, "contacts"), _folder(s, "pairs")
+    late = F.col("b_id") % 3 == 0
+
+    def daily(e):
+        return pair_counts(e.filter("is_voice"), e.filter("not is_voice"), ["day"])
+
+    for part in (~late, late):
+        contacts(s).select("a_id", "b_id", "is_voice", "day").filter(part).write.mode("append").partitionBy("day").parquet(source)
+        sinks.incremental_folder(s.spark, source, daily, out)
+    return sinks.merged(s.spark.read.parquet(out), ["u", "v"], ["n_voice", "n_sms"])
+
+
 @query("incremental_files", f"""
 SELECT user_id, event_type, count(*) AS n, {R('sum(value)')} AS total FROM events GROUP BY 1, 2""")
 def incremental_files(s: S):
@@ -90,6 +105,21 @@ def read_od_index(s: S):
     return readers.read_od_index(s.spark, out)
 
 
+@query("read_od_index_mixed", """
+SELECT lpad(home_area, 5, '0') AS home_area, lpad(dest_area, 5, '0') AS dest_area, weight FROM od_index""")
+def read_od_index_mixed(s: S):
+    """Index shards whose columns stand in another order, some with a further column."""
+    out = _folder(s, "od")
+    shards = od_index(s).select(
+        F.lit("US").alias("user_country"), F.lit("US").alias("friend_country"), F.col("home_area").alias("user_region"),
+        F.col("dest_area").alias("friend_region"), F.col("weight").alias("scaled_sci"))
+    other = F.col("user_region").cast("int") % 2 == 1
+    sinks.write_table(shards.filter(~other), f"{out}/a", "csv")
+    swapped = shards.filter(other).select("scaled_sci", "friend_region", F.lit("x").alias("note"), "user_region", "friend_country", "user_country")
+    sinks.write_table(swapped, f"{out}/b", "csv")
+    return readers.read_od_index(s.spark, [f"{out}/a", f"{out}/b"])
+
+
 @query("read_dataset", f"""
 SELECT CAST(CAST(CASE WHEN hour(ts) < 7 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS DATE) AS VARCHAR) AS night,
   count(*) AS n, {R('sum(value)')} AS total FROM events GROUP BY 1""")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from areaflow.functions.columns import norm_area_code
 
@@ -46,17 +48,37 @@ def read_daily(spark: SparkSession, path: str, columns: Sequence[str], start: da
         *[c for c in columns if c != "day"], F.col("day").cast("date").alias("day"))
 
 
+def header_groups(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """Column names of every distinct header line among CSV files, with the files that have it. Empty files have none.
+
+    One pass over the lines; a file's header is its first line, kept per file while lines are read. Only headers and
+    file names come to the driver.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at")).filter("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    rows = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([r.header.removeprefix("\ufeff")]), []), [unquote(f) for f in r.files]) for r in rows]
+
+
 def read_typed_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """CSV columns by name with declared types, so codes declared as strings keep leading zeros.
 
-    Columns not named are not read. A value that does not fit its type becomes null. All files
-    must have the header of the first: one with another order or set of columns is an error when it is
-    read, as its values would land under other names.
+    Files may have their columns in any order and further columns beside them: each distinct header is read by one scan
+    of its files. A file that lacks a column is an error that names it. A value that does not fit its type becomes null.
     """
     want = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    first = require_columns(spark.read.option("header", True).csv(path), want.names, str(path))
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(first.schema).csv(path)
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in want.fields])
+    out = None
+    for names, files in header_groups(spark, path):
+        if missing := [n for n in want.names if n not in names]:
+            raise MissingColumns(f"{files[0]} lacks columns {missing}; it has {names}")
+        # Names may repeat among columns that are not read.
+        places = StructType([StructField(f"_{k}", StringType()) for k in range(len(names))])
+        raw = spark.read.option("header", True).schema(places).csv(files)
+        part = raw.select(*[F.col(f"_{names.index(f.name)}").try_cast(f.dataType).alias(f.name) for f in want.fields])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], want) if out is None else out
 
 
 def read_optional_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -73,7 +95,7 @@ def read_optional_csv(spark: SparkSession, path: str, schema: StructType | str)
 OD_COLUMNS = "user_country string, friend_country string, user_region string, friend_region string, scaled_sci double"
 
 
-def read_od_index(spark: SparkSession, path: str, country: str = "US", width: int = 5) -> DataFrame:
+def read_od_index(spark: SparkSession, path: str | list[str], country: str = "US", width: int = 5) -> DataFrame:
     """Sharded CSV of pairwise weights for one country, area codes padded before any comparison."""
     raw = read_typed_csv(spark, path, OD_COLUMNS)
     return raw.filter((F.col("user_country") == country) & (F.col("friend_country") == country)).select(
