@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,17 +59,66 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    by: Sequence[str] = (), weight: str | None = None,
-                    buckets: int = 16) -> DataFrame:
-    """Exact percentiles with linear interpolation, without gathering a group in one task.
+def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Mapping[str, float]], by: Sequence[str] = (),
+                       accuracy: int = 10_000) -> DataFrame:
+    """Exact percentiles with linear interpolation of several columns, in two passes over the rows.
 
-    Values are first reduced to distinct values with multiplicities. An approximate
-    sketch only chooses cut points; exact bucket counts then tell which buckets hold
-    the wanted ranks, and only those are sorted. Each sort sees about one bucket of
-    one group, so the work per task shrinks as ``buckets`` grows.
+    ``wanted`` lists, for each column, result names and their shares. A sketch gives two bounds around every wanted rank; its
+    error is at most ``1 / accuracy`` of the rows, and the bounds leave three times that on either side.
+    Then rows below, between and above the bounds are only counted, per task first, and just the values within bounds are kept and
+    sorted: some 6 in ``accuracy`` of a group (all of one shorter than ``accuracy``), and equal values as one. A rank outside its bounds would
+    be an error, never a wrong value. Nulls and NaN are left out; a group without values in any column is absent.
     """
-    n = F.sum(weight) if weight else F.count("*")
+    shares = sorted({p for names in wanted.values() for p in names.values()})
+    one = lambda i, c: F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+    long = df.select(*by, F.inline(F.array(*[one(i, c) for i, c in enumerate(wanted)]))).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    keys = [*by, "_c"]
+    around = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-3 / accuracy, 3 / accuracy)]
+    bounds = long.groupBy(*keys).agg(F.percentile_approx("_v", around, accuracy).alias("_q"), F.count("*").alias("_total"))
+    # Bounds at the ends lie beyond every value, and so do those of a group too short for a margin of two rows.
+    bound = lambda k, end, name: f"CASE WHEN _total < {accuracy} OR {0.0 < around[k] < 1.0} = false THEN {end} ELSE _q[{k}] END AS {name}"
+    low = [bound(2 * i, "-double('inf')", f"l{i}") for i in range(len(shares))]
+    high = [bound(2 * i + 1, "double('inf')", f"h{i}") for i in range(len(shares))]
+    seen = attach(long, bounds.selectExpr(*keys, "_total", *low, *high), keys)
+    within = " OR ".join(f"_v BETWEEN l{i} AND h{i}" for i in range(len(shares)))
+    passed = " + ".join(f"CAST(_v > h{i} AS INT) + CAST(_v >= l{i} AS INT)" for i in range(len(shares)))
+    counted = seen.selectExpr(*keys, "_total", "_v", f"{passed} AS _slot", f"{within} AS _in").groupBy(
+        *keys, "_total", "_slot", "_in", F.when(F.col("_in"), F.col("_v")).alias("_value")).agg(
+        F.count("*").alias("_n"), F.max("_v").alias("_o"))
+    run = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = counted.withColumn("_hi", F.sum("_n").over(run)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    picks, outs = [], []
+    for i, names in enumerate(wanted.values()):
+        for name, p in names.items():
+            pos = (F.col("_total") - 1) * F.lit(float(p))
+            at = lambda r, i=i: (F.col("_c") == i) & (F.col("_lo") <= r) & (r < F.col("_hi"))
+            value = F.when(F.col("_in"), F.col("_value")).otherwise(F.raise_error(F.lit("a rank lies outside its bounds")).cast("double"))
+            k = F.floor(pos)
+            picks += [F.max(F.when(at(k), value)).alias(f"_a_{name}"), F.max(F.when(at(k + 1) & (pos > k), value)).alias(f"_b_{name}"),
+                      F.max(F.when(F.col("_c") == i, pos - k)).alias(f"_f_{name}")]
+            first = F.col(f"_a_{name}")
+            outs.append((first + F.col(f"_f_{name}") * (F.coalesce(f"_b_{name}", first) - first)).alias(name))
+    return spans.groupBy(*by).agg(*picks).select(*by, *outs)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: str | None = None,
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact percentiles of one column; with ``weight``, each row counts so many times."""
+    if weight is None:
+        return exact_quantiles_of(df, {value: probs}, by, accuracy)
+    return _weighted_quantiles(df, value, probs, by, weight)
+
+
+def _weighted_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str], weight: str,
+                        buckets: int = 64) -> DataFrame:
+    """Exact weighted percentiles without gathering a group in one task.
+
+    Values are first reduced to distinct values with their weights. A sketch of the distinct values
+    only chooses cut points; exact weights between them then tell which buckets hold
+    the wanted ranks, and only those are sorted.
+    """
+    n = F.sum(weight)
     vals = (
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(n.cast("long").alias("_n"))
@@ -78,10 +127,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     cuts = vals.groupBy(*by).agg(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"),
         F.sum("_n").alias("_total"),
-    ).select(*by, "_total", *[F.element_at("_cuts", i).alias(f"_c{i}") for i in range(1, buckets)])
-    below = F.lit(0)
-    for i in range(1, buckets):
-        below = below + (F.col(f"_c{i}") < F.col("_v")).cast("int")
+    )
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     placed = attach(spread(vals, *by, "_v"), cuts, by).select(*by, "_v", "_n", "_total", below.alias("_bucket"))
     ranks = F.array(*[F.floor((F.col("_total") - 1) * F.lit(float(p))) for p in probs.values()])
     # At most ``buckets`` rows per group reach this window; only buckets with a wanted rank stay.

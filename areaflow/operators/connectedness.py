@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import displaced_beyond, finite_or_null
-from areaflow.functions.frames import exact_quantiles
+from areaflow.functions.frames import exact_quantiles_of
 from areaflow.operators.density import kde
 from areaflow.operators.regress import fit_linear, residualise, standardised, with_interval
 
@@ -78,8 +78,7 @@ def quadrants(person: DataFrame, ec: DataFrame) -> DataFrame:
     known = ec.select("home_area", finite_or_null("median_income").alias("median_income"),
                       finite_or_null("ec_residual").alias("ec_residual")).dropna()
     areas = present.join(known, "home_area", "inner")
-    mid = exact_quantiles(areas, "median_income", {"_mi": 0.5}, ["disaster"]).join(
-        exact_quantiles(areas, "ec_residual", {"_me": 0.5}, ["disaster"]), "disaster")
+    mid = exact_quantiles_of(areas, {"median_income": {"_mi": 0.5}, "ec_residual": {"_me": 0.5}}, ["disaster"])
     low_income, low_ec = F.col("median_income") < F.col("_mi"), F.col("ec_residual") < F.col("_me")
     label = F.when(low_income & low_ec, GROUP_LABELS[0]).when(low_income, GROUP_LABELS[1]).when(
         low_ec, GROUP_LABELS[2]).otherwise(GROUP_LABELS[3])

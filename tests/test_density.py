@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from areaflow.functions.frames import exact_quantiles, numbered, zscore
+from areaflow.functions.frames import exact_quantiles, exact_quantiles_of, numbered, zscore
 from areaflow.operators import density as D
 
 
@@ -56,15 +56,15 @@ def test_kde_weights_equal_repeats(spark):
     assert key(D.kde(base, "v", 0.0, 5.0, 11, weight="w")) == pytest.approx(key(D.kde(flat, "v", 0.0, 5.0, 11)))
 
 
-@pytest.mark.parametrize("buckets", [2, 16])
-def test_exact_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("accuracy", [25, 10_000])
+def test_exact_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(5)
     groups = {"one": [3.0], "two": [1.0, 2.0], "same": [7.0] * 50, "wide": list(rng.normal(0, 1e6, 999)),
               # one value holds most of the rows
               "hot": [5.0] * 700 + list(rng.uniform(0, 10, 300))}
     df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None)], "g string, v double")
     probs = {"a": 0.0, "b": 0.02, "c": 0.5, "d": 0.98, "e": 1.0}
-    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], buckets=buckets).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect()}
     for g, xs in groups.items():
         for k, p in probs.items():
             assert got[g][k] == pytest.approx(np.percentile(xs, 100 * p), abs=1e-9), (g, k)
@@ -72,6 +72,31 @@ def test_exact_quantiles_match_numpy(spark, buckets):
     assert single == pytest.approx(np.median([x for xs in groups.values() for x in xs]))
 
 
+def test_quantiles_of_several_columns_in_two_passes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [("g" if i % 3 else "h", float(rng.integers(0, 400)), float(rng.normal()) if i % 5 else None) for i in range(9000)]
+    rows += [("only", 4.0, None), ("none", None, float("nan"))]
+    spark.createDataFrame(rows, "g string, a double, b double").repartition(4).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    out = exact_quantiles_of(df, {"a": {"a2": 0.02, "a5": 0.5}, "b": {"b5": 0.5, "b98": 0.98}}, ["g"], accuracy=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    got = {r.g: r for r in out.collect()}
+    for g in "gh":
+        a, b = ([r[k] for r in rows if r[0] == g and r[k] is not None] for k in (1, 2))
+        want = [np.percentile(a, 2), np.percentile(a, 50), np.percentile(b, 50), np.percentile(b, 98)]
+        assert [got[g].a2, got[g].a5, got[g].b5, got[g].b98] == pytest.approx(want, abs=1e-12)
+    assert (got["only"].a5, got["only"].b5) == (4.0, None) and "none" not in got
+
+
+@pytest.mark.parametrize("p", [0.0, 0.02, 0.5, 0.97, 1.0])
+def test_one_quantile_of_groups_of_any_size(spark, p):
+    groups = {n: np.random.default_rng(n).normal(size=n) for n in (1, 2, 3, 4, 49, 50, 51, 333, 2000)}
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g int, v double")
+    got = {r.g: r.q for r in exact_quantiles(df, "v", {"q": p}, ["g"], accuracy=50).collect()}
+    assert got == {n: pytest.approx(np.percentile(vs, 100 * p), abs=1e-12) for n, vs in groups.items()}
+
+
 def test_weighted_quantile_counts_people(spark):
     df = spark.createDataFrame([(10.0, 1), (20.0, 5), (30.0, 1), (None, 9)], "v double, n int")
     assert exact_quantiles(df, "v", {"m": 0.5}, weight="n").first().m == 20.0
