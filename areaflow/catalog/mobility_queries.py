@@ -224,3 +224,73 @@ def detected(s: S) -> DataFrame:
 @query("detected_vs_census", "SELECT * FROM detected")
 def detected_vs_census(s: S):
     return detected(s)
+
+
+# --- the same with two panels; every third person is in both --------------------------------------
+
+SQL["panel_stays"] = """
+SELECT *, CASE WHEN CAST(pid AS BIGINT) % 3 = 0 THEN 'Storm A' ELSE 'Storm B' END AS disaster FROM stays
+UNION ALL SELECT *, 'Storm A' FROM stays WHERE CAST(pid AS BIGINT) % 3 = 1"""
+
+
+def panel_stays(s: S) -> DataFrame:
+    third = F.col("pid").cast("long") % 3
+    panels = F.when(third == 0, F.array(F.lit("Storm A"))).when(third == 1, F.array(F.lit("Storm B"), F.lit("Storm A"))).otherwise(
+        F.array(F.lit("Storm B")))
+    return stays(s).withColumn("disaster", F.explode(panels))
+
+
+SQL["panel_spans"] = """
+SELECT disaster, pid, count(*) AS num_stays,
+       CAST(round((epoch(date_trunc('second', max(end_ts))) - epoch(date_trunc('second', min(start_ts)))) / 86400) AS INTEGER) AS duration_days
+FROM panel_stays GROUP BY 1, 2"""
+
+
+@query("activity_levels_panels", "SELECT disaster, duration_days, num_stays, count(*) AS count FROM panel_spans GROUP BY 1, 2, 3")
+def activity_levels_panels(s: S):
+    return mobility.activity_levels(mobility.user_spans(panel_stays(s), ["disaster"]), ["disaster"])
+
+
+@query("quality_users_panels", "SELECT * FROM panel_spans WHERE num_stays BETWEEN 60 AND 80 AND duration_days BETWEEN 28 AND 30")
+def quality_users_panels(s: S):
+    return mobility.quality_users(mobility.user_spans(panel_stays(s), ["disaster"]), (60, 80), (28, 30))
+
+
+@query("stay_distributions_panels", f"""
+SELECT disaster, 'departure_time' AS quantity, CAST(hour_of_day AS DOUBLE) AS x, {R('count(*) / sum(count(*)) OVER (PARTITION BY disaster)')} AS y
+FROM panel_stays GROUP BY disaster, hour_of_day
+UNION ALL SELECT disaster, 'stay_duration', (bin + 0.5::DOUBLE) / 2, {R('count(*) / sum(count(*)) OVER (PARTITION BY disaster)')}
+FROM (SELECT disaster, CAST(floor(h * 2) AS BIGINT) AS bin
+      FROM (SELECT disaster, (epoch_us(end_ts) - epoch_us(start_ts)) / 3600000000.0::DOUBLE AS h FROM panel_stays) WHERE h > 0 AND h <= 24)
+GROUP BY disaster, bin
+UNION ALL SELECT disaster, 'location_rank', CAST(rk AS DOUBLE), {R('avg(f)')} FROM (
+  SELECT disaster, dense_rank() OVER (PARTITION BY disaster, pid ORDER BY v DESC) AS rk, v / sum(v) OVER (PARTITION BY disaster, pid) AS f
+  FROM (SELECT disaster, pid, place_id, count(*) AS v FROM panel_stays GROUP BY 1, 2, 3)) GROUP BY disaster, rk""")
+def stay_distributions_panels(s: S):
+    return published(mobility.stay_distributions(panel_stays(s), ["disaster"]))
+
+
+SQL["panel_homes"] = """
+SELECT h.pid, h.place_id, d.disaster FROM home_pairs h JOIN (SELECT DISTINCT pid, disaster FROM panel_stays) d ON d.pid = h.pid"""
+
+
+@query("detected_vs_census_panels", """
+SELECT p.disaster, p.area_id, p.population, CAST(coalesce(m.n, 0) AS BIGINT) AS mobile_count FROM (
+  SELECT 'Storm A' AS disaster, * FROM population WHERE CAST(area_id AS INTEGER) < 15
+  UNION ALL SELECT 'Storm B', * FROM population WHERE CAST(area_id AS INTEGER) > 9) p LEFT JOIN (
+  SELECT disaster, area_id, count(*) AS n FROM panel_homes h JOIN (
+    SELECT place_id, area_id FROM (SELECT p.place_id, c.area_id, row_number() OVER (PARTITION BY p.place_id
+             ORDER BY (p.lon - c.lon) * (p.lon - c.lon) + (p.lat - c.lat) * (p.lat - c.lat), c.area_id) AS rn
+             FROM places p CROSS JOIN centres c) WHERE rn = 1) a ON a.place_id = h.place_id GROUP BY 1, 2) m
+  ON m.area_id = p.area_id AND m.disaster = p.disaster""")
+def detected_vs_census_panels(s: S):
+    third = F.col("user_id") % 3
+    both = F.array_compact(F.array(F.when(third < 2, F.lit("Storm A")), F.when(third > 0, F.lit("Storm B"))))
+    st = s.table("events").select(
+        F.col("user_id").cast("string").alias("pid"), F.explode(both).alias("disaster"),
+        F.when(F.col("event_type") == "purchase", F.regexp_extract("props", r"(\d+)", 1)).alias("home_place_id"))
+    near = nearest_area(places(s).select("place_id", "lon", "lat"), centres(s), "place_id")
+    area = F.col("area_id").cast("int")
+    listed = F.array_compact(F.array(F.when(area < 15, F.lit("Storm A")), F.when(area > 9, F.lit("Storm B"))))
+    official = population(s).withColumn("disaster", F.explode(listed))
+    return mobility.detected_vs_census(mobility.detected_homes(st, ["disaster"]), near, official, ["disaster"])

@@ -102,17 +102,20 @@ def expansion_factor(users: DataFrame, population: DataFrame) -> DataFrame:
 
 # --- stay-point users ---------------------------------------------------------------
 
-def user_spans(stays: DataFrame) -> DataFrame:
+# ``by`` names the columns that tell panels apart (such as ``disaster``): all panels go through one job, and a person in
+# several panels counts in each on their own.
+
+def user_spans(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of stays and observed span in days per person."""
     seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    return stays.groupBy("pid").agg(
+    return stays.groupBy(*by, "pid").agg(
         F.count("*").alias("num_stays"), F.min("start_ts").alias("_first"), F.max("end_ts").alias("_last"),
-    ).select("pid", "num_stays", F.round(
+    ).select(*by, "pid", "num_stays", F.round(
         (seconds(F.col("_last")) - seconds(F.col("_first"))) / 86400).cast("int").alias("duration_days"))
 
 
-def activity_levels(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("duration_days", "num_stays").agg(F.count("*").alias("count"))
+def activity_levels(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return spans.groupBy(*by, "duration_days", "num_stays").agg(F.count("*").alias("count"))
 
 
 def quality_users(spans: DataFrame, stays_range: tuple[int, int] = QUALITY_STAYS,
@@ -120,46 +123,56 @@ def quality_users(spans: DataFrame, stays_range: tuple[int, int] = QUALITY_STAYS
     return spans.filter(F.col("num_stays").between(*stays_range) & F.col("duration_days").between(*days_range))
 
 
-def start_hour_shares(stays: DataFrame) -> DataFrame:
-    counts = stays.groupBy("hour_of_day").agg(F.count("*").alias("n"))
-    return shares(counts, "n", (), "y").select(F.col("hour_of_day").cast("double").alias("x"), "y")
+def start_hour_shares(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    counts = stays.groupBy(*by, "hour_of_day").agg(F.count("*").alias("n"))
+    return shares(counts, "n", by, "y").select(*by, F.col("hour_of_day").cast("double").alias("x"), "y")
 
 
-def stay_duration_shares(stays: DataFrame) -> DataFrame:
+def stay_duration_shares(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Half-hour bins over (0, 24] hours; empty bins absent."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    hours = stays.select(((micros("end_ts") - micros("start_ts")) / 3600000000).alias("hours"))
-    return binned_share(hours, "hours", 0.5, 24.0)
+    hours = stays.select(*by, ((micros("end_ts") - micros("start_ts")) / 3600000000).alias("hours"))
+    return binned_share(hours, "hours", 0.5, 24.0, by)
 
 
-def location_rank(stays: DataFrame) -> DataFrame:
+def location_rank(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean visit share of people's L-th most visited place (dense rank).
 
     Places with equal visits are counted together first. A person with N stays has fewer
     than sqrt(2N) different visit counts, which bounds the window even for a hot person.
     """
-    visits = stays.groupBy("pid", "place_id").agg(F.count("*").alias("visits"))
-    levels = visits.groupBy("pid", "visits").agg(F.count("*").alias("n_places"))
-    person = Window.partitionBy("pid")
+    visits = stays.groupBy(*by, "pid", "place_id").agg(F.count("*").alias("visits"))
+    levels = visits.groupBy(*by, "pid", "visits").agg(F.count("*").alias("n_places"))
+    person = Window.partitionBy(*by, "pid")
     ranked = levels.withColumn("rank", F.dense_rank().over(person.orderBy(F.desc("visits")))).withColumn(
         "freq", F.col("visits") / F.sum(F.col("visits") * F.col("n_places")).over(person))
-    return ranked.groupBy("rank").agg(
+    return ranked.groupBy(*by, "rank").agg(
         (F.sum(F.col("freq") * F.col("n_places")) / F.sum("n_places")).alias("y")
-    ).select(F.col("rank").cast("double").alias("x"), "y")
+    ).select(*by, F.col("rank").cast("double").alias("x"), "y")
+
+
+def stay_distributions(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Start hours, stay lengths and location ranks, long by ``quantity``."""
+    tag = lambda df, q: df.select(*by, F.lit(q).alias("quantity"), "x", "y")
+    return tag(start_hour_shares(stays, by), "departure_time").unionByName(
+        tag(stay_duration_shares(stays, by), "stay_duration")).unionByName(tag(location_rank(stays, by), "location_rank"))
 
 
-def detected_homes(stays: DataFrame) -> DataFrame:
+def detected_homes(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """People per home place. ``stays``: ``pid``, ``home_place_id`` (nullable)."""
-    pairs = stays.filter(F.col("home_place_id").isNotNull()).select("pid", "home_place_id").distinct()
-    return pairs.groupBy(F.col("home_place_id").alias("place_id")).agg(F.count("*").alias("mobile_count"))
+    pairs = stays.filter(F.col("home_place_id").isNotNull()).select(*by, "pid", "home_place_id").distinct()
+    return pairs.groupBy(*by, F.col("home_place_id").alias("place_id")).agg(F.count("*").alias("mobile_count"))
 
 
-def detected_vs_census(homes: DataFrame, place_area: DataFrame, population: DataFrame) -> DataFrame:
-    """Detected and official population per area, zero where nobody was detected."""
-    found = homes.join(place_area, "place_id", "inner").groupBy("area_id").agg(
+def detected_vs_census(homes: DataFrame, place_area: DataFrame, population: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Detected and official population per area, zero where nobody was detected.
+
+    With ``by``, ``population`` lists the areas of each panel; people detected elsewhere are not counted.
+    """
+    found = homes.join(place_area, "place_id", "inner").groupBy(*by, "area_id").agg(
         F.sum("mobile_count").alias("mobile_count"))
-    return population.join(found, "area_id", "left").select(
-        "area_id", "population", F.coalesce("mobile_count", F.lit(0)).alias("mobile_count"))
+    return population.join(found, [*by, "area_id"], "left").select(
+        *by, "area_id", "population", F.coalesce("mobile_count", F.lit(0)).alias("mobile_count"))
 
 
 # --- cohort enrichment and panels ------------------------------------------------------

@@ -98,26 +98,24 @@ def tie_comparison(edges: DataFrame, users: DataFrame, published: DataFrame, cel
 
 
 def stay_quality(stays: DataFrame, homes: DataFrame, places: DataFrame, centres: DataFrame,
-                 population: DataFrame) -> dict[str, DataFrame]:
-    """User activity, stay distributions and detected against official population.
+                 population: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """User activity, stay distributions and detected against official population, per panel.
 
-    ``homes``: ``pid``, ``home_place_id``; ``places``: ``place_id``, ``lon``, ``lat``.
+    ``homes``: ``pid``, ``home_place_id``; ``places``: ``place_id``, ``lon``, ``lat``. Where there are several panels,
+    ``by`` names their columns in ``stays``, ``homes`` and ``population``.
     """
-    spans = staged(mobility.user_spans(stays), "spans")
-    found = mobility.detected_homes(homes)
+    spans = staged(mobility.user_spans(stays, by), "spans")
+    found = mobility.detected_homes(homes, by)
     spots = places.join(found.select("place_id"), "place_id", "left_semi")
     near = geo.nearest_area(spots, centres, "place_id")
-    census = staged(mobility.detected_vs_census(found, near, population), "census")
-    tag = lambda df, q: df.select(F.lit(q).alias("quantity"), "x", "y")
+    census = staged(mobility.detected_vs_census(found, near, population, by), "census")
     cells = D.histogram2d(census, "population", "mobile_count", D.log_edges(10, 10000, 49))
     factor = census.select(finite_or_null(ratio("population", "mobile_count")).alias("factor")).dropna()
     return {
-        "activity_levels": mobility.activity_levels(spans),
-        "quality_counts": mobility.quality_users(spans).agg(F.count("*").alias("n_quality")),
-        "stay_distributions": tag(mobility.start_hour_shares(stays), "departure_time").unionByName(
-            tag(mobility.stay_duration_shares(stays), "stay_duration")).unionByName(
-            tag(mobility.location_rank(stays), "location_rank")),
-        "population_comparison": census.select("population", "mobile_count"),
+        "activity_levels": mobility.activity_levels(spans, by),
+        "quality_counts": mobility.quality_users(spans).groupBy(*by).agg(F.count("*").alias("n_quality")),
+        "stay_distributions": mobility.stay_distributions(stays, by),
+        "population_comparison": census.select(*by, "population", "mobile_count"),
         "population_cells": cells,
         "population_breaks": D.class_breaks(cells),
         "expansion_histogram": D.histogram(factor, "factor", D.linear_edges(0, 300, 49)),

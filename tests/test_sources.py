@@ -96,6 +96,10 @@ def test_jobs_run_end_to_end(spark, sf, tmp_path):
     homes = s.table("events").select(F.col("user_id").cast("string").alias("pid"), F.lit("7").alias("home_place_id"))
     check(jobs.stay_quality(V.stays(s), homes, V.places(s), MQ.centres(s), MQ.population(s)),
           ["population_cells", "population_breaks"])
+    panels = jobs.stay_quality(MQ.panel_stays(s), homes.withColumn("disaster", F.lit("Storm A")), V.places(s), MQ.centres(s),
+                               MQ.population(s).withColumn("disaster", F.lit("Storm A")), ["disaster"])
+    check(panels, ["population_cells", "population_breaks", "quality_counts"])
+    assert panels["stay_distributions"].select("disaster", "quantity").distinct().count() == 6
     inc = s.table("customer").select(F.col("c_custkey").cast("string").alias("home_area"), F.col("c_acctbal").alias("median_income"))
     ec = s.table("orders").select(F.col("o_custkey").cast("string").alias("home_area"), F.log("o_totalprice").alias("ec"))
     check(jobs.connectedness(CQ.person(s), inc, ec, merge="first"))
