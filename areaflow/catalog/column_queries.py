@@ -81,8 +81,7 @@ LEFT JOIN (SELECT CAST(ts AS DATE) AS e, count(*) AS n FROM events GROUP BY 1) c
 def date_spine(s: S):
     """Inclusive calendar around the data; days without events are present with zero."""
     daily = s.table("events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-    spine = daily.agg(F.min("d").alias("a"), F.max("d").alias("b")).select(
-        F.explode(F.sequence(F.date_sub("a", 5), F.date_add("b", 5))).alias("d"))
+    spine = C.date_spine(daily, "d", 5, 5)
     return complete(daily, spine, ["d"], {"n": 0}).select(F.col("d").cast("string").alias("day"), "n")
 
 

@@ -131,13 +131,13 @@ SELECT CASE WHEN event_id % 2 = 0 THEN 'Storm A' ELSE 'Storm B' END AS disaster,
 FROM events"""
 
 
-def track(s: S) -> DataFrame:
+def track(s: S, *more: Column) -> DataFrame:
     e = F.col("event_id")
     return s.table("events").select(
         F.when(e % 2 == 0, EVENTS[0].label).otherwise(EVENTS[1].label).alias("disaster"),
         (F.lit(24.0) + (e * 13 % 1200) / 100.0).alias("lat"), (F.lit(-101.0) + (e * 29 % 1200) / 100.0).alias("lon"),
         *[F.greatest(F.col("value") / t * f - 3.0, F.lit(0.0)).alias(f"r{t}_{q}")
-          for t in (34, 50, 64) for q, f in zip(_QUADS, (8, 6, 4, 5))])
+          for t in (34, 50, 64) for q, f in zip(_QUADS, (8, 6, 4, 5))], *more)
 
 
 def _reach(t: int) -> str:
@@ -157,3 +157,34 @@ def exposure_class(s: S):
 
 
 SQL["points_a"] = "SELECT point_id AS area_id, lon, lat FROM points"
+
+
+# --- the same storms, their footprints swept between fixes -----------------------------------------
+
+_RADII = [f"r{t}_{q}" for t in (34, 50, 64) for q in _QUADS]
+SQL["legs"] = """
+SELECT disaster, """ + ", ".join(f"{c}, coalesce(lead({c}) OVER w, {c}) AS {c}_2" for c in ("lat", "lon", *_RADII)) + """
+FROM track_ids WINDOW w AS (PARTITION BY disaster ORDER BY id)"""
+SQL["track_ids"] = SQL["track"].replace("SELECT CASE", "SELECT event_id AS id, CASE")
+
+
+def _swept_reach(t: int) -> str:
+    at = lambda c: f"({c} + s * ({c}_2 - {c}))"
+    r = (f"CASE WHEN alat >= {at('lat')} AND alon >= {at('lon')} THEN {at(f'r{t}_ne')} WHEN alat < {at('lat')} AND alon >= {at('lon')} THEN {at(f'r{t}_se')} "
+         f"WHEN alat < {at('lat')} AND alon < {at('lon')} THEN {at(f'r{t}_sw')} ELSE {at(f'r{t}_nw')} END")
+    return f"({r}) > 0 AND km <= ({r}) * 1.852"
+
+
+@query("exposure_swept", f"""
+SELECT disaster, area_id, CAST(max(w) AS INTEGER) AS wind_kt FROM (
+  SELECT disaster, area_id, CASE WHEN {_swept_reach(64)} THEN 64 WHEN {_swept_reach(50)} THEN 50 WHEN {_swept_reach(34)} THEN 34 ELSE 0 END AS w
+  FROM (SELECT *, 12742.0::DOUBLE * asin(sqrt(least(1.0, greatest(0.0, sin(radians(alat - (lat + s * (lat_2 - lat))) / 2) ** 2
+          + cos(radians(lat + s * (lat_2 - lat))) * cos(radians(alat)) * sin(radians(alon - (lon + s * (lon_2 - lon))) / 2) ** 2)))) AS km
+    FROM (SELECT *, unnest([0.0::DOUBLE, CASE WHEN dx * dx + dy * dy > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+                ((alon - lon) * c * dx + (alat - lat) * dy) / (dx * dx + dy * dy))) ELSE 0.0::DOUBLE END]) AS s
+      FROM (SELECT *, (lon_2 - lon) * c AS dx, lat_2 - lat AS dy FROM (
+        SELECT l.*, a.area_id, a.lat AS alat, a.lon AS alon, cos(radians((l.lat + l.lat_2) / 2)) AS c FROM legs l CROSS JOIN points_a a)))))
+WHERE w > 0 GROUP BY 1, 2""")
+def exposure_swept(s: S):
+    moving = track(s, F.col("event_id").alias("t"))
+    return geo.exposure_swept(moving, points(s).withColumnRenamed("point_id", "area_id"))

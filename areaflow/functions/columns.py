@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sphere radii in kilometres (great circle) and metres (Web Mercator).
@@ -114,6 +114,12 @@ def between_dates(ts: str | Column, lo: date, hi: date) -> Column:
     return (t >= lower) & (t < upper)
 
 
+def date_spine(df: DataFrame, day: str, before: int = 0, after: int = 0) -> DataFrame:
+    """Every day ``day`` from the first in ``df`` to the last, with so many days around; no rows for an empty table."""
+    ends = df.agg(F.min(day).alias("_a"), F.max(day).alias("_b")).filter("_a IS NOT NULL")
+    return ends.select(F.explode(F.sequence(F.date_sub("_a", before), F.date_add("_b", after))).alias(day))
+
+
 # --- pairs, thresholds, labels ----------------------------------------------
 
 def displaced_beyond(evacuated: str | Column, distance_km: str | Column, km: float) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import haversine_km, mercator_x, mercator_y
@@ -256,3 +256,44 @@ def exposure_class(track: DataFrame, areas: DataFrame, thresholds: Sequence[int]
         F.max("wind_kt").alias("wind_kt"))
 
 
+QUADRANTS = ("ne", "se", "sw", "nw")
+
+
+def exposure_swept(track: DataFrame, areas: DataFrame, order: str = "t", thresholds: Sequence[int] = (34, 50, 64),
+                   size: float = 1.0) -> DataFrame:
+    """Highest wind threshold whose footprint, swept along the track, reached each area's point, per event.
+
+    As :func:`exposure_class`, with fixes joined to their successor by ``order``: between two fixes the centre moves
+    straight and the radii change evenly (a missing one counts as 0). A point is tested at each fix and at the
+    place of the segment nearest to it. Segments, not steps along them, meet the tiles of the points.
+    Tracks are short beside the points: all fixes of one event are ordered in one task. Fixes without a position are left out; a
+    segment across the date line is not followed.
+    """
+    radii = [f"r{t}_{q}" for t in thresholds for q in QUADRANTS]
+    fixes = track.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
+        "disaster", F.col(order).alias("_t"), "lat", "lon", *[F.coalesce(r, F.lit(0.0)).alias(r) for r in radii])
+    along = Window.partitionBy("disaster").orderBy("_t")
+    legs = fixes.withColumns({f"{c}_2": F.coalesce(F.lead(c).over(along), F.col(c)) for c in ("lat", "lon", *radii)})
+    widest = F.greatest(*[F.col(r) for r in radii], *[F.col(f"{r}_2") for r in radii])
+    km = widest * KM_PER_NAUTICAL_MILE
+    dlat = km / 110.0
+    top = F.greatest(F.abs("lat"), F.abs("lat_2")) + dlat
+    dlon = km / (F.lit(110.0) * F.greatest(F.cos(F.radians(F.least(top, F.lit(89.0)))), F.lit(0.01)))
+    across = lambda c, d: F.explode(F.sequence(tile(F.least(c, f"{c}_2") - d, size), tile(F.greatest(c, f"{c}_2") + d, size)))
+    spread = legs.filter(widest > 0).withColumn("tx", across("lon", dlon)).withColumn("ty", across("lat", dlat))
+    spots = areas.select("area_id", F.col("lat").alias("_alat"), F.col("lon").alias("_alon")).withColumn(
+        "tx", tile("_alon", size)).withColumn("ty", tile("_alat", size))
+    near = spread.join(spots, ["tx", "ty"]).selectExpr("*", "cos(radians((lat + lat_2) / 2)) AS _c").selectExpr(
+        "*", "(lon_2 - lon) * _c AS _dx", "lat_2 - lat AS _dy").selectExpr(
+        "*", "explode(array(0D, CASE WHEN _dx * _dx + _dy * _dy > 0 THEN least(1D, greatest(0D, "
+             "((_alon - lon) * _c * _dx + (_alat - lat) * _dy) / (_dx * _dx + _dy * _dy))) ELSE 0D END)) AS _s")
+    at = near.withColumns({f"{c}_s": F.col(c) + F.col("_s") * (F.col(f"{c}_2") - F.col(c)) for c in ("lat", "lon", *radii)})
+    north, east = F.col("_alat") >= F.col("lat_s"), F.col("_alon") >= F.col("lon_s")
+    at = at.withColumns({"_km": haversine_km("lat_s", "lon_s", "_alat", "_alon"),
+                         "_q": F.when(north & east, F.lit(0)).when(~north & east, F.lit(1)).when(~north & ~east, F.lit(2)).otherwise(F.lit(3))})
+    reached = F.lit(0)
+    for t in sorted(thresholds):
+        radius = F.element_at(F.array(*[F.col(f"r{t}_{q}_s") for q in QUADRANTS]), F.col("_q") + 1)
+        reached = F.when((radius > 0) & (F.col("_km") <= radius * KM_PER_NAUTICAL_MILE), F.lit(t)).otherwise(reached)
+    return at.withColumn("wind_kt", reached).filter("wind_kt > 0").groupBy("disaster", "area_id").agg(
+        F.max("wind_kt").alias("wind_kt"))

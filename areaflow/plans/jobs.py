@@ -166,6 +166,7 @@ def connectedness(person: DataFrame, income: DataFrame, ec: DataFrame, od: DataF
         "ec_effect": K.ec_effect(person, table, thresholds),
         "group_shares": shares,
         "widest_event": K.widest_event(shares),
+        "income_correlation": network.correlation(table, "median_income", "ec"),
         "ec_income_sample": regress.residual_refit(
             table.dropna(), person.select("home_area"), "home_area", "ec", "median_income", "ec_residual"),
     }

@@ -107,3 +107,19 @@ def test_exposure_uses_the_quadrant(spark):
                                    ("south", 24.9, -90.0), ("away", 28.0, -90.0)], "area_id string, lat double, lon double")
     got = {r.area_id: r.wind_kt for r in geo.exposure_class(track, areas).collect()}
     assert got == {"near": 64, "mid": 50, "far": 34, "west": 34}
+
+
+def test_a_footprint_is_swept_between_fixes(spark):
+    cols = "disaster string, t int, lat double, lon double, " + ", ".join(
+        f"r{t}_{q} double" for t in (34, 50, 64) for q in ("ne", "se", "sw", "nw"))
+    fix = lambda t, lat, lon, r34, r50=0.0, r64=None: ("S", t, lat, lon, *[r34] * 4, *[r50] * 4, *[r64] * 4)
+    track = spark.createDataFrame([fix(2, 25.0, -86.0, 60.0), fix(1, 25.0, -90.0, 60.0, 40.0), fix(3, None, -80.0, 500.0),
+                                   ("T", 1, 10.0, -60.0, *[30.0] * 4, *[0.0] * 8)], cols)
+    areas = spark.createDataFrame([("between", 25.5, -88.0), ("early", 25.5, -89.5), ("beside", 26.5, -88.0), ("ahead", 25.0, -84.5),
+                                   ("fix", 25.0, -90.5), ("alone", 10.2, -60.0), ("nowhere", None, -88.0)],
+                                  "area_id string, lat double, lon double")
+    swept = {r.area_id: r.wind_kt for r in geo.exposure_swept(track, areas).collect()}
+    # 0.5 degrees are 55.6 km, or 30 nautical miles: the radius of 40 at the first fix has shrunk to 20 half way.
+    assert swept == {"between": 34, "early": 50, "fix": 50, "alone": 34}
+    points = {r.area_id for r in geo.exposure_class(track, areas).collect()}
+    assert "between" not in points and points <= set(swept)
