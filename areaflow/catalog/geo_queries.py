@@ -188,3 +188,17 @@ WHERE w > 0 GROUP BY 1, 2""")
 def exposure_swept(s: S):
     moving = track(s, F.col("event_id").alias("t"))
     return geo.exposure_swept(moving, points(s).withColumnRenamed("point_id", "area_id"))
+
+
+SQL["poly_line"] = "SELECT area_id, (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS lat FROM poly_edges GROUP BY 1"
+
+
+@query("interior_point", f"""
+SELECT area_id, {R('(x + x2) / 2')} AS lon, {R('lat')} AS lat FROM (
+  SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY x2 - x DESC, x) AS best FROM (
+    SELECT area_id, lat, x, lead(x) OVER (PARTITION BY area_id ORDER BY x) AS x2, row_number() OVER (PARTITION BY area_id ORDER BY x) AS k
+    FROM (SELECT e.area_id, l.lat, (e.x2 - e.x1) * (l.lat - e.y1) / (e.y2 - e.y1) + e.x1 AS x
+          FROM poly_edges e JOIN poly_line l ON l.area_id = e.area_id WHERE (e.y1 > l.lat) <> (e.y2 > l.lat))) WHERE k % 2 = 1) WHERE best = 1""")
+def interior_point(s: S):
+    p = geo.interior_points(polygons(s))
+    return p.select("area_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

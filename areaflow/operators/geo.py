@@ -164,6 +164,20 @@ def polygon_measures(polygons: DataFrame) -> DataFrame:
         mean("m", "gy").alias("y"), (F.sum("mw") / 1e6).alias("area_km2"))
 
 
+def interior_points(polygons: DataFrame) -> DataFrame:
+    """A point inside each area: the middle of its widest stretch along the line half way up its box; ties go west.
+
+    Even and odd crossings of all rings, holes included, bound the stretches. An area that the line does not cross (no extent) has no row.
+    """
+    edges = ring_edges(polygons).groupBy("area_id").agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    line = edges.selectExpr("area_id", "edges", """(array_min(transform(edges, e -> least(e.y1, e.y2)))
+        + array_max(transform(edges, e -> greatest(e.y1, e.y2)))) / 2 AS lat""")
+    cut = line.selectExpr("area_id", "lat", """array_sort(transform(filter(edges, e -> (e.y1 > lat) != (e.y2 > lat)),
+        e -> (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1)) AS xs""").filter("size(xs) > 1")
+    stretch = "transform(sequence(0, size(xs) div 2 - 1), i -> struct(xs[2 * i] - xs[2 * i + 1] AS less, xs[2 * i] AS a, xs[2 * i + 1] AS b))"
+    return cut.selectExpr("area_id", "lat", f"array_min({stretch}) AS w").selectExpr("area_id", "(w.a + w.b) / 2 AS lon", "lat")
+
+
 def in_box(lat: str | Column, lon: str | Column, lat_min: float, lat_max: float, lon_min: float,
            lon_max: float) -> Column:
     lat = F.col(lat) if isinstance(lat, str) else lat

@@ -123,3 +123,17 @@ def test_a_footprint_is_swept_between_fixes(spark):
     assert swept == {"between": 34, "early": 50, "fix": 50, "alone": 34}
     points = {r.area_id for r in geo.exposure_class(track, areas).collect()}
     assert "between" not in points and points <= set(swept)
+
+
+def test_interior_points_lie_inside(spark):
+    arc = [(math.cos(t / 20 * math.pi), math.sin(t / 20 * math.pi)) for t in range(-14, 15)]
+    crescent = [(2 * x, 2 * y) for x, y in arc] + [(1.7 * x - 0.2, 1.7 * y) for x, y in reversed(arc)]
+    polys = spark.createDataFrame([
+        ("crescent", 0, False, crescent), ("ring", 0, False, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]),
+        ("ring", 1, True, [(1.0, 1.0), (6.0, 1.0), (6.0, 8.0), (1.0, 8.0)]), ("flat", 0, False, [(0.0, 5.0), (1.0, 5.0), (2.0, 5.0)])], RING)
+    found = geo.interior_points(polys)
+    at = {r.area_id: (r.lon, r.lat) for r in found.collect()}
+    assert set(at) == {"crescent", "ring"} and at["ring"] == (7.5, 4.5)
+    for name in at:
+        inside = geo.assign_area(found.filter(f"area_id = '{name}'").withColumnRenamed("area_id", "id"), polys.filter(f"area_id = '{name}'"), "id")
+        assert inside.first().area_id == name
