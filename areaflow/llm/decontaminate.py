@@ -3,8 +3,8 @@
 Two texts that differ by at most ``e`` edits over ``m`` characters share at least ``m + 1 - (e + 1) q`` of
 their q-grams, on diagonals at most ``e`` apart. Every position of every document is looked up among the
 benchmark's q-grams; hits of one item are counted in bands of diagonals that are twice as wide as the edit
-budget and overlap by half, so that any match lies whole in one band; bands that reach the bound
-name a region, and the region is verified by an alignment kept within the band.
+budget and overlap by half, so that any match lies whole in one band; bands where enough different places of the item
+are hit to reach the bound are verified by an alignment kept within the band.
 
 Texts are compared with the case of all letters folded, with each run of ASCII white space and punctuation as one
 space.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,27 +65,41 @@ def budget(m: int, rate: float) -> tuple[int, int, int]:
     return e, q, m + 1 - (e + 1) * q
 
 
-def distance(item: np.ndarray, part: np.ndarray, limit: int) -> tuple[int, int, int] | None:
-    """Fewest edits that turn the item into a run of ``part``, with the run's start and end, if within ``limit``.
+def distance(item: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int, int] | None:
+    """Fewest edits, if within ``limit``, that turn the item into a run of the text along the diagonals ``low`` to ``high``.
 
-    Row by row over the item, each row vectorised: a free start and end in ``part``; deletions in a row are a
-    running minimum of cost less position. ``part`` is no wider than the item and its band.
+    Returns edits, start and end. A diagonal is a place in the text less the place in the item; no cell outside the band is
+    looked at. For each number of edits every diagonal of the band keeps how far into the item it reaches; equal bytes are
+    run through by a table of the next unequal one. Beyond the text's ends stand bytes that equal none, so a step
+    over them costs what leaving out the item's byte does.
     """
-    n = len(part)
-    at = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), at.copy()
-    for c in item:
-        down, slant = cost + 1, np.append(1 << 30, cost[:-1] + (part != c))
-        best = np.minimum(down, slant)
-        origin = np.where(slant <= down, np.append(0, start[:-1]), start)
-        slack = best - at
-        run = np.minimum.accumulate(slack)
-        lead = np.maximum.accumulate(np.where(slack == run, at, 0))
-        cost, start = run + at, origin[lead]
-        if cost.min() > limit:
-            return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= limit else None
+    m, width = len(item), high - low + 1
+    part = np.full(m + width - 1, 255, np.uint8)
+    lo, hi = max(0, low), min(len(text), m + high)
+    part[lo - low:hi - low] = text[lo:hi]
+    stop = np.full((width, m + 1), m, np.int32)
+    unequal = np.lib.stride_tricks.sliding_window_view(part, m) != item
+    stop[:, :m] = np.where(unequal, np.arange(m, dtype=np.int32), m)
+    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    each = np.arange(width)
+    origin = each.copy()
+    reach = stop[:, 0]
+    for edits in range(limit + 1):
+        if edits:
+            ways = np.full((3, width), -1, np.int32)
+            ways[0] = reach + 1
+            ways[1, :-1] = reach[1:] + 1
+            ways[2, 1:] = reach[:-1]
+            way = ways.argmax(0)
+            reach = np.minimum(ways[way, each], m)
+            origin = origin[each + np.array([0, 1, -1])[way]]
+            reach = stop[each, reach]
+        done = np.flatnonzero(reach == m)
+        if len(done):
+            d = int(done[0])
+            start = min(max(0, low + int(origin[d])), len(text))
+            return edits, start, max(start, min(len(text), low + d + m))
+    return None
 
 
 class Grams:
@@ -105,8 +120,8 @@ class Grams:
     def slot(values: np.ndarray) -> np.ndarray:
         return (values * _MIX) >> np.uint64(64 - _BITS)
 
-    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Item and diagonal of every gram that a text shares, in the order of items."""
+    def hits(self, x: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Item, diagonal and place in the item of every gram that a text shares, in order; of items that can reach ``need``."""
         g = grams(x, self.q)
         at = np.flatnonzero(self.table[self.slot(g)])
         lo = np.searchsorted(self.value, g[at], "left")
@@ -115,9 +130,14 @@ class Grams:
             return None
         each = np.repeat(np.arange(len(at)), n)
         posting = np.repeat(lo, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[posting], at[each] - self.place[posting]
+        item = self.item[posting]
+        able = np.flatnonzero((np.bincount(item, minlength=len(need)) >= need)[item])
+        if not len(able):
+            return None
+        item, place = item[able], self.place[posting[able]]
+        diagonal = at[each[able]] - place
         order = np.lexsort((diagonal, item))
-        return item[order], diagonal[order]
+        return item[order], diagonal[order], place[order]
 
 
 class Items:
@@ -126,6 +146,7 @@ class Items:
     def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
         self.items = items
         self.budgets = [budget(len(x), rate) if len(x) else (0, Q, 1) for _, x in items]
+        self.need = np.array([need for _, _, need in self.budgets], np.int64)
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for k, (_, x) in enumerate(items):
             if len(x) >= Q:
@@ -134,41 +155,36 @@ class Items:
         self.short = [(k, x.tobytes()) for k, (_, x) in enumerate(items) if 0 < len(x) < Q]
 
     def bands(self, x: np.ndarray):
-        """Item and first and last diagonal with a hit, of each band of diagonals that reaches the bound."""
+        """Item and first and last diagonal of each band whose hits reach the bound, each place of the item counted once."""
         for some in self.grams:
-            hits = some.hits(x)
+            hits = some.hits(x, self.need)
             if hits is None:
                 continue
-            item, diagonal = hits
+            item, diagonal, place = hits
             edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 k = int(item[lo])
                 e, _, need = self.budgets[k]
-                if hi - lo < need:
-                    continue
                 d, width = diagonal[lo:hi], e + 1
                 for shift in (0, width):
-                    starts = np.flatnonzero(np.diff((d + shift) // (2 * width), prepend=-(1 << 60)))
+                    band = (d + shift) // (2 * width)
+                    starts = np.flatnonzero(np.diff(band, prepend=-(1 << 60)))
                     ends = np.append(starts[1:], len(d))
-                    for s, t in zip(starts, ends, strict=True):
-                        if t - s >= need:
-                            yield k, int(d[s]), int(d[t - 1])
+                    enough = ends - starts >= need
+                    for s, t in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
+                        if len(np.unique(place[lo + s:lo + t])) >= need:
+                            low = int(band[s]) * 2 * width - shift
+                            yield k, low, low + 2 * width - 1
 
     def regions(self, text: str) -> list[tuple[int, int, int, int]]:
         """Verified regions: item id, edits, start and end in the folded text; overlapping ones of an item once."""
         x = folded(text)
         best: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        done = set()
-        for k, d_lo, d_hi in self.bands(x):
-            item, e = self.items[k][1], self.budgets[k][0]
-            lo, hi = max(0, d_lo - e), min(len(x), d_hi + len(item) + e)
-            if (k, lo, hi) in done:
-                continue
-            done.add((k, lo, hi))
+        for k, low, high in self.bands(x):
             # A band may hold several copies one after the other only if they overlap; one is enough.
-            hit = distance(item, x[lo:hi], e)
+            hit = distance(self.items[k][1], x, low, high, self.budgets[k][0])
             if hit:
-                best[k].append((hit[0], lo + hit[1], lo + hit[2]))
+                best[k].append(hit)
         out = []
         for k, hits in best.items():
             taken: list[tuple[int, int, int]] = []
@@ -180,25 +196,26 @@ class Items:
             padded = b" " + x.tobytes() + b" "
             for k, word in self.short:
                 at = padded.find(b" " + word + b" ")
-                if at >= 0:
+                while at >= 0:
                     out.append((self.items[k][0], 0, at, at + len(word)))
+                    at = padded.find(b" " + word + b" ", at + 1)
         return sorted(out, key=lambda r: (r[0] is None, r))
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``BLOCK_BYTES``, one at a time on the driver.
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``BLOCK_BYTES``, one at a time on the driver; at least one block.
 
     The stated query set is compared with all documents block by block, so a block, not the benchmark, is
     what a scan broadcasts.
     """
-    blocks, size = [[]], 0
+    block, size = [], 0
     for row in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         if size and size + len(row["text"]) > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
         size += len(row["text"])
-    return blocks
+    yield block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:

@@ -339,3 +339,53 @@ def test_chats_share_tokens_once(spark, tmp_path):
     ends = [s["start"] + s["n_tokens"] for s in segments]
     assert [s["start"] for s in segments] == [0, *ends[:-1]]
     assert all(s["position"] == s["attends"][0]["stop"] for s in segments[1:])
+
+
+def test_decontamination_against_every_alignment():
+    """Each text with each item by the whole matrix: found exactly when some run of the text is within the budget."""
+    rng = random.Random(5)
+    items = [(k, decontaminate.folded(prose(n).replace("é", "e"))) for k, n in enumerate([9, 14, 20, 30, 45])]
+    letters = b"abcdefghijklmnopqrstuvwxyz "
+
+    def edited(x, n):
+        x = bytearray(x)
+        for _ in range(n):
+            at, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[at:at + (kind != 0)] = b"" if kind == 1 else bytes([rng.choice(letters)])
+        return bytes(x)
+
+    def least(item, text):
+        row = np.zeros(len(text) + 1, int)
+        for c in item:
+            new = [row[0] + 1]
+            for j, t in enumerate(text):
+                new.append(min(row[j] + (c != t), row[j + 1] + 1, new[-1] + 1))
+            row = np.array(new)
+        return int(row.min())
+
+    table, hits = decontaminate.Items(items, 0.1), 0
+    for trial in range(40):
+        k, item = items[trial % len(items)]
+        e = decontaminate.budget(len(item), 0.1)[0]
+        part = edited(item.tobytes(), max(0, e - trial % 3 + 1))
+        if trial % 8 == 0:
+            part = part[rng.randrange(e + 2):]  # the item begins before the text does
+            text = decontaminate.folded(part.decode())
+        else:
+            text = decontaminate.folded(prose(rng.randint(0, 12)) + " " + part.decode() + " " + prose(rng.randint(0, 12)))
+        got = {i: cost for i, cost, _, _ in table.regions(text.tobytes().decode())}
+        want = {i: least(x, text) for i, x in items}
+        want = {i: c for i, c in want.items() if c <= decontaminate.budget(len(items[i][1]), 0.1)[0]}
+        assert got == want, trial
+        hits += k in want
+    assert 10 < hits < 40
+
+
+def test_decontamination_of_short_items_and_long_texts():
+    table = decontaminate.Items([(1, decontaminate.folded("Tiny")), (2, decontaminate.folded(prose(25)))], 0.1)
+    assert [r[2:] for r in table.regions("tiny, tiny words; untiny TINY")] == [(0, 4), (5, 9), (23, 27)]
+    item = table.items[1][1].tobytes().decode()
+    text = prose(30_000) + " " + item + " " + prose(10) + " " + item
+    found = [r for r in table.regions(text) if r[0] == 2]
+    assert [r[1] for r in found] == [0, 0]
+    assert {decontaminate.folded(text)[s:t].tobytes().decode() for _, _, s, t in found} == {item}
