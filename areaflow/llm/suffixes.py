@@ -51,6 +51,8 @@ GROUP_CONTEXTS = 4_000
 LOOSE_ROWS = 20_000
 #: Records a reducing task should see.
 ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 17, 1 << 16
+#: Beyond as many ranges, a task takes several in turn.
+MOST_TASKS = 50_000
 #: Bytes a map task collects before it sends a run.
 RUN_BYTES = 4 << 20
 _NULL = -(1 << 63)
@@ -147,29 +149,26 @@ def _anchors(first: DataFrame, parts: int) -> DataFrame:
     return first.select(KEY, "text").mapInArrow(run, "part int, records binary")
 
 
-def _by_document(rec: np.ndarray) -> pd.DataFrame:
-    rec = rec[np.argsort(rec["key"], kind="stable")]
-    cuts = np.flatnonzero(np.diff(rec["key"])) + 1
-    groups = np.split(rec, cuts) if len(rec) else []
-    return pd.DataFrame({"anchor_key": [int(g["key"][0]) for g in groups],
-                         "starts": [g["start"].astype("<u4").tobytes() for g in groups]})
-
-
 def _unpack(blobs, kind=_ANCHOR) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *[np.frombuffer(zlib.decompress(b), kind) for b in blobs]])
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
-    """Per document the starts of its runs whose gram occurs more than once."""
+    """Per document the starts of its runs whose gram occurs more than once.
+
+    Ranges of hashes hold starts of all documents, so each start is a row of its own until the rows of a document
+    meet: their number follows the repeats in the input, not the number of ranges.
+    """
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rec = _unpack(rows["records"])
         rec = rec[np.argsort(rec["h"], kind="stable")]
         same = rec["h"][1:] == rec["h"][:-1]
-        return _by_document(rec[rec["twice"] | np.append(same, False) | np.append(False, same)])
+        rec = rec[rec["twice"] | np.append(same, False) | np.append(False, same)]
+        return pd.DataFrame({"anchor_key": rec["key"], "start": rec["start"].astype(np.int64)})
 
-    met = anchors.groupBy("part").applyInPandas(meet, "anchor_key long, starts binary")
-    return met.groupBy("anchor_key").agg(F.collect_list("starts").alias("starts"))
+    met = anchors.groupBy("part").applyInPandas(meet, "anchor_key long, start long")
+    return met.groupBy("anchor_key").agg(F.collect_list("start").alias("starts"))
 
 
 def shared(a: bytes, b: bytes, known: int) -> int:
@@ -287,9 +286,11 @@ def _sorted_runs(near: DataFrame, parts: int) -> DataFrame:
             yield from ([k % parts, None, None if d == _NULL else d, k, np.array(v, "<u4").tobytes()] for (d, k), v in spans.items())
 
         for batch in it:
-            for doc, key, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            lists = batch.column(3)
+            cuts, starts = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, (doc, key, text) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True)):
                 raw, doc = text.encode(), _NULL if doc is None else doc
-                wanted = np.frombuffer(b"".join(starts), "<u4")
+                wanted = starts[cuts[k]:cuts[k + 1]]
                 h, first, last, anchor = runs(raw)
                 mine = np.isin(first, wanted)
                 for hh, lo, hi, a in zip(*[v[mine].tolist() for v in (h, first, last, anchor)], strict=True):
@@ -328,7 +329,7 @@ def _strings(suffix: bytes, place: tuple):
     return [(place[2] + k, whole[k:k + SPAN]) for k in range(count + 1)]
 
 
-def _meet(sorted_runs: DataFrame) -> DataFrame:
+def _meet(sorted_runs: DataFrame, parts: int, limit: int) -> DataFrame:
     """Spans that repeat (those known before pass through), and single strings of very common grams: ``doc_id, row_key, spans, start, string``."""
     schema = "doc_id long, row_key long, spans binary, start long, string binary"
 
@@ -368,7 +369,7 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
                 if earlier != later:
                     spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
                 continue
-            elif len(group) >= GROUP_CONTEXTS:
+            elif len(group) >= limit:
                 # The last stays, as equal ones may follow it.
                 yield from loose(group[:-1])
                 group, wide = group[-1:], True
@@ -402,12 +403,13 @@ def _meet(sorted_runs: DataFrame) -> DataFrame:
             while some := list(islice(rows, LOOSE_ROWS)):
                 yield _batch(some, names)
 
-    n = partitions(sorted_runs.sparkSession)
-    return (sorted_runs.repartition(n, "part").sortWithinPartitions("part")
+    # One range a task: hashing their few numbers onto tasks would give some tasks several and others none.
+    tasks = min(parts, MOST_TASKS)
+    return (sorted_runs.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
             .mapInArrow(run, schema))
 
 
-def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, settled: DataFrame, limit: int = GROUP_CONTEXTS) -> DataFrame:
     """Per document the spans of bytes to remove, as packed pairs: ``doc_id, row_key, spans``.
 
     ``rows`` come from ``keyed``; documents whose key is in ``settled`` are not looked into.
@@ -418,9 +420,10 @@ def repeats(rows: DataFrame, settled: DataFrame) -> DataFrame:
     n = rows.agg(F.sum(size)).first()[0] or 0
     anchors = _anchors(rows, max(1, int(n) // (WINDOW // 2) // ANCHORS_A_TASK))
     starts = staged(_repeated(anchors).join(settled, F.col("anchor_key") == F.col(KEY), "left_anti"), "starts")
-    found = starts.agg(F.sum(F.aggregate("starts", F.lit(0), lambda t, b: t + F.octet_length(b)) / 4)).first()[0] or 0
+    found = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
     near = rows.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
-    met = staged(_meet(_sorted_runs(near, max(1, int(found) // CONTEXTS_A_TASK))), "met")
+    parts = max(partitions(spark), int(found) // CONTEXTS_A_TASK)
+    met = staged(_meet(_sorted_runs(near, parts), parts, limit), "met")
     loose = met.filter("string is not null").select("doc_id", KEY, "start", "string")
     place = F.struct("doc_id", KEY, "start")
     least = loose.groupBy("string").agg(F.min(place).alias("least"))
@@ -445,8 +448,11 @@ def uncovered(n: int, spans: np.ndarray) -> tuple[np.ndarray, int, int]:
     return ~gone, int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()) if n else 0
 
 
-def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """Every document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and if wanted the bytes kept."""
+def deduplicated(docs: DataFrame, with_bytes: bool = False, limit: int = GROUP_CONTEXTS) -> DataFrame:
+    """Every document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and if wanted the bytes kept.
+
+    ``limit``: contexts of one gram beyond which its strings are compared in an aggregation, not in their range.
+    """
     rows = keyed(docs)
     digests = staged(rows.select("doc_id", KEY, F.octet_length("text").alias("n"), F.md5("text").alias("digest")), "digests")
     least = digests.filter(F.col("n") >= SPAN).groupBy("digest").agg(F.min(F.struct("doc_id", KEY)).alias("one"))
@@ -455,7 +461,7 @@ def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     # Only small tables say which documents are copies; the texts move for the spans and for the result.
     settled = known.groupBy(KEY).agg(F.min("copy").alias("all")).filter("all").select(KEY)
     later = known.filter("copy").select("doc_id", KEY).distinct()
-    marks = repeats(rows, settled).withColumn("copy", F.lit(False)).unionByName(
+    marks = repeats(rows, settled, limit).withColumn("copy", F.lit(False)).unionByName(
         later.withColumn("spans", F.lit(None).cast("array<binary>")).withColumn("copy", F.lit(True)))
     both = rows.alias("t").join(staged(marks, "spans").alias("m").hint("merge"), same_row("t", "m"), "left").select(
         "t.doc_id", "t.text", "m.spans", "m.copy")
