@@ -19,8 +19,8 @@ run's strings need on either side:
    strings are looked up in order of position, and a string seen before is a repeat.
 5. Repeats go back to their documents as spans, and the bytes outside are hashed.
 
-The order of suffixes is that of the hash of the first ``GRAM`` bytes, then the bytes: ranges of the hash are even
-without sampling. Contexts of one gram beyond ``GROUP_CONTEXTS`` leave as single strings and meet again
+The order of suffixes is that of the hash of the first ``GRAM`` bytes, then the bytes: how anchors spread over the hash is
+known, so even ranges need no sampling. Contexts of one gram beyond ``GROUP_CONTEXTS`` leave as single strings and meet again
 in an aggregation that combines per task, so one gram in a third of all documents is no task's load.
 
 Defined cases: a null text is empty; texts under ``SPAN`` bytes keep everything. A null ``doc_id`` comes first.
@@ -72,6 +72,28 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _shares() -> np.ndarray:
+    """At each of 4,097 even steps of the hash, the share of anchors below it, of 2^31.
+
+    An anchor is the least of a window, so low hashes are far more frequent. A hash ``x`` of 1 is chosen when at least
+    ``n = WINDOW - 1`` of its neighbours in a row are above it: with ``q = 1 - x`` by ``q^n (1 + n x)``, whose integral is
+    below. Whole numbers only, so that all machines agree.
+    """
+    n, size = WINDOW - 1, 4096
+    return np.array([(1 << 31) - ((size - i) ** (n + 1) * ((n + 2) * size - n * (size - i)) << 30) // size ** (n + 2)
+                     for i in range(size + 1)], np.uint64)
+
+
+_SHARES = _shares()
+
+
+def ranges_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each anchor's hash, in the order of hashes, when ``parts`` ranges hold equal shares of anchors."""
+    at, rest = (h >> np.uint64(52)).astype(np.int64), (h >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
+    below = _SHARES[at] + ((_SHARES[at + 1] - _SHARES[at]) * rest >> np.uint64(32))
+    return np.minimum((below * np.uint64(parts) >> np.uint64(31)).astype(np.int64), parts - 1)
+
+
 def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost least value in every window of ``width`` values, by doubling."""
     value, index, size = h, np.arange(len(h), dtype=np.int64), 1
@@ -128,7 +150,7 @@ def _anchors(first: DataFrame, parts: int) -> DataFrame:
             again = np.append(False, rec["h"][1:] == rec["h"][:-1])
             rec["twice"] = again
             rec["twice"][:-1] |= again[1:]
-            part = np.minimum((rec["h"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), parts - 1).astype(np.int64)
+            part = ranges_of(rec["h"], parts)
             part[again] = rec["key"][again] % parts
             return _pieces(rec, part, "records")
 
@@ -280,8 +302,9 @@ def _sorted_runs(near: DataFrame, parts: int) -> DataFrame:
         def send():
             rows = sorted(held.items())
             by = defaultdict(list)
-            for suffix, place in rows:
-                by[int.from_bytes(suffix[:4], "big") * parts >> 32].append((suffix, place))
+            h = np.frombuffer(b"".join(suffix[:8] for suffix, _ in rows), ">u8").astype(np.uint64)
+            for p, row in zip(ranges_of(h, parts).tolist(), rows, strict=True):
+                by[p].append(row)
             yield from ([p, front_coded(r), None, None, None] for p, r in by.items())
             yield from ([k % parts, None, None if d == _NULL else d, k, np.array(v, "<u4").tobytes()] for (d, k), v in spans.items())
 

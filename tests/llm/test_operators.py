@@ -85,6 +85,16 @@ def test_suffixes_of_a_very_common_gram(spark, docs):
     assert parts(b"h" * 8 + b"R" * 100 + b"l" * 3 + b"\3", (0, 0, 5, 3, 3))[0] == (5, b"lll" + b"R" * 97)
 
 
+def test_suffix_ranges_are_even_and_ordered():
+    h = suffixes.runs(np.random.default_rng(3).integers(97, 123, 3_000_000, np.uint8).tobytes())[0]
+    part = suffixes.ranges_of(np.sort(h), 50)
+    assert (np.diff(part) >= 0).all()
+    share = np.bincount(part, minlength=50) / len(h) * 50
+    assert 0.9 < share.min() and share.max() < 1.1
+    ends = np.array([0, (1 << 64) - 1], np.uint64)
+    assert suffixes.ranges_of(ends, 7).tolist() == [0, 6] and suffixes.ranges_of(ends, 1).tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("runs", [1, 2, 5])
 def test_loser_tree(runs):
     rows = sorted(bytes(RNG.choice(b"ab") for _ in range(RNG.randint(0, 9))) for _ in range(200))
