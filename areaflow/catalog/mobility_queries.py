@@ -1,11 +1,12 @@
 """Home detection, activity and population queries."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from areaflow.catalog.views import SQL, R, S, places, published, query, stays
 from areaflow.operators import density, mobility
 from areaflow.operators.geo import nearest_area
+from areaflow.sources.staging import staged
 
 HOME_SWEEP = (1, 2, 3, 4, 5)
 
@@ -110,6 +111,18 @@ def home_unmapped_rate(s: S):
     return published(mobility.unmapped_rate(homes(s), cell_area(s), 2))
 
 
+@query("home_area_counted", """
+SELECT (SELECT count(*) FROM users) AS n_written, count(*) AS n_homes, CAST(sum(CASE WHEN c.area_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unmapped
+FROM homes h LEFT JOIN cell_area c ON c.cell_id = h.home_cell WHERE h.n_night_events >= 2""")
+def home_area_counted(s: S):
+    """Homes written once, with the counts taken on the way."""
+    counts = Observation()
+    written = staged(mobility.home_area(homes(s), cell_area(s), 2, counts), "homes")
+    seen = counts.get
+    return written.agg(F.count("*").alias("n_written")).select(
+        "n_written", *[F.lit(seen[c]).cast("long").alias(c) for c in ("n_homes", "n_unmapped")])
+
+
 @query("homes_by_threshold", f"""
 SELECT CAST(t AS INTEGER) AS threshold_events, CAST(count(h.user_id) AS BIGINT) AS n_homes
 FROM (SELECT unnest([{', '.join(map(str, HOME_SWEEP))}]) AS t) LEFT JOIN homes h ON h.n_night_events >= t GROUP BY 1""")

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from areaflow.catalog.connectedness_queries import od_index
-from areaflow.catalog.mobility_queries import contacts, sms, voice
+from areaflow.catalog.mobility_queries import contacts, sms, users, voice
 from areaflow.catalog.views import R, S, published, query
 from areaflow.functions.columns import night_anchor
 from areaflow.operators.network import pair_counts
@@ -130,3 +130,29 @@ def read_dataset(s: S):
     e = readers.read_dataset(s.spark, out, ["ts", "value"], skip_corrupt=True)
     night = night_anchor("ts", F.hour("ts")).cast("string").alias("night")
     return published(e.groupBy(night).agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query("unread_files", "SELECT CAST(1 AS BIGINT) AS n_files, CAST(strlen(max(text)) + 1 AS BIGINT) AS bytes FROM documents")
+def unread_files(s: S):
+    """A dataset with a file among the others that is no Parquet: which file gives no rows."""
+    out = _folder(s, "events")
+    sinks.write_table(s.table("events").repartition(4), out)
+    s.table("documents").agg(F.max("text").alias("value")).write.mode("append").text(out)
+    return readers.unread_files(s.spark, out).agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
+@query("disclosure_switch", """
+SELECT false AS released, 'areas' AS name, (SELECT count(DISTINCT area_id) FROM users) AS n
+UNION ALL SELECT true, 'areas', (SELECT count(DISTINCT area_id) FROM users) UNION ALL SELECT true, 'persons', (SELECT count(*) FROM users)""")
+def disclosure_switch(s: S):
+    """What lies in the result folder with and without the release of tables about single persons."""
+    persons = users(s)
+    tables = {"persons": persons, "areas": persons.groupBy("area_id").agg(F.count("*").alias("n_users"))}
+    found = None
+    for released in (False, True):
+        out = _folder(s, "results")
+        for name in sinks.write_tables(tables, out, ["persons"], released, "parquet"):
+            n = s.spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("n"))
+            part = n.select(F.lit(released).alias("released"), F.lit(name).alias("name"), "n")
+            found = part if found is None else found.unionByName(part)
+    return found

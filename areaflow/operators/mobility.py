@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import (finite_or_null, is_night, ratio, to_local, tolerant)
@@ -63,12 +63,19 @@ def homes_by_threshold(homes: DataFrame, thresholds: Sequence[int] = HOME_THRESH
     return counts_at(homes, "n_night_events", thresholds, "n_homes", "threshold_events")
 
 
-def home_area(homes: DataFrame, cell_area: DataFrame, min_events: int = MIN_HOME_NIGHT_EVENTS) -> DataFrame:
-    """Users with enough night events, with the area of their home cell. ``cell_area``: ``cell_id``, ``area_id``."""
+def home_area(homes: DataFrame, cell_area: DataFrame, min_events: int = MIN_HOME_NIGHT_EVENTS,
+              counts: Observation | None = None) -> DataFrame:
+    """Users with enough night events, with the area of their home cell. ``cell_area``: ``cell_id``, ``area_id``.
+
+    ``counts`` gets ``n_homes`` and ``n_unmapped`` (homes in no area, which are left out) while the result is written, so the
+    share that is lost takes no second job. Counts are exact where the result is written as it is; a
+    shuffle behind it that is run again counts its rows again.
+    """
     cells = cell_area.select(F.col("cell_id").alias("home_cell"), "area_id")
-    kept = homes.filter(F.col("n_night_events") >= min_events)
-    return kept.join(cells, "home_cell", "left").filter(F.col("area_id").isNotNull()).select(
-        "user_id", "home_cell", "area_id", "n_night_events")
+    found = homes.filter(F.col("n_night_events") >= min_events).join(cells, "home_cell", "left")
+    if counts is not None:
+        found = found.observe(counts, F.count("*").alias("n_homes"), F.count_if(F.col("area_id").isNull()).alias("n_unmapped"))
+    return found.filter(F.col("area_id").isNotNull()).select("user_id", "home_cell", "area_id", "n_night_events")
 
 
 def unmapped_rate(homes: DataFrame, cell_area: DataFrame, min_events: int = MIN_HOME_NIGHT_EVENTS) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from areaflow.functions.columns import FOREST_CUTS, TABLE_CUTS, stars
@@ -97,7 +97,7 @@ def standardised(rows: DataFrame, by: Sequence[str], values: Sequence[str], on:
 
 def fit_linear(df: DataFrame, y: str | Column, terms: Sequence[str] | Mapping[str, Column], by: Sequence[str] = (),
                weight: str | None = None, cov: str = "HC3", min_rows: int = 3, stats: DataFrame | None = None,
-               only: Column | None = None) -> DataFrame:
+               only: Column | None = None, counts: Observation | None = None) -> DataFrame:
     """Least squares with intercept per group; one row per group and term.
 
     ``cov`` is ``HC1`` or ``HC3``; with ``weight`` the whitened rows enter the sandwich.
@@ -106,6 +106,8 @@ def fit_linear(df: DataFrame, y: str | Column, terms: Sequence[str] | Mapping[st
     ``y`` and ``terms`` may be expressions that also read ``stats``, one row per group. That row travels with the group's
     coefficients, so ``df`` is read once for the cross-products and once for the sandwich, besides what ``stats``
     takes. ``only``: an aggregate over the fitted rows' terms (by name) that a group must meet.
+    ``counts`` gets ``n_groups`` with a complete row, and ``n_omitted`` of them for too few rows or for ``only``, while the
+    result is computed; a stage that is run again counts its groups again.
     """
     by = list(by)
     terms = dict(terms) if isinstance(terms, Mapping) else {t: F.col(t) for t in terms}
@@ -130,7 +132,12 @@ def fit_linear(df: DataFrame, y: str | Column, terms: Sequence[str] | Mapping[st
         F.count("*").alias("_n"), F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("_xx"),
         F.array(*[F.sum(F.col("_w") * x[i] * F.col("_y")) for i in range(k)]).alias("_xy"),
         *[F.first(c).alias(c) for c in carried], (F.lit(True) if only is None else only).alias("_only"),
-    ).filter((F.col("_n") >= min_rows) & F.col("_only")).drop("_only")
+    )
+    enough = (F.col("_n") >= min_rows) & F.col("_only")
+    if counts is not None:
+        moments = moments.observe(counts, F.count("*").alias("n_groups"),
+                                  F.count_if(~F.coalesce(enough, F.lit(False))).alias("n_omitted"))
+    moments = moments.filter(enough).drop("_only")
     keys = _key_ddl(df, by)
     kept = _key_ddl(stats, carried) if stats is not None else ""
     solved = moments.select(*by, "_n", *carried, "_xx", "_xy").mapInPandas(

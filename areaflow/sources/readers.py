@@ -26,13 +26,40 @@ def require_columns(df: DataFrame, columns: Sequence[str], name: str = "input")
     return df
 
 
+def _parquet(spark: SparkSession, path: str, files: str, skip_corrupt: bool) -> DataFrame:
+    """Columns come from one file; where that is damaged and may be skipped, from the footers of all, read as a job."""
+    read = spark.read.option("ignoreCorruptFiles", skip_corrupt).option("pathGlobFilter", files)
+    try:
+        return read.parquet(path)
+    except AnalysisException as e:
+        if not skip_corrupt or e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return read.option("mergeSchema", True).parquet(path)
+
+
 def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                  skip_corrupt: bool = False) -> DataFrame:
     """All Parquet files under a folder or glob, only the named columns."""
-    df = spark.read.option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+    df = _parquet(spark, path, "*", skip_corrupt)
     return require_columns(df, columns, path).select(*columns) if columns else df
 
 
+def unread_files(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """``file`` and ``bytes`` of the files below a folder or glob that ``skip_corrupt`` passes over: no row of them can be read.
+
+    Files are listed by name and compared with the files that rows come from. Only footers are read for that, no column.
+    A readable file without rows counts as well, as nothing of it reaches a result.
+    """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+              .select(F.col("path").alias("file"), F.col("length").alias("bytes")))
+    seen = (spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", files)
+            .schema("unused string").parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct())
+    # Both sides name a file by its URI, one with escapes.
+    place = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"^file:/+", "/")
+    return listed.withColumn("at", F.regexp_replace("file", r"^file:/+", "/")).join(
+        seen.select(place.alias("at")), "at", "left_anti").select("file", "bytes")
+
+
 def read_daily(spark: SparkSession, path: str, columns: Sequence[str], start: date, end: date,
                files: str = "*", skip_corrupt: bool = False) -> DataFrame:
     """Files or partitions of the days in ``[start, end]``; days without a file are simply absent.
@@ -40,7 +67,7 @@ def read_daily(spark: SparkSession, path: str, columns: Sequence[str], start: da
     A ``day`` partition column is used where the data has one. Otherwise the day is the date in
     the file name, and the filter on it prunes files before any is opened.
     """
-    df = spark.read.option("ignoreCorruptFiles", skip_corrupt).option("pathGlobFilter", files).parquet(path)
+    df = _parquet(spark, path, files, skip_corrupt)
     require_columns(df, columns, path)
     if "day" not in df.columns:
         df = df.withColumn("day", F.to_date(F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2}-\d{2})", 1)))

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from areaflow.functions import columns as C
@@ -44,6 +45,11 @@ def test_home_cell(spark):
     assert mobility.home_area(homes, area, 1).count() == 0
     rate = mobility.unmapped_rate(homes, area, 1).first()
     assert (rate.n_homes, rate.unmapped_rate) == (3, 1.0)
+    counts = Observation()
+    assert len(mobility.home_area(homes, area.unionByName(area.selectExpr("70L AS cell_id", "'B' AS area_id")), 2, counts).collect()) == 1
+    assert counts.get == {"n_homes": 1, "n_unmapped": 0}
+    counts = Observation()
+    assert mobility.home_area(homes, area, 1, counts).collect() == [] and counts.get == {"n_homes": 3, "n_unmapped": 3}
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
     assert {r.user_id: r.n_places for r in mobility.unique_places(calls, cell_map, users).collect()} == {1: 2, 2: 2}
 

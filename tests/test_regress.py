@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 
 from areaflow.operators import connectedness as K
 from areaflow.operators import regress as R
@@ -169,3 +170,11 @@ def test_effect_where_nothing_varies(spark):
     ec = spark.createDataFrame([(f"a{i}", 0.5) for i in range(4)], "home_area string, ec_residual double")
     out = K.ec_effect(person, ec, [10]).collect()
     assert [(r.beta_pp, r.n_area) for r in out] == [(0.0, 4)]
+
+
+def test_omitted_groups_are_counted(spark):
+    rows = [("a", float(i), float(i * i)) for i in range(6)] + [("b", 1.0, 2.0), ("b", 2.0, 2.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    counts = Observation()
+    out = R.fit_linear(df, "y", ["x"], ["g"], min_rows=3, counts=counts).collect()
+    assert {r.g for r in out} == {"a"} and counts.get == {"n_groups": 2, "n_omitted": 1}

@@ -35,6 +35,18 @@ def test_corrupt_files_are_skipped_on_request(spark, tmp_path):
     assert readers.read_dataset(spark, str(tmp_path / "d"), ["id"], skip_corrupt=True).count() == 5
 
 
+@pytest.mark.parametrize("name", ["part-bad.parquet", "a bad+one%.parquet"])
+def test_unread_files_are_named(spark, tmp_path, name):
+    folder = str(tmp_path / "d")
+    spark.range(5).repartition(2).write.parquet(folder)
+    assert readers.unread_files(spark, folder).count() == 0
+    (tmp_path / "d" / name).write_bytes(b"not parquet")
+    (row,) = readers.unread_files(spark, folder).collect()
+    assert row.file.endswith(f"/{name}") and row.bytes == 11
+    # also where the damaged file is the first, from which columns would be taken
+    assert readers.read_dataset(spark, folder, ["id"], skip_corrupt=True).count() == 5
+
+
 def test_incremental_days_run_once(spark, tmp_path):
     out = str(tmp_path / "p")
     rows = spark.createDataFrame([(date(2024, 1, d), d % 2) for d in (1, 1, 2, 3)], "day date, k int")
