@@ -1,14 +1,16 @@
 """Secret scans through nested encodings.
 
-Every text is scanned for three kinds of secret. Then a worklist unwraps what is encoded in it: percent escapes,
-Unicode, hex or entity escapes, base64 runs, also over single line ends, and compressed bytes inside any of these.
+Every text is scanned for three kinds of secret. Then a worklist unwraps what is encoded in it: percent escapes
+(``%uXXXX`` too), Unicode, hex or entity escapes, base64 runs, also over single line ends, and compressed bytes inside any of these.
 Each decoded layer is scanned and searched for further layers until nothing is left to unwrap; a layer seen
 before at the same place ends its branch, so texts that decode to themselves end too. Positions are carried
 along: a secret in any layer is reported at the characters of the original text that produced it.
 
 Some characters are part of no secret and of no encoding, so a text falls into stretches that they divide. All
 escapes of one kind in a stretch are decoded at once, beside what is plain in it. Base64 counts as a layer where
-its bytes are readable text or compressed.
+its bytes are readable text, in UTF-8 or UTF-16, or compressed. A run that is neither as a whole, such as base64 behind a path or
+other letters, is decoded from each of its first four letters, and readable parts of at least ``LEAST_PART`` bytes are layers; so are
+compressed bytes that begin inside it. Compressed are gzip, zlib, bz2 and xz; written with escapes, gzip and zlib only.
 
 Compressed bytes are unfolded in pieces, through all members and to their end, whatever the length; every piece ends
 with a stretch, so only a single stretch is held whole. Bytes compressed twice are spilled to a file of the task.
@@ -22,9 +24,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import codecs
 import html
 import io
+import lzma
 import re
 import tempfile
 import zlib
@@ -49,11 +53,16 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Bytes unfolded at once, and bytes of a nested compressed layer that are kept in memory.
 PIECE_BYTES = 1 << 20
 SPILL_BYTES = 16 << 20
+#: Readable bytes inside a base64 run that are worth a layer: no secret is shorter.
+LEAST_PART = 12
+#: Bytes that an xz stream may ask for; one that wants more is reported as broken.
+XZ_MEMORY = 128 << 20
 
 _STRETCH = re.compile(r"""[A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;\r\n]+""")
 _TO_LAST_DIVIDER = re.compile(r"""(?s:.*)[^A-Za-z0-9+/_.=\-"'\x20:%\\{}&#;\r\n]""")
-_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+|%[uU]([0-9A-Fa-f]{4})")
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})"
+                     r"|(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,30};)")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
 
@@ -63,6 +72,8 @@ _PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[^%\s\"'<>]")
 _PACKED_ESCAPE = re.compile(r"(?:\\x|\\u00)1[fF](?:\\x|\\u00)8[bB]|(?:x|\\x78|\\u0078)(?:(?:\\x|\\u00)(?:01|5[eE]|9[cC]|[dD][aA])|\^)"
                             r"|&#(?:31|[xX]1[fF]);&#(?:139|[xX]8[bB]);|(?:x|&#120;|&#[xX]78;)&#(?:1|94|156|218|[xX](?:0?1|5[eE]|9[cC]|[dD][aA]));")
 _ESCAPE_BYTE = re.compile(_ESCAPE.pattern + r"|\\([abtnvfr0'\"\\/])|[^\\Ā-\U0010ffff]")
+_PART = re.compile(rb"[\t\r\n\x20-\x7e]{%d,}" % LEAST_PART)
+_PACKED_LETTERS = re.compile(r"H4sI|e[AFJN]|QlpoO|QlpoM|QlpoN|/Td6|_Td6")  # first letters of compressed bytes
 _SHORT = dict(zip("abtnvfr0'\"\\/", b"\a\b\t\n\v\f\r\0'\"\\/", strict=True))
 
 Span = tuple[str, int, int]
@@ -123,32 +134,86 @@ def _substituted(layer: Layer, lo: int, hi: int, escape: re.Pattern, value) -> L
     return layer.part([*pieces, (None, at, hi)]) if pieces else None
 
 
-def _percent(m: re.Match) -> str:
+def _character(code: str) -> str | None:
+    point = int(code, 16)
+    return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
+
+
+def _percent(m: re.Match) -> str | None:
+    if m[1]:
+        return _character(m[1])
     return bytes.fromhex(m[0].replace("%", "")).decode(errors="replace")
 
 
 def _escape(m: re.Match) -> str | None:
-    if m[4]:
-        return html.unescape(m[4])
-    point = int(m[1] or m[2] or m[3], 16)
-    return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
+    if m[5]:
+        new = html.unescape(m[5])
+        return new if new != m[5] else None
+    return _character(m[1] or m[2] or m[3] or m[4])
+
+
+_BZ2, _XZ = b"BZh", b"\xfd7zXZ\0"
+_DAMAGED = (zlib.error, lzma.LZMAError, OSError)
 
 
 def _packed(raw: bytes) -> bool:
-    """Whether bytes start as gzip or zlib do."""
-    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0
+    """Whether bytes start as gzip, zlib, bz2 or xz do."""
+    return (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0
+            or raw[:3] == _BZ2 and raw[4:10] == b"1AY&SY" or raw[:6] == _XZ)
+
+
+class _Blocks:
+    """A bz2 or xz stream unfolded in pieces, with the names that zlib has for what is left."""
+
+    def __init__(self, stream: bz2.BZ2Decompressor | lzma.LZMADecompressor):
+        self.stream, self.unconsumed_tail = stream, b""
+
+    def decompress(self, raw: bytes, size: int) -> bytes:
+        """``_KEPT`` instead of bytes asks for more of what the stream keeps itself."""
+        out = self.stream.decompress(b"" if raw is _KEPT else raw, size)
+        self.unconsumed_tail = b"" if self.stream.eof or self.stream.needs_input else _KEPT
+        return out
+
+    @property
+    def eof(self) -> bool:
+        return self.stream.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.stream.unused_data
+
+
+_KEPT = b"kept"
+
+
+def _unfolding(raw: bytes):
+    """What unfolds bytes that start like these."""
+    if raw[:3] == _BZ2:
+        return _Blocks(bz2.BZ2Decompressor())
+    if raw[:6] == _XZ:
+        return _Blocks(lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=XZ_MEMORY))
+    return zlib.decompressobj(47)
+
+
+def _starts(raw: bytes) -> bool:
+    """Whether the first bytes unfold without an error; a block may need more of them than these."""
+    try:
+        _unfolding(raw).decompress(raw, PIECE_BYTES)
+    except _DAMAGED:
+        return False
+    return True
 
 
 def _extent(raw: bytes) -> int:
     """How many bytes the compressed members at the start of ``raw`` take, all if the last is not complete."""
     rest = raw
     while _packed(rest):
-        d = zlib.decompressobj(47)
+        d = _unfolding(rest)
         try:
             d.decompress(rest, PIECE_BYTES)
             while d.unconsumed_tail and not d.eof:
                 d.decompress(d.unconsumed_tail, PIECE_BYTES)
-        except zlib.error:
+        except _DAMAGED:
             return len(raw)
         if not d.eof:
             return len(raw)
@@ -164,13 +229,14 @@ class Packed:
 
     def _inflated(self, source) -> Iterator[bytes]:
         """What all members unfold to, in pieces; bytes behind them come as they are, after a divider."""
-        d, fed, rest = zlib.decompressobj(47), False, b""
+        d, fed, rest = None, False, b""
         while raw := rest or source.read(PIECE_BYTES):
+            d = d or _unfolding(raw)
             try:
                 out = d.decompress(raw, PIECE_BYTES)
-            except zlib.error:
+            except _DAMAGED:
                 self.broken = True
-                yield b"\0" + raw
+                yield b"\0" + (b"" if raw is _KEPT else raw)
                 while raw := source.read(PIECE_BYTES):
                     yield raw
                 return
@@ -179,7 +245,7 @@ class Packed:
             rest, fed = d.unconsumed_tail, True
             if d.eof:
                 rest = d.unused_data.lstrip(b"\0") or source.read(PIECE_BYTES).lstrip(b"\0")
-                if len(rest) == 1:
+                if 0 < len(rest) < 10:
                     rest += source.read(PIECE_BYTES)
                 fed = False
                 if rest and not _packed(rest):
@@ -187,7 +253,7 @@ class Packed:
                     while raw := source.read(PIECE_BYTES):
                         yield raw
                     return
-                d = zlib.decompressobj(47)
+                d = None
         while fed and not d.eof and (out := d.decompress(b"", PIECE_BYTES)):
             yield out
         self.broken |= fed and not d.eof
@@ -197,7 +263,7 @@ class Packed:
         source, seen = io.BytesIO(self.raw), {sha256(self.raw).digest()}
         while True:
             out, head = self._inflated(source), b""
-            while len(head) < 3 and (more := next(out, b"")):
+            while len(head) < 10 and (more := next(out, b"")):
                 head += more
             if not _packed(head):
                 break
@@ -227,8 +293,11 @@ class Packed:
 
 
 def _readable(raw: bytes) -> str | None:
+    code = "utf-8"
+    if raw.count(0) * 3 > len(raw) > 3 and len(raw) % 2 == 0:
+        code = "utf-16-be" if raw[::2].count(0) > raw[1::2].count(0) else "utf-16-le"
     try:
-        text = raw.decode()
+        text = raw.decode(code)
     except UnicodeDecodeError:
         return None
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
@@ -244,6 +313,22 @@ def _base64(run: str) -> bytes:
         return b""
 
 
+def _parts(run: str) -> Iterator[tuple[str, int, int]]:
+    """Readable parts of a base64 run that is not readable as a whole, decoded from each of its first four letters."""
+    for phase in range(min(4, len(run))):
+        raw = _base64(run[phase:])
+        for m in _PART.finditer(raw):
+            yield m[0].decode(), phase + m.start() * 4 // 3, min(len(run), phase - (-m.end() * 4 // 3))
+
+
+def _packed_parts(run: str) -> Iterator[tuple[bytes, int]]:
+    """Compressed bytes that begin inside a base64 run, with the place of their first letter."""
+    for m in _PACKED_LETTERS.finditer(run, 1):
+        raw = _base64(run[m.start():m.start() + 256])
+        if _packed(raw) and _starts(raw):
+            yield _base64(run[m.start():]), m.start()
+
+
 def _runs(text: str) -> Iterator[tuple[str, int, int, int]]:
     """Base64 runs, long ones first: lines of equal length with a line of any length before and after, and every line.
 
@@ -312,13 +397,16 @@ def _percent_byte(blank: str):
 
 
 def _escape_byte(m: re.Match) -> bytes | None:
+    if m[6]:
+        return bytes([_SHORT[m[6]]])
+    if m[5] and m[5][1] != "#":
+        new = html.unescape(m[5])
+        return new.encode("latin-1") if max(new) < "\u0100" else None
     if m[5]:
-        return bytes([_SHORT[m[5]]])
-    if m[4]:
-        body = m[4][2:-1]
+        body = m[5][2:-1]
         point = int(body[1:], 16) if body[0] in "xX" else int(body)
     else:
-        code = m[1] or m[2] or m[3]
+        code = m[1] or m[2] or m[3] or m[4]
         point = int(code, 16) if code else ord(m[0])
     return bytes([point]) if point < 256 else None
 
@@ -326,7 +414,7 @@ def _escape_byte(m: re.Match) -> bytes | None:
 def inner(layer: Layer) -> Iterator[Layer | Packed | None]:
     """The layers directly inside one."""
     text = layer.text
-    percent, escaped = "%" in text, "\\" in text or "&#" in text
+    percent, escaped = "%" in text, "\\" in text or "&" in text and ";" in text
     if percent or escaped:
         for m in _STRETCH.finditer(text):
             if percent and text.find("%", *m.span()) >= 0:
@@ -352,6 +440,11 @@ def inner(layer: Layer) -> Iterator[Layer | Packed | None]:
                 whole = lo, hi
         if plain := _readable(raw):
             yield layer.part([(plain, lo, hi)])
+        elif not before and hi - lo == len(run) and not _packed(raw):
+            for part, a, b in _parts(run):
+                yield layer.part([(part, lo + a, lo + b)])
+            for raw, a in _packed_parts(run):
+                yield Packed(raw, layer, lo + a, hi)
 
 
 class _Scan:

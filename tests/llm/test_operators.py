@@ -254,6 +254,29 @@ def test_quality(docs, none):
     assert quality.keep_good(none).count() == 0
 
 
+def test_quality_of_hosts(spark):
+    """A bad host's documents must pass every rule; the same documents at a good host, or at one with a single page, stay."""
+    words = [f"w{i}" for i in range(60)]
+    plain = " ".join(words)
+    noisy = " ".join(words[:40] + ["#"] * 20)  # one symbol for three words, far from the base rules
+    rows = [(i, noisy, "bad") for i in range(80)] + [(100 + i, plain, "bad") for i in range(20)]
+    rows += [(1000 * h + i, noisy if i == 7 else plain, f"good{h}") for h in range(1, 11) for i in range(100)] + [(20000, noisy, "single")]
+    out = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {d for d, r in out.items() if not r["kept"]} == set(range(80))
+    assert out[0]["worst"] > 0.5 > out[1007]["worst"]
+    # the rate of a host by hand: failures and documents, with the prior fitted to the hosts
+    n, fails, hosts = 1101, [80, *[1] * 10, 1], [100, *[100] * 10, 1]
+    mean = sum(fails) / n
+    spread = sum(f * f / h for f, h in zip(fails, hosts, strict=True)) / n - mean ** 2
+    between = spread - mean * (1 - mean) * 11 / n
+    weight = min(max(mean * (1 - mean) / between - 1, 2.0), n)
+    assert out[0]["worst"] == pytest.approx((80 + mean * weight) / (100 + weight))
+    assert out[20000]["worst"] == pytest.approx((1 + mean * weight) / (1 + weight))
+    single = (1 + mean * weight) / (1 + weight) > 0.5
+    assert out[20000]["kept"] != single
+
+
 def test_toxicity(spark, none):
     rows = [(i, prose(20) + (" jerk them" if i % 3 == 0 else " jerk" if i % 3 == 1 else " them")) for i in range(400)]
     docs = spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id long, text string")
@@ -323,6 +346,34 @@ def test_secrets_in_compressed_bytes():
     assert secrets.scan(b64encode(packed[:-60]).decode())[3] == 1
 
 
+def test_secrets_in_further_layers():
+    import bz2
+    import lzma
+    from base64 import b64encode
+    from gzip import compress
+    from zlib import compress as deflate
+
+    secret = b"password=Zx81hhQQ22lm"
+    noise = bytes(RNG.choice(b"abcdefgh, ") for _ in range(300))
+    whole = [b64encode(x).decode() for x in (
+        bz2.compress(noise + secret), lzma.compress(noise + secret), bz2.compress(noise) + bz2.compress(secret),
+        compress(lzma.compress(bz2.compress(noise + secret))), secret.decode().encode("utf-16-le"), secret.decode().encode("utf-16-be"),
+        bz2.compress(b"some words, " * (20 << 20 >> 3) + secret))]
+    escapes = ["".join(f"%u{c:04x}" for c in secret), "".join(f"\\U{c:08x}" for c in secret), "password&equals;Zx81hhQQ22lm",
+               "password&colon;&quot;Zx81hhQQ22lm", "p%u0061ssword=Zx81hhQQ22lm"]
+    for k, x in enumerate([*whole, *escapes]):
+        base, spans, _, cut = secrets.scan("see, " + x + ", last")
+        assert cut == 0 and ("assign", 5, 5 + len(x)) in set(spans) - set(base if k != 11 else []), (k, spans, x[:100])
+    for before in ("a", "ab", "abc", "abcd", "path/to/", "id_", "x-y-", "Zm9v"):
+        for inner in (noise[:9] + b" " + secret, compress(noise + secret), deflate(noise + secret), bz2.compress(noise + secret), lzma.compress(secret)):
+            x = "see, " + before + b64encode(inner).decode() + ", last"
+            _, spans, _, _ = secrets.scan(x)
+            lo = 5 if inner[0] in b"abcdefgh, " else 5 + len(before)  # letters before may decode to text as well
+            assert any(k == "assign" and lo <= a < b <= len(x) - 6 for k, a, b in spans), (before, inner[:4], spans)
+    assert secrets.scan(b64encode(bz2.compress(noise + secret)[:-9]).decode())[3] == 1
+    assert secrets.scan("AT&T; &nosuch; &amp;amp;")[1] == [] and secrets.scan("A" * 5000)[1] == []
+
+
 def test_secrets_table(docs, none):
     assert secrets.found(docs).count() == docs.count() and secrets.found(none).count() == 0
 
