@@ -5,13 +5,17 @@ one - is deleted where it holds at least ``min_words`` words. Lines without a wo
 stay. Lines are compared without the white space around them.
 
 Every line has a hash. A window is a smallest run of lines with ``min_words`` words, read forward from
-its first line or backward from its last; its fingerprint is its least line hash. A repeated run holds
-a whole window, which is the same in both places, so both select the same fingerprint. Fingerprints
-found once are done with. From each repeated one the match is extended both ways, window by window:
-windows around it are compared whole, and a window that also starts earlier is deleted. The forward
+its first line or backward from its last; its fingerprint is its least line hash, placed at the first line that has it. A
+repeated run holds a whole window, which is the same in both places, so both select the same fingerprint at two places.
+Fingerprints with one place, however many windows select it, are done with. Around each place of the others the
+windows that select it are compared whole, and a window that also starts earlier is deleted. The forward
 and backward windows inside a repeated run cover all its lines, so exactly the repeated runs go,
 whichever of many earlier places each part of them comes from.
 
+Places are not joined with each other. The first place of a fingerprint may stand among other lines, while a run repeats
+one of its many further places: extending from the first place alone loses that run, and joining
+all places of a common line is a pair for every two of them. Windows meet by their digests instead, one row each.
+
 Defined cases: a null text is empty and has no lines. A null ``doc_id`` comes before all others. Rows
 of one ``doc_id`` are ordered by row key; rows equal in id and text are one document, get the same
 result, and do not count as copies of each other. An empty table gives an empty result. Other columns
@@ -66,14 +70,14 @@ def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def fingerprint(digests: bytes, lo: int, hi: int) -> int:
-    """The least line hash of a window, as a signed 64-bit number."""
-    least = min(digests[_DIGEST * k:_DIGEST * k + 8] for k in range(lo, hi + 1))
-    return int.from_bytes(least, "big", signed=True)
+def fingerprint(digests: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The least line hash of a window, as a signed 64-bit number, and the first line that has it."""
+    least, place = min((digests[_DIGEST * k:_DIGEST * k + 8], k) for k in range(lo, hi + 1))
+    return int.from_bytes(least, "big", signed=True), place
 
 
 def _digested(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per document with a window: line digests, words, and its distinct fingerprints with counts."""
+    """One row per document with a window: line digests, words, and its distinct fingerprints with the number of their places."""
 
     def run(batch):
         out = {k: [] for k in ("doc_id", KEY, "digests", "words", "marks")}
@@ -82,11 +86,10 @@ def _digested(docs: DataFrame, min_words: int) -> DataFrame:
             if sum(words) < min_words:
                 continue
             marks: dict[int, int] = {}
-            for lo, hi in windows(words, min_words):
-                m = fingerprint(digests, lo, hi)
+            for m, _ in {fingerprint(digests, lo, hi) for lo, hi in windows(words, min_words)}:
                 marks[m] = marks.get(m, 0) + 1
             for k, v in zip(out, (doc, key, digests, np.array(words, "<u4").tobytes(),
-                                  [{"mark": m, "times": n} for m, n in marks.items()]), strict=True):
+                                  [{"mark": m, "times": n} for m, n in sorted(marks.items())]), strict=True):
                 out[k].append(v)
         return out
 
@@ -112,7 +115,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for row in batch.to_pylist():
             marked, digests = set(row["hits"]), row["digests"]
             for lo, hi in windows(np.frombuffer(row["words"], "<u4").tolist(), min_words):
-                if fingerprint(digests, lo, hi) in marked:
+                if fingerprint(digests, lo, hi)[0] in marked:
                     whole = blake2b(digests[_DIGEST * lo:_DIGEST * (hi + 1)], digest_size=16).digest()
                     for k, v in zip(out, (row["doc_id"], row[KEY], whole, lo, hi), strict=True):
                         out[k].append(v)
