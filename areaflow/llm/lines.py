@@ -86,10 +86,14 @@ def _digested(docs: DataFrame, min_words: int) -> DataFrame:
             if sum(words) < min_words:
                 continue
             marks: dict[int, int] = {}
-            for m, _ in {fingerprint(digests, lo, hi) for lo, hi in windows(words, min_words)}:
-                marks[m] = marks.get(m, 0) + 1
+            last: dict[int, int] = {}
+            for lo, hi in windows(words, min_words):  # in order, so a mark's places come in order too
+                m, place = fingerprint(digests, lo, hi)
+                if last.get(m) != place:
+                    last[m] = place
+                    marks[m] = marks.get(m, 0) + 1
             for k, v in zip(out, (doc, key, digests, np.array(words, "<u4").tobytes(),
-                                  [{"mark": m, "times": n} for m, n in sorted(marks.items())]), strict=True):
+                                  [{"mark": m, "times": n} for m, n in marks.items()]), strict=True):
                 out[k].append(v)
         return out
 
