@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from areaflow.sources.staging import staged
 
-__all__ = ["KEY", "back_to", "batches", "keyed", "map_arrow", "partitions", "same_row", "staged"]
+__all__ = ["KEY", "back_to", "batches", "keeps", "keyed", "map_arrow", "partitions", "same_row", "staged"]
 
 #: Name of the row key among the columns that operators hand to each other.
 KEY = "row_key"
@@ -60,12 +61,33 @@ def batches(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, known)))
 
 
+#: What a worker keeps between tasks, as functions that drop it, and the operator of its last task.
+_KEPT: list[Callable[[], object]] = []
+_RAN = {"module": ""}
+
+
+def keeps(drop: Callable[[], object]) -> None:
+    """Name how to drop what a module keeps in a worker."""
+    _KEPT.append(drop)
+
+
+def starts(module: str) -> None:
+    """Drop what is kept where the worker's last task was another operator's: workers outlive stages, and what each keeps adds up."""
+    if _RAN["module"] != module:
+        for drop in _KEPT:
+            drop()
+        gc.collect()  # encoders and their parts refer to each other
+        pa.default_memory_pool().release_unused()
+        _RAN["module"] = module
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns a dictionary of columns of the Spark ``schema``."""
     batches(df.sparkSession)
-    names = arrow_schema(schema)
+    names, module = arrow_schema(schema), fn.__module__
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts(module)
         for batch in it:
             out = fn(batch)
             if out is not None:

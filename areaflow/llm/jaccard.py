@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import KEY, arrow_schema, back_to, batches, keyed, map_arrow, partitions, same_row, staged
+from areaflow.llm.common import KEY, arrow_schema, back_to, batches, keeps, keyed, map_arrow, partitions, same_row, staged
 from areaflow.llm.components import components
 
 WIDTH = 5
@@ -62,6 +62,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keeps(_WORDS.clear)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:

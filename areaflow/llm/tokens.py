@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from areaflow.llm.common import keeps
+
 #: Entries a worker remembers before it starts anew; bounds its memory, not its results.
 REMEMBERED = 1_000_000
 
@@ -122,6 +124,7 @@ class TextEncoder:
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
+keeps(_ENCODERS.clear)
 
 
 def encoder(path: str) -> TextEncoder:
