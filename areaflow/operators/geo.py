@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaflow.functions.columns import haversine_km, mercator_x, mercator_y
+from areaflow.functions.columns import EARTH_RADIUS_KM, haversine_km, mercator_x, mercator_y
+from areaflow.functions.frames import spread
+from areaflow.sources.staging import staged
 
 
 def tile(c: str | Column, size: float) -> Column:
@@ -238,39 +240,22 @@ def nearest_area(points: DataFrame, centres: DataFrame, point_id: str, lon: str
 KM_PER_NAUTICAL_MILE = 1.852
 
 
+QUADRANTS = ("ne", "se", "sw", "nw")
+#: Cells on the side of a tile.
+CELLS = 8
+# The cells' bounds are widened by more than rounding can move them, so they never settle what the exact test would not.
+_SLACK, _SLACK_KM = 1e-9, 1e-6
+
+
 def exposure_class(track: DataFrame, areas: DataFrame, thresholds: Sequence[int] = (34, 50, 64),
                    size: float = 1.0) -> DataFrame:
     """Highest wind threshold whose radius reached each area's point, per event.
 
     ``track``: ``disaster``, ``lat``, ``lon`` and, per threshold and quadrant, a radius in
     nautical miles ``r34_ne`` ... ``r64_nw``. ``areas``: ``area_id``, ``lat``, ``lon``. Areas out of
-    reach are absent. Each observation point is tested on its own.
+    reach are absent. Each observation point is tested on its own; a radius that is missing or NaN reaches nothing.
     """
-    widest = F.greatest(*[F.coalesce(F.col(f"r{t}_{q}"), F.lit(0.0)) for t in thresholds for q in ("ne", "se", "sw", "nw")])
-    km = widest * KM_PER_NAUTICAL_MILE
-    dlat = km / 110.0
-    # Degrees of longitude shrink with latitude; the poles are out of range for storm tracks.
-    dlon = km / (F.lit(110.0) * F.greatest(F.cos(F.radians(F.least(F.abs("lat") + dlat, F.lit(89.0)))), F.lit(0.01)))
-    spread = (
-        track.filter(widest > 0)
-        .withColumn("tx", F.explode(F.sequence(tile(F.col("lon") - dlon, size), tile(F.col("lon") + dlon, size))))
-        .withColumn("ty", F.explode(F.sequence(tile(F.col("lat") - dlat, size), tile(F.col("lat") + dlat, size))))
-    )
-    spots = areas.select("area_id", F.col("lat").alias("_alat"), F.col("lon").alias("_alon")).withColumn(
-        "tx", tile("_alon", size)).withColumn("ty", tile("_alat", size))
-    near = spread.join(spots, ["tx", "ty"])
-    north, east = F.col("_alat") >= F.col("lat"), F.col("_alon") >= F.col("lon")
-    dist = haversine_km("lat", "lon", "_alat", "_alon")
-    reached = F.lit(0)
-    for t in sorted(thresholds):
-        radius = F.when(north & east, F.col(f"r{t}_ne")).when(~north & east, F.col(f"r{t}_se")).when(
-            ~north & ~east, F.col(f"r{t}_sw")).otherwise(F.col(f"r{t}_nw"))
-        reached = F.when((radius > 0) & (dist <= radius * KM_PER_NAUTICAL_MILE), F.lit(t)).otherwise(reached)
-    return near.withColumn("wind_kt", reached).filter("wind_kt > 0").groupBy("disaster", "area_id").agg(
-        F.max("wind_kt").alias("wind_kt"))
-
-
-QUADRANTS = ("ne", "se", "sw", "nw")
+    return _reached(_standing(_fixes(track, thresholds), thresholds), areas, thresholds, size)
 
 
 def exposure_swept(track: DataFrame, areas: DataFrame, order: str = "t", thresholds: Sequence[int] = (34, 50, 64),
@@ -279,35 +264,154 @@ def exposure_swept(track: DataFrame, areas: DataFrame, order: str = "t", thresho
 
     As :func:`exposure_class`, with fixes joined to their successor by ``order``: between two fixes the centre moves
     straight and the radii change evenly (a missing one counts as 0). A point is tested at each fix and at the
-    place of the segment nearest to it. Segments, not steps along them, meet the tiles of the points.
-    Tracks are short beside the points: all fixes of one event are ordered in one task. Fixes without a position are left out; a
-    segment across the date line is not followed.
+    place of the segment nearest to it. Segments, not steps along them, meet the cells of the points.
+    Fixes without a position are left out; a segment across the date line is not followed.
     """
-    radii = [f"r{t}_{q}" for t in thresholds for q in QUADRANTS]
-    fixes = track.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
-        "disaster", F.col(order).alias("_t"), "lat", "lon", *[F.coalesce(r, F.lit(0.0)).alias(r) for r in radii])
-    along = Window.partitionBy("disaster").orderBy("_t")
-    legs = fixes.withColumns({f"{c}_2": F.coalesce(F.lead(c).over(along), F.col(c)) for c in ("lat", "lon", *radii)})
-    widest = F.greatest(*[F.col(r) for r in radii], *[F.col(f"{r}_2") for r in radii])
-    km = widest * KM_PER_NAUTICAL_MILE
+    fixes = _fixes(track.withColumn("_t", F.col(order)), thresholds, "_t")
+    moving = _successors(fixes, thresholds).filter("lat != lat_2 OR lon != lon_2")
+    return _reached(_standing(fixes, thresholds), areas, thresholds, size, _outer(moving, thresholds))
+
+
+def _once(df: DataFrame, *exprs: str) -> DataFrame:
+    """``df`` with columns that are computed once; plain ones are copied to wherever they are used, filters included."""
+    return df.selectExpr("*", f"inline(array(struct({', '.join(exprs)})))")
+
+
+def _radii(thresholds: Sequence[int]) -> list[str]:
+    return [f"r{t}_{q}" for t in thresholds for q in QUADRANTS]
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+
+
+def _fixes(track: DataFrame, thresholds: Sequence[int], *more: str) -> DataFrame:
+    return _placed(track.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon")})).select(
+        "disaster", *more, "lat", "lon",
+        *[F.coalesce(F.nanvl(F.col(r).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(r) for r in _radii(thresholds)])
+
+
+def _standing(fixes: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Fixes as segments without length; of those at one place only the largest radii count."""
+    radii = _radii(thresholds)
+    merged = fixes.groupBy("disaster", "lat", "lon").agg(*[F.max(r).alias(r) for r in radii])
+    return _once(merged, *[f"{c} AS {c}_2" for c in ("lat", "lon", *radii)])
+
+
+def _successors(fixes: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Each fix with the next one of its event by ``_t``.
+
+    A track may be as long as the input, so no task orders a whole one: stretches of it are ordered apart, and the last fix of each
+    takes the first of the next. The stretches are written once, as they must be the same for both.
+    """
+    spark, columns = fixes.sparkSession, ("lat", "lon", *_radii(thresholds))
+    stretches = staged(fixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "disaster", "_t").withColumn(
+        "_stretch", F.spark_partition_id()), "track")
+    first = stretches.groupBy("disaster", "_stretch").agg(F.min(F.struct("_t", *columns)).alias("_f"))
+    follow = first.select("disaster", "_stretch", F.lead("_f").over(Window.partitionBy("disaster").orderBy("_stretch")).alias("_f"))
+    along = Window.partitionBy("disaster", "_stretch").orderBy("_t", *columns)
+    legs = stretches.withColumn("_n", F.lead(F.struct(*columns)).over(along)).join(follow, ["disaster", "_stretch"])
+    return _once(legs, *[f"coalesce(_n.{c}, _f.{c}, {c}) AS {c}_2" for c in columns]).drop("_stretch", "_t", "_n", "_f")
+
+
+def _outer(legs: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Without segments that others over the same way outreach.
+
+    The nearest place depends on the way alone. A radius that is nowhere above the lesser end of another's does not matter there, so a
+    segment stays if one of its radii is greater at either end than all lesser ends, or has the greatest of these itself.
+    """
+    radii, way = _radii(thresholds), ["disaster", "lat", "lon", "lat_2", "lon_2"]
+    legs = legs.groupBy(*way, *radii[:1], f"{radii[0]}_2", *radii[1:], *[f"{r}_2" for r in radii[1:]]).agg(F.lit(1).alias("_one")).drop("_one")
+    sure = legs.groupBy(*way).agg(*[F.max(F.least(r, f"{r}_2")).alias(f"_m_{r}") for r in radii])
+    matters = " OR ".join(f"(greatest({r}, {r}_2) > 0 AND (greatest({r}, {r}_2) > _m_{r} OR least({r}, {r}_2) = _m_{r}))" for r in radii)
+    return _once(legs.join(sure, way), f"({matters}) AS _matters").filter("_matters").select(legs.columns)
+
+
+def _bounded(legs: DataFrame, thresholds: Sequence[int], side: float, held: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Segments by the cells they may reach, with the highest threshold they may reach there (``_most``) and surely reach everywhere (``_least``).
+
+    ``held``: the cells that matter; ``settled``: by event and cell the threshold known to be reached.
+    """
+    radii, steps = _radii(thresholds), sorted(thresholds)
+    widest = f"greatest({', '.join([*radii, *[f'{r}_2' for r in radii]])}) AS _widest"
+    km = F.col("_widest") * KM_PER_NAUTICAL_MILE
     dlat = km / 110.0
+    # Degrees of longitude shrink with latitude; the poles are out of range for storm tracks.
     top = F.greatest(F.abs("lat"), F.abs("lat_2")) + dlat
     dlon = km / (F.lit(110.0) * F.greatest(F.cos(F.radians(F.least(top, F.lit(89.0)))), F.lit(0.01)))
-    across = lambda c, d: F.explode(F.sequence(tile(F.least(c, f"{c}_2") - d, size), tile(F.greatest(c, f"{c}_2") + d, size)))
-    spread = legs.filter(widest > 0).withColumn("tx", across("lon", dlon)).withColumn("ty", across("lat", dlat))
-    spots = areas.select("area_id", F.col("lat").alias("_alat"), F.col("lon").alias("_alon")).withColumn(
-        "tx", tile("_alon", size)).withColumn("ty", tile("_alat", size))
-    near = spread.join(spots, ["tx", "ty"]).selectExpr("*", "cos(radians((lat + lat_2) / 2)) AS _c").selectExpr(
-        "*", "(lon_2 - lon) * _c AS _dx", "lat_2 - lat AS _dy").selectExpr(
-        "*", "explode(array(0D, CASE WHEN _dx * _dx + _dy * _dy > 0 THEN least(1D, greatest(0D, "
-             "((_alon - lon) * _c * _dx + (_alat - lat) * _dy) / (_dx * _dx + _dy * _dy))) ELSE 0D END)) AS _s")
-    at = near.withColumns({f"{c}_s": F.col(c) + F.col("_s") * (F.col(f"{c}_2") - F.col(c)) for c in ("lat", "lon", *radii)})
+    across = lambda c, d: F.explode(F.sequence(tile(F.least(c, f"{c}_2") - d, side), tile(F.greatest(c, f"{c}_2") + d, side)))
+    # Place along the segment as a part of it: _a and _b for each degree of longitude and latitude from its start.
+    legs = _once(legs, widest, "cos(radians((lat + lat_2) / 2)) AS _c").filter("_widest > 0")
+    legs = _once(legs, "(lon_2 - lon) * _c AS _dx", "lat_2 - lat AS _dy").withColumn("_len2", F.expr("_dx * _dx + _dy * _dy"))
+    legs = spread(legs, "disaster", "lat", "lon", "lat_2", "lon_2", radii[0])
+    cells = legs.withColumn("tx", across("lon", dlon)).withColumn("ty", across("lat", dlat)).join(held, ["tx", "ty"])
+    known = F.lit(0)
+    if settled is not None:
+        cells = cells.join(settled, ["disaster", "tx", "ty"], "left")
+        known = F.coalesce("_settled", F.lit(0))
+        cells = cells.filter(known < steps[-1])
+    cells = cells.selectExpr("*", *[f"{c} * {side!r}D - {_SLACK!r}D AS _{v}0" for c, v in (("tx", "x"), ("ty", "y"))],
+                             *[f"({c} + 1) * {side!r}D + {_SLACK!r}D AS _{v}1" for c, v in (("tx", "x"), ("ty", "y"))])
+    along = lambda pick: (f"{pick}((_x0 - lon) * _c * _dx, (_x1 - lon) * _c * _dx) + {pick}((_y0 - lat) * _dy, (_y1 - lat) * _dy)")
+    slack = f"({_SLACK!r}D + 1e-11D / sqrt(_len2))"
+    within = lambda pick, sign: (f"CASE WHEN _len2 > 0 THEN least(1D, greatest(0D, ({along(pick)}) / _len2 {sign} {slack})) ELSE 0D END")
+    cells = _once(cells, f"{within('least', '-')} AS _s0", f"{within('greatest', '+')} AS _s1")
+    ends = lambda c: [f"{c} + {e} * ({c}_2 - {c})" for e in ("_s0", "_s1")]
+    cells = _once(cells, *[f"{pick}({', '.join(ends(c))}) {sign} {_SLACK!r}D AS _{c}{k}" for c in ("lat", "lon")
+                                    for k, (pick, sign) in enumerate((("least", "-"), ("greatest", "+")))])
+    # Least and greatest distance between the centre's box and the cell; differences beyond half a turn are taken as any.
+    cells = _once(
+        cells, "greatest(0D, _y0 - _lat1, _lat0 - _y1) AS _u0", "least(180D, greatest(_y1 - _lat0, _lat1 - _y0)) AS _u1",
+        "CASE WHEN greatest(_x1 - _lon0, _lon1 - _x0) > 180 THEN 0D ELSE greatest(0D, _x0 - _lon1, _lon0 - _x1) END AS _v0",
+        "least(180D, greatest(_x1 - _lon0, _lon1 - _x0)) AS _v1", *[
+            f"cos(radians({fn})) AS _c{n}" for n, fn in (
+                ("l0", "greatest(abs(_lat0), abs(_lat1))"), ("l1", "CASE WHEN _lat0 < 0 AND _lat1 > 0 THEN 0D ELSE least(abs(_lat0), abs(_lat1)) END"),
+                ("y0", "greatest(abs(_y0), abs(_y1))"), ("y1", "CASE WHEN _y0 < 0 AND _y1 > 0 THEN 0D ELSE least(abs(_y0), abs(_y1)) END"))])
+    span = lambda k: (f"asin(sqrt(least(1D, greatest(0D, pow(sin(radians(_u{k}) / 2), 2) + greatest(0D, _cl{k}) * greatest(0D, _cy{k}) "
+                      f"* pow(sin(radians(_v{k}) / 2), 2))))) * {2 * EARTH_RADIUS_KM!r}D")
+    cells = _once(
+        cells, f"{span(0)} * {1 - _SLACK!r}D - {_SLACK_KM!r}D AS _near", f"{span(1)} * {1 + _SLACK!r}D + {_SLACK_KM!r}D AS _far",
+        "_y1 >= _lat0 AS _north", "_y0 < _lat1 AS _south", "_x1 >= _lon0 AS _east", "_x0 < _lon1 AS _west")
+    sides = {"ne": "_north AND _east", "se": "_south AND _east", "sw": "_south AND _west", "nw": "_north AND _west"}
+    most, least = "0", "0"
+    for t in steps:
+        high = f"greatest({', '.join(f'CASE WHEN {sides[q]} THEN greatest({ends(f"r{t}_{q}")[0]}, {ends(f"r{t}_{q}")[1]}) ELSE 0D END' for q in QUADRANTS)})"
+        low = f"least({', '.join(f'CASE WHEN {sides[q]} THEN least({ends(f"r{t}_{q}")[0]}, {ends(f"r{t}_{q}")[1]}) END' for q in QUADRANTS)})"
+        most = f"CASE WHEN {high} > 0 AND _near <= {high} * {KM_PER_NAUTICAL_MILE!r}D * {1 + _SLACK!r}D THEN {t} ELSE {most} END"
+        least = f"CASE WHEN {low} > 0 AND _far <= {low} * {KM_PER_NAUTICAL_MILE!r}D THEN {t} ELSE {least} END"
+    cells = _once(cells, f"{most} AS _most", f"{least} AS _least").filter(F.col("_most") > known)
+    return cells.select(*legs.columns, "tx", "ty", "_most", "_least")
+
+
+def _reached(standing: DataFrame, areas: DataFrame, thresholds: Sequence[int], size: float, moving: DataFrame | None = None) -> DataFrame:
+    """Highest threshold of all segments at each area's point, tested at the place of the segment nearest to it.
+
+    Segments meet cells first. What reaches all of a cell settles its points up to that threshold, and only segments that may reach more there
+    are tested on the points: where tracks are dense, little is left to test. What the fixes settle is written once, as segments with length
+    are only followed into the other cells.
+    """
+    side = float(size) / CELLS
+    radii, steps = _radii(thresholds), sorted(thresholds)
+    spots = _placed(areas.select("area_id", F.col("lat").cast("double"), F.col("lon").cast("double"))).select(
+        "area_id", F.col("lat").alias("_alat"), F.col("lon").alias("_alon"), tile("lon", side).alias("tx"), tile("lat", side).alias("ty"))
+    held, key = spots.select("tx", "ty").distinct(), ["disaster", "tx", "ty"]
+    cells = _bounded(standing, thresholds, side, held)
+    settled = cells.groupBy(key).agg(F.max("_least").alias("_settled"))
+    if moving is not None:
+        settled = staged(settled, "settled")
+        more = _bounded(moving, thresholds, side, held, settled)
+        cells = cells.unionByName(more)
+        settled = settled.unionByName(more.select(*key, F.col("_least").alias("_settled"))).groupBy(key).agg(F.max("_settled").alias("_settled"))
+    rest = cells.join(settled, key).filter("_most > _settled")
+    at = _once(rest.join(spots, ["tx", "ty"]), "CASE WHEN _len2 > 0 THEN least(1D, greatest(0D, ((_alon - lon) * _c * _dx + (_alat - lat) * _dy) / _len2)) ELSE 0D END AS _s")
+    at = at.withColumns({f"{c}_s": F.col(c) + F.col("_s") * (F.col(f"{c}_2") - F.col(c)) for c in ("lat", "lon", *radii)})
     north, east = F.col("_alat") >= F.col("lat_s"), F.col("_alon") >= F.col("lon_s")
     at = at.withColumns({"_km": haversine_km("lat_s", "lon_s", "_alat", "_alon"),
                          "_q": F.when(north & east, F.lit(0)).when(~north & east, F.lit(1)).when(~north & ~east, F.lit(2)).otherwise(F.lit(3))})
-    reached = F.lit(0)
-    for t in sorted(thresholds):
+    wind = F.lit(0)
+    for t in steps:
         radius = F.element_at(F.array(*[F.col(f"r{t}_{q}_s") for q in QUADRANTS]), F.col("_q") + 1)
-        reached = F.when((radius > 0) & (F.col("_km") <= radius * KM_PER_NAUTICAL_MILE), F.lit(t)).otherwise(reached)
-    return at.withColumn("wind_kt", reached).filter("wind_kt > 0").groupBy("disaster", "area_id").agg(
-        F.max("wind_kt").alias("wind_kt"))
+        wind = F.when((radius > 0) & (F.col("_km") <= radius * KM_PER_NAUTICAL_MILE), F.lit(t)).otherwise(wind)
+    tested = at.select("disaster", "area_id", wind.alias("wind_kt")).filter("wind_kt > 0")
+    known = settled.filter("_settled > 0").join(spots, ["tx", "ty"]).select("disaster", "area_id", F.col("_settled").alias("wind_kt"))
+    return tested.unionByName(known).groupBy("disaster", "area_id").agg(F.max("wind_kt").alias("wind_kt"))

@@ -125,6 +125,65 @@ def test_a_footprint_is_swept_between_fixes(spark):
     assert "between" not in points and points <= set(swept)
 
 
+QUARTERS = ("ne", "se", "sw", "nw")
+TRACK = "disaster string, t int, lat double, lon double, " + ", ".join(f"r{t}_{q} double" for t in (34, 50, 64) for q in QUARTERS)
+
+
+def _class_at(lat, lon, radii, alat, alon):
+    h = math.sin(math.radians(alat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(alat)) * math.sin(math.radians(alon - lon) / 2) ** 2
+    km, q = 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h))), (0 if alon >= lon else 3) if alat >= lat else (1 if alon >= lon else 2)
+    return max([t for k, t in enumerate((34, 50, 64)) if radii[4 * k + q] > 0 and km <= radii[4 * k + q] * 1.852], default=0)
+
+
+def test_exposure_on_a_long_track_against_brute_force(spark):
+    rng = random.Random(5)
+    ways = [(20 + i % 4 * 0.4, -90 + i // 4 * 0.7) for i in range(16)] + [(-0.2, 0.1), (0.3, -0.2)]
+    track = []
+    for i in range(400):
+        wide = rng.expovariate(1 / 12)
+        track.append((rng.choice("AB"), i, *ways[i * 7 % len(ways)], *[max(0.0, wide * f / t * 34 - 3) for t in (34, 50, 64) for f in (2, 1.5, 1, 1.2)]))
+    areas = [(f"a{i}", rng.uniform(18, 24), rng.uniform(-92, -85)) for i in range(250)] + [("z1", 0.05, 0.05), ("z2", -0.4, -0.4), ("z3", 0.0, 0.0)]
+    df, spots = spark.createDataFrame(track, TRACK), spark.createDataFrame(areas, "area_id string, lat double, lon double")
+    still, swept = {}, {}
+    for d in "AB":
+        own = [r for r in track if r[0] == d]
+        for a, alat, alon in areas:
+            still[d, a] = max(_class_at(r[2], r[3], r[4:], alat, alon) for r in own)
+            swept[d, a] = still[d, a]
+            for r, n in zip(own, own[1:]):
+                c = math.cos(math.radians((r[2] + n[2]) / 2))
+                dx, dy = (n[3] - r[3]) * c, n[2] - r[2]
+                if dx or dy:
+                    s = min(1.0, max(0.0, ((alon - r[3]) * c * dx + (alat - r[2]) * dy) / (dx * dx + dy * dy)))
+                    lat, lon, *radii = [x + s * (y - x) for x, y in zip(r[2:], n[2:])]
+                    swept[d, a] = max(swept[d, a], _class_at(lat, lon, radii, alat, alon))
+    assert {(r.disaster, r.area_id): r.wind_kt for r in geo.exposure_class(df, spots).collect()} == {k: v for k, v in still.items() if v}
+    assert {(r.disaster, r.area_id): r.wind_kt for r in geo.exposure_swept(df, spots).collect()} == {k: v for k, v in swept.items() if v}
+    assert {v for v in swept.values()} == {0, 34, 50, 64}
+
+
+def test_fixes_at_one_place_and_segments_over_one_way_are_merged(spark):
+    fix = lambda t, lat, r, r2: ("S", t, lat, -90.0, *[float(r)] * 4, *[float(r2)] * 4, *[0.0] * 4)
+    # Twice a day between two places: radii of 10 to 39, the greatest last.
+    track = spark.createDataFrame([fix(t, 25.0 + t % 2, 10 + t // 2, t // 2) for t in range(60)], TRACK)
+    fixes = geo._fixes(track.withColumn("_t", track.t), (34, 50, 64), "_t")
+    assert geo._standing(fixes, (34, 50, 64)).count() == 2
+    legs = geo._successors(fixes, (34, 50, 64))
+    assert sorted((r.lat, r.lat_2, r.r34_ne, r.r34_ne_2) for r in legs.collect()) == sorted(
+        (25.0 + t % 2, 25.0 + (t + 1) % 2 if t < 59 else 26.0, 10.0 + t // 2, 10.0 + min(59, t + 1) // 2) for t in range(60))
+    kept = geo._outer(legs.filter("lat != lat_2"), (34, 50, 64)).collect()
+    # Up: the last alone. Down: its lesser end is that of the last but one fix.
+    assert sorted((r.lat, r.r34_ne, r.r34_ne_2) for r in kept) == [(25.0, 39.0, 39.0), (26.0, 38.0, 39.0)]
+
+
+def test_a_radius_that_is_no_number_reaches_nothing(spark):
+    nan = float("nan")
+    track = spark.createDataFrame([("S", 1, 0.5, 0.5, *[nan] * 12), ("S", 2, nan, 0.5, *[90.0] * 12), ("T", 1, 0.5, 0.5, 20.0, *[nan] * 11)], TRACK)
+    areas = spark.createDataFrame([("in", 0.6, 0.6), ("no", nan, 0.6)], "area_id string, lat double, lon double")
+    for found in (geo.exposure_class(track, areas), geo.exposure_swept(track, areas)):
+        assert [tuple(r) for r in found.collect()] == [("T", "in", 34)]
+
+
 def test_interior_points_lie_inside(spark):
     arc = [(math.cos(t / 20 * math.pi), math.sin(t / 20 * math.pi)) for t in range(-14, 15)]
     crescent = [(2 * x, 2 * y) for x, y in arc] + [(1.7 * x - 0.2, 1.7 * y) for x, y in reversed(arc)]
