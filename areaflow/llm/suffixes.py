@@ -20,8 +20,9 @@ run's strings need on either side:
 5. Repeats go back to their documents as spans, and the bytes outside are hashed.
 
 The order of suffixes is that of the hash of the first ``GRAM`` bytes, then the bytes: how anchors spread over the hash is
-known, so even ranges need no sampling. Contexts of one gram beyond ``GROUP_CONTEXTS`` leave as single strings and meet again
-in an aggregation that combines per task, so one gram in a third of all documents is no task's load.
+known, so even ranges need no sampling. What a context shares with its neighbours in this order bounds which of its strings can occur
+again, and only those are looked up, a few left lengths at a time in large groups. Contexts of one gram beyond ``GROUP_CONTEXTS`` leave the
+merge as a row each and are cut into strings that meet again in an aggregation that combines per task.
 
 Defined cases: a null text is empty; texts under ``SPAN`` bytes keep everything. A null ``doc_id`` comes first.
 Rows of one ``doc_id`` are ordered by row key; rows equal in id and text are one document and get the same
@@ -47,7 +48,9 @@ from areaflow.llm.common import KEY, arrow_schema, batches, keyed, map_arrow, pa
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
 SEGMENT = 1 << 18
-GROUP_CONTEXTS = 4_000
+GROUP_CONTEXTS = 1 << 16
+#: Contexts of which all strings are held at once.
+HELD_CONTEXTS = 2_000
 LOOSE_ROWS = 20_000
 #: Records a reducing task should see.
 ANCHORS_A_TASK, CONTEXTS_A_TASK = 1 << 17, 1 << 16
@@ -344,40 +347,60 @@ def _batch(rows, names: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, names, strict=True)], schema=names)
 
 
-def _strings(suffix: bytes, place: tuple):
-    """Start and bytes of each string of a context."""
+def _stretch(suffix: bytes, place: tuple, most: int = SPAN + 8, low: int = 0, high: int = WINDOW - 1) -> tuple[int, bytes]:
+    """The strings of a context that may occur again, as the first's start and the bytes of all; none: no bytes.
+
+    ``most``: bytes it shares with a neighbour in the order; a string that reaches further to the right is in no other. Only
+    strings with ``low`` to ``high`` bytes left of the gram.
+    """
     left, count = place[3], place[4]
+    first, last = max(0, left - high), min(count, left - max(low, SPAN + 8 - most))
+    if first > last:
+        return 0, b""
     right = len(suffix) - 9 - left
     whole = suffix[8 + right:8 + right + left] + suffix[8:8 + right]
-    return [(place[2] + k, whole[k:k + SPAN]) for k in range(count + 1)]
+    return place[2] + first, whole[first:last + SPAN]
+
 
+def _strings(suffix: bytes, place: tuple, *bounds: int):
+    """Start and bytes of each string of a context, or of those within the bounds."""
+    start, text = _stretch(suffix, place, *bounds)
+    return [(start + k, text[k:k + SPAN]) for k in range(len(text) - SPAN + 1)]
 
-def _meet(sorted_runs: DataFrame, parts: int, limit: int) -> DataFrame:
-    """Spans that repeat (those known before pass through), and single strings of very common grams: ``doc_id, row_key, spans, start, string``."""
-    schema = "doc_id long, row_key long, spans binary, start long, string binary"
+
+def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTEXTS) -> DataFrame:
+    """Spans that repeat (those known before pass through), and contexts of very common grams: ``doc_id, row_key, spans, start, strings``."""
+    schema = "doc_id long, row_key long, spans binary, start long, strings binary"
 
     names = arrow_schema(schema)
 
     def loose(group):
-        for place, suffix in group:
-            doc = None if place[0] == _NULL else place[0]
-            yield from ([doc, place[1], None, s, x] for s, x in _strings(suffix, place))
+        for place, suffix, most in group:
+            start, text = _stretch(suffix, place, most)
+            if text:
+                yield [None if place[0] == _NULL else place[0], place[1], None, start, text]
 
     def close(group, spans):
         group.sort()
-        seen = set()
-        for place, suffix in group:
-            own = spans[place[:2]]
-            for s, x in _strings(suffix, place):
-                if x not in seen:
-                    seen.add(x)
-                elif own and own[-1][0] <= s <= own[-1][1] - SPAN + 1:
-                    own[-1] = (own[-1][0], s + SPAN)
-                else:
-                    own.append((s, s + SPAN))
+        last = [None] * len(group)
+        width = max(1, WINDOW * held // len(group))
+        for high in range(WINDOW - 1, -1, -width):  # equal strings have equal left lengths
+            seen = set()
+            for i, (place, suffix, most) in enumerate(group):
+                for s, x in _strings(suffix, place, most, max(0, high - width + 1), high):
+                    if x not in seen:
+                        seen.add(x)
+                        continue
+                    own = spans[place[:2]]
+                    open_ = last[i] or (own[-1] if own else None)
+                    if open_ and open_[0] <= s <= open_[1] - SPAN + 1:
+                        open_[1] = max(open_[1], s + SPAN)
+                    else:
+                        own.append(open_ := [s, s + SPAN])
+                    last[i] = open_
 
     def part(blobs):
-        """The output of one range: strings of a very common gram as soon as it is over, spans at the end."""
+        """The output of one range: contexts of a very common gram as they come, spans at the end."""
         spans, group, wide = defaultdict(list), [], False
         for suffix, common, place in merged([decoded(b) for b in blobs]):
             if common < 8 + GRAM:
@@ -388,15 +411,17 @@ def _meet(sorted_runs: DataFrame, parts: int, limit: int) -> DataFrame:
                 group, wide = [], False
             elif group and common >= len(suffix) and len(group[-1][1]) == len(suffix):
                 earlier, later = sorted((group[-1][0], place))
-                group[-1] = (earlier, suffix)
+                group[-1] = (earlier, suffix, group[-1][2])
                 if earlier != later:
-                    spans[later[:2]].append((later[2], later[2] + later[4] + SPAN))
+                    spans[later[:2]].append([later[2], later[2] + later[4] + SPAN])
                 continue
             elif len(group) >= limit:
                 # The last stays, as equal ones may follow it.
                 yield from loose(group[:-1])
                 group, wide = group[-1:], True
-            group.append((place, suffix))
+            if group:
+                group[-1] = (*group[-1][:2], max(group[-1][2], common))
+            group.append((place, suffix, common))
         if wide:
             yield from loose(group)
         elif len(group) > 1:
@@ -447,7 +472,8 @@ def repeats(rows: DataFrame, settled: DataFrame, limit: int = GROUP_CONTEXTS) ->
     near = rows.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
     parts = max(partitions(spark), int(found) // CONTEXTS_A_TASK)
     met = staged(_meet(_sorted_runs(near, parts), parts, limit), "met")
-    loose = met.filter("string is not null").select("doc_id", KEY, "start", "string")
+    loose = met.filter("strings is not null").select("doc_id", KEY, "start", "strings", F.expr(
+        f"explode(sequence(0, octet_length(strings) - {SPAN})) AS k")).selectExpr("doc_id", KEY, "start + k AS start", f"substring(strings, k + 1, {SPAN}) AS string")
     place = F.struct("doc_id", KEY, "start")
     least = loose.groupBy("string").agg(F.min(place).alias("least"))
     later = loose.join(least, "string").filter(~place.eqNullSafe(F.col("least"))).groupBy("doc_id", KEY).agg(

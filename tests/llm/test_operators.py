@@ -85,6 +85,24 @@ def test_suffixes_of_a_very_common_gram(spark, docs):
     assert parts(b"h" * 8 + b"R" * 100 + b"l" * 3 + b"\3", (0, 0, 5, 3, 3))[0] == (5, b"lll" + b"R" * 97)
 
 
+def test_a_very_common_gram_leaves_a_row_a_context(spark):
+    """What leaves the merge follows the contexts, not their strings; held at once or a left length at a time, the same bytes repeat."""
+    line = prose(40)
+    texts = {k: f"{prose(8)}{line}{prose(8)}" for k in range(40)}
+    starts = {k: suffixes.runs(t.encode())[1].tolist() for k, t in texts.items()}
+    rows = spark.createDataFrame([(k, k, t, starts[k]) for k, t in texts.items()], "doc_id long, row_key long, text string, starts array<long>")
+    runs = suffixes._sorted_runs(rows, 4)
+    met = suffixes._meet(runs, 4, 2).filter("spans is null").collect()
+    assert 0 < len(met) <= sum(len(v) for v in starts.values())
+    assert all(texts[r.doc_id].encode()[r.start:r.start + len(r.strings)] == r.strings for r in met)
+
+    def covered(held):
+        return {(r.doc_id, b) for r in suffixes._meet(runs, 4, 1 << 16, held).collect()
+                for lo, hi in np.frombuffer(r.spans, "<u4").reshape(-1, 2).tolist() for b in range(lo, hi)}
+
+    assert covered(0) == covered(2_000) != set()
+
+
 def test_suffix_ranges_are_even_and_ordered():
     h = suffixes.runs(np.random.default_rng(3).integers(97, 123, 3_000_000, np.uint8).tobytes())[0]
     part = suffixes.ranges_of(np.sort(h), 50)
