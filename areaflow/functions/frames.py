@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,8 @@ def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Mapping[str, float]],
     Then rows below, between and above the bounds are only counted, per task first, and just the values within bounds are kept and
     sorted: some 6 in ``accuracy`` of a group (all of one shorter than ``accuracy``), and equal values as one. A rank outside its bounds would
     be an error, never a wrong value. Nulls and NaN are left out; a group without values in any column is absent.
+    Only groups of ``accuracy`` rows or more have bounds, so these are at most one row for as many of the input; they are broadcast, and
+    no row travels before it is counted. A shuffled join would bring each group whole to one task.
     """
     shares = sorted({p for names in wanted.values() for p in names.values()})
     one = lambda i, c: F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
@@ -75,19 +79,23 @@ def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Mapping[str, float]],
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     keys = [*by, "_c"]
     around = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-3 / accuracy, 3 / accuracy)]
-    bounds = long.groupBy(*keys).agg(F.percentile_approx("_v", around, accuracy).alias("_q"), F.count("*").alias("_total"))
-    # Bounds at the ends lie beyond every value, and so do those of a group too short for a margin of two rows.
-    bound = lambda k, end, name: f"CASE WHEN _total < {accuracy} OR {0.0 < around[k] < 1.0} = false THEN {end} ELSE _q[{k}] END AS {name}"
+    bounds = long.groupBy(*keys).agg(F.percentile_approx("_v", around, accuracy).alias("_q"), F.count("*").alias("_size")).filter(
+        F.col("_size") >= accuracy)
+    # Bounds at the ends lie beyond every value, and so do those of a group too short for a margin of two rows: it has none.
+    bound = lambda k, end, name: f"CASE WHEN _q IS NULL OR {0.0 < around[k] < 1.0} = false THEN {end} ELSE _q[{k}] END AS {name}"
     low = [bound(2 * i, "-double('inf')", f"l{i}") for i in range(len(shares))]
     high = [bound(2 * i + 1, "double('inf')", f"h{i}") for i in range(len(shares))]
-    seen = attach(long, bounds.selectExpr(*keys, "_total", *low, *high), keys)
+    named = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_q")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    seen = long.join(F.broadcast(named), same, "left").selectExpr(*keys, "_v", *low, *high)
     within = " OR ".join(f"_v BETWEEN l{i} AND h{i}" for i in range(len(shares)))
     passed = " + ".join(f"CAST(_v > h{i} AS INT) + CAST(_v >= l{i} AS INT)" for i in range(len(shares)))
-    counted = seen.selectExpr(*keys, "_total", "_v", f"{passed} AS _slot", f"{within} AS _in").groupBy(
-        *keys, "_total", "_slot", "_in", F.when(F.col("_in"), F.col("_v")).alias("_value")).agg(
+    counted = seen.selectExpr(*keys, "_v", f"{passed} AS _slot", f"{within} AS _in").groupBy(
+        *keys, "_slot", "_in", F.when(F.col("_in"), F.col("_v")).alias("_value")).agg(
         F.count("*").alias("_n"), F.max("_v").alias("_o"))
     run = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = counted.withColumn("_hi", F.sum("_n").over(run)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    spans = counted.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))).withColumn("_hi", F.sum("_n").over(run)).withColumn(
+        "_lo", F.col("_hi") - F.col("_n"))
     picks, outs = [], []
     for i, names in enumerate(wanted.values()):
         for name, p in names.items():

@@ -56,6 +56,21 @@ def test_kde_weights_equal_repeats(spark):
     assert key(D.kde(base, "v", 0.0, 5.0, 11, weight="w")) == pytest.approx(key(D.kde(flat, "v", 0.0, 5.0, 11)))
 
 
+def test_quantiles_move_no_row_before_it_is_counted(spark):
+    """Neither side of the bounds is shuffled to meet the rows, and a group without a name is a group."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS g", "id * 7919 % 30000 AS v")
+    out = exact_quantiles(df, "v", {"q": 0.5}, ["g"], accuracy=1_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: r.q for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert got == {g: float(np.median([i * 7919 % 30000 for i in range(30_000) if i % 3 == (g or 0)])) for g in (None, 1, 2)}
+
+
+
 @pytest.mark.parametrize("accuracy", [25, 10_000])
 def test_exact_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(5)
