@@ -35,7 +35,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from hashlib import sha256
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,8 @@ SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
 SEGMENT = 1 << 18
 GROUP_CONTEXTS = 1 << 16
+#: Run starts whose spans share a row for each range.
+STARTS_A_BUCKET = 1 << 20
 #: Contexts of which all strings are held at once.
 HELD_CONTEXTS = 2_000
 LOOSE_ROWS = 20_000
@@ -259,6 +261,7 @@ def merged(sources: list):
             at //= 2
 
 
+_SPANS = np.dtype([("doc", "<i8"), ("key", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 _PLACE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("left", "<u1"), ("count", "<u1")])
 
 
@@ -368,9 +371,13 @@ def _strings(suffix: bytes, place: tuple, *bounds: int):
     return [(start + k, text[k:k + SPAN]) for k in range(len(text) - SPAN + 1)]
 
 
-def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTEXTS) -> DataFrame:
-    """Spans that repeat (those known before pass through), and contexts of very common grams: ``doc_id, row_key, spans, start, strings``."""
-    schema = "doc_id long, row_key long, spans binary, start long, strings binary"
+def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTEXTS, buckets: int = 1) -> DataFrame:
+    """Spans that repeat, those known before included, and contexts of very common grams: ``doc_id, row_key, bucket, spans, start, strings``.
+
+    A document's spans lie in many ranges. A range sends those of a bucket of documents in one row, so what leaves it follows its spans'
+    bytes, not how many documents have one there.
+    """
+    schema = "doc_id long, row_key long, bucket int, spans binary, start long, strings binary"
 
     names = arrow_schema(schema)
 
@@ -378,7 +385,7 @@ def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTE
         for place, suffix, most in group:
             start, text = _stretch(suffix, place, most)
             if text:
-                yield [None if place[0] == _NULL else place[0], place[1], None, start, text]
+                yield [None if place[0] == _NULL else place[0], place[1], None, None, start, text]
 
     def close(group, spans):
         group.sort()
@@ -399,9 +406,9 @@ def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTE
                         own.append(open_ := [s, s + SPAN])
                     last[i] = open_
 
-    def part(blobs):
+    def part(blobs, spans):
         """The output of one range: contexts of a very common gram as they come, spans at the end."""
-        spans, group, wide = defaultdict(list), [], False
+        group, wide = [], False
         for suffix, common, place in merged([decoded(b) for b in blobs]):
             if common < 8 + GRAM:
                 if wide:
@@ -426,28 +433,29 @@ def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTE
             yield from loose(group)
         elif len(group) > 1:
             close(group, spans)
-        for (d, k), v in spans.items():
-            if v:
-                yield [None if d == _NULL else d, k, np.array(v, "<u4").tobytes(), None, None]
+        if sum(map(len, spans.values())):
+            rec = np.array([(d, k, lo, hi) for (d, k), v in spans.items() for lo, hi in v], _SPANS)
+            rec = rec[np.argsort(rec["key"] % buckets, kind="stable")]
+            for some in np.split(rec, np.flatnonzero(np.diff(rec["key"] % buckets)) + 1):
+                yield [None, None, int(some["key"][0] % buckets), zlib.compress(some.tobytes(), 1), None, None]
 
     def run(it):
         def ranges():
-            now, blobs = None, []
+            now, blobs, spans = None, [], defaultdict(list)
             for batch in it:
-                for number, blob, *span in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if number != now and blobs:
-                        yield blobs, []
-                        blobs = []
+                for number, blob, doc, key, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if number != now:
+                        yield blobs, spans
+                        blobs, spans = [], defaultdict(list)
                     now = number
                     if blob is None:
-                        yield [], [[*span, None, None]]
+                        spans[_NULL if doc is None else doc, key] += np.frombuffer(known, "<u4").reshape(-1, 2).tolist()
                     else:
                         blobs.append(blob)
-            if blobs:
-                yield blobs, []
+            yield blobs, spans
 
-        for blobs, known in ranges():
-            rows = chain(known, part(blobs))
+        for blobs, spans in ranges():
+            rows = part(blobs, spans)
             while some := list(islice(rows, LOOSE_ROWS)):
                 yield _batch(some, names)
 
@@ -457,6 +465,16 @@ def _meet(sorted_runs: DataFrame, parts: int, limit: int, held: int = HELD_CONTE
             .mapInArrow(run, schema))
 
 
+def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
+    """The spans of a bucket of documents, a row for each."""
+    rec = _unpack(rows["spans"], _SPANS)
+    rec = rec[np.lexsort((rec["lo"], rec["key"], rec["doc"]))]
+    cuts = np.flatnonzero((np.diff(rec["doc"]) != 0) | (np.diff(rec["key"]) != 0)) + 1
+    docs = np.split(rec, cuts)
+    return pd.DataFrame({"doc_id": pd.array([None if r["doc"][0] == _NULL else int(r["doc"][0]) for r in docs], "Int64"),
+                         KEY: [int(r["key"][0]) for r in docs], "spans": [r[["lo", "hi"]].copy().astype([("lo", "<u4"), ("hi", "<u4")]).tobytes() for r in docs]})
+
+
 def repeats(rows: DataFrame, settled: DataFrame, limit: int = GROUP_CONTEXTS) -> DataFrame:
     """Per document the spans of bytes to remove, as packed pairs: ``doc_id, row_key, spans``.
 
@@ -471,7 +489,8 @@ def repeats(rows: DataFrame, settled: DataFrame, limit: int = GROUP_CONTEXTS) ->
     found = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
     near = rows.join(starts.hint("merge"), F.col(KEY) == F.col("anchor_key"))
     parts = max(partitions(spark), int(found) // CONTEXTS_A_TASK)
-    met = staged(_meet(_sorted_runs(near, parts), parts, limit), "met")
+    buckets = max(partitions(spark), int(found) // STARTS_A_BUCKET)
+    met = staged(_meet(_sorted_runs(near, parts), parts, limit, buckets=buckets), "met")
     loose = met.filter("strings is not null").select("doc_id", KEY, "start", "strings", F.expr(
         f"explode(sequence(0, octet_length(strings) - {SPAN})) AS k")).selectExpr("doc_id", KEY, "start + k AS start", f"substring(strings, k + 1, {SPAN}) AS string")
     place = F.struct("doc_id", KEY, "start")
@@ -484,7 +503,8 @@ def repeats(rows: DataFrame, settled: DataFrame, limit: int = GROUP_CONTEXTS) ->
             np.array([(s, s + SPAN) for s in v], "<u4").tobytes() for v in batch.column("starts").to_pylist()]}
 
     more = map_arrow(later, packed, f"doc_id long, {KEY} long, spans binary")
-    spans = met.filter("spans is not null").select("doc_id", KEY, "spans").unionByName(more)
+    spans = met.filter("spans is not null").select("bucket", "spans").groupBy("bucket").applyInPandas(
+        _by_document, f"doc_id long, {KEY} long, spans binary").unionByName(more)
     return spans.groupBy("doc_id", KEY).agg(F.collect_list("spans").alias("spans"))
 
 

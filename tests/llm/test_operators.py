@@ -97,7 +97,9 @@ def test_a_very_common_gram_leaves_a_row_a_context(spark):
     assert all(texts[r.doc_id].encode()[r.start:r.start + len(r.strings)] == r.strings for r in met)
 
     def covered(held):
-        return {(r.doc_id, b) for r in suffixes._meet(runs, 4, 1 << 16, held).collect()
+        packed = suffixes._meet(runs, 4, 1 << 16, held, 3).toPandas()
+        assert len(packed) <= 4 * 3  # ranges by buckets, however many documents
+        return {(r.doc_id, b) for r in suffixes._by_document(packed).itertuples()
                 for lo, hi in np.frombuffer(r.spans, "<u4").reshape(-1, 2).tolist() for b in range(lo, hi)}
 
     assert covered(0) == covered(2_000) != set()
