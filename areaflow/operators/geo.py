@@ -340,7 +340,7 @@ def _bounded(legs: DataFrame, thresholds: Sequence[int], side: float, held: Data
     top = F.greatest(F.abs("lat"), F.abs("lat_2")) + dlat
     dlon = km / (F.lit(110.0) * F.greatest(F.cos(F.radians(F.least(top, F.lit(89.0)))), F.lit(0.01)))
     across = lambda c, d: F.explode(F.sequence(tile(F.least(c, f"{c}_2") - d, side), tile(F.greatest(c, f"{c}_2") + d, side)))
-    # Place along the segment as a part of it: _a and _b for each degree of longitude and latitude from its start.
+    # _dx and _dy: the segment in degrees of latitude.
     legs = _once(legs, widest, "cos(radians((lat + lat_2) / 2)) AS _c").filter("_widest > 0")
     legs = _once(legs, "(lon_2 - lon) * _c AS _dx", "lat_2 - lat AS _dy").withColumn("_len2", F.expr("_dx * _dx + _dy * _dy"))
     legs = spread(legs, "disaster", "lat", "lon", "lat_2", "lon_2", radii[0])
