@@ -6,13 +6,16 @@ shingles: two sets that reach the threshold share at least one shingle among the
 counted over all documents into a table of fixed size (``2**22`` counters, 8 MB), which is what the
 order is made of; equal counters are ordered by hash, so the order is total and the same everywhere.
 
-Classes that list the same shingle meet by its hash. Members sorted by size fall apart where neither the
-length filter nor the positional filter lets a pair reach over (a pair is kept at its first common
-shingle, where the positional bound holds). Member lists that come up for many shingles are kept once.
-Their pairs then face the suffix filter: sets are counted by 64 parts of the hash range, and half the
-difference of these counts bounds the overlap from above. What passes joins groups of possible
-partners, in which every pair is compared exactly and at most once - not at all if its members
-are linked already, as only groups are asked for.
+Classes that list the same shingle meet by its hash, and the length and positional filters are tried on
+their pairs (a pair is kept at its first common shingle, where the positional bound holds). Where they
+leave few pairs, as among classes that meet by chance, these go on one by one, each once whatever the
+shingles it shares. Else the list goes on: members sorted by size fall apart where no pair reaches over,
+and member lists that come up for many shingles are kept once. What is left faces the suffix filter: sets are
+counted by parts of the hash range, and half the difference of these counts bounds the overlap from above. The
+number of parts follows the size of the set: 64 parts would let any two sets of some thousand shingles pass, and
+in a large corpus, where long sets often meet by chance, link them all to one group. What passes joins groups of
+possible partners, in which every pair is compared exactly and at most once - not at all if its members
+are linked already, as only groups are asked for. Only texts of these groups are sorted to their places.
 
 Long lists and large groups are cut into blocks, and pairs of blocks are dealt out, so that no task holds
 more than two blocks. Links leave a block pair as a spanning forest, never as all pairs.
@@ -27,12 +30,14 @@ alone. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,12 @@ WIDTH = 5
 NUM, DEN = 80, 100
 COUNTER_BITS = 22
 SEGMENTS = 64
+#: Parts of a set: this many at least, and at most in a member list.
+PARTS, LISTED_PARTS = 64, 256
+#: Lists up to this size are tried pair by pair.
+SHORT_LIST = 32
+#: The wanted rows are marked in a table of fixed size, by their key.
+MARK_BITS = 26
 BLOCK_MEMBERS = 2048
 BLOCK_SHINGLES = 1 << 20
 _REMEMBERED = 400_000
@@ -93,9 +104,25 @@ def needed(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def widths(n: np.ndarray) -> np.ndarray:
+    """The number of parts of sets of size n, a power of two: eight shingles a part at most."""
+    return np.maximum(PARTS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 8)).clip(0).astype(np.int64))
+
+
+def counted(x: np.ndarray) -> np.ndarray:
+    """A set counted by the parts of the hash range; counts end at 255, which can only narrow a difference."""
+    k = int(widths(np.array(len(x))))
+    return np.minimum(np.bincount((x & np.uint64(k - 1)).astype(np.int64), minlength=k), 255).astype(np.uint8)
+
+
+def folded(parts: np.ndarray, k: int) -> np.ndarray:
+    """Counts of finer parts, or of k parts followed by zeros, as counts of k parts."""
+    return parts if parts.shape[-1] == k else parts.reshape(*parts.shape[:-1], -1, k).sum(-2)
+
+
 def _classes(docs: DataFrame, width: int) -> DataFrame:
     """Row kinds in one pass: documents with their class, and the task's shingle counters by segment."""
-    schema = (f"doc_id long, {KEY} long, class binary, c long, n int, parts binary, segment int, counts binary")
+    schema = (f"doc_id long, {KEY} long, class binary, c long, n int, parts binary, coarse binary, segment int, counts binary")
     names = arrow_schema(schema)
     empty = [None] * len(names.names)
 
@@ -106,16 +133,19 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             for doc, key, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", KEY, "text")], strict=True):
                 x = shingles(text, width)
                 if not len(x):
-                    rows.append((doc, key, None, None, 0, None, None, None))
+                    rows.append((doc, key, None, None, 0, None, None, None, None))
                     continue
                 np.add.at(counters, x >> np.uint64(64 - COUNTER_BITS), 1)
-                parts = np.minimum(np.bincount((x & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8)
+                parts = counted(x)
+                coarse = None
+                if len(parts) > LISTED_PARTS:
+                    coarse = np.minimum(folded(parts.astype(np.int64), LISTED_PARTS), 255).astype(np.uint8).tobytes()
                 whole = digest(x)
-                rows.append((doc, key, whole, short_id(whole), len(x), parts.tobytes(), None, None))
+                rows.append((doc, key, whole, short_id(whole), len(x), parts.tobytes(), coarse, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(names)], schema=names)
         for s, part in enumerate(counters.reshape(SEGMENTS, -1)):
             if part.any():
-                row = empty[:6] + [s, zlib.compress(part.tobytes(), 1)]
+                row = empty[:7] + [s, zlib.compress(part.tobytes(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, names, strict=True)], schema=names)
 
     batches(docs.sparkSession)
@@ -197,8 +227,16 @@ def chains(n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.cumsum(np.append(0, np.maximum.accumulate(reach)[:-1] < n[1:]))
 
 
+def tried(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the length and positional filters let sets of size n meet sets of size m, n at most m, at positions p and q."""
+    return (NUM * m <= DEN * n) & (np.minimum(n - p, m - q) >= needed(n, m))
+
+
 def _lists(postings: DataFrame) -> DataFrame:
-    """Member lists ``(g, c)`` of shingles listed by two classes or more; equal lists have one id."""
+    """What shingles listed by two classes or more tell: pairs ``(g, c)`` with ``size`` 0, and members ``c`` of lists ``g``.
+
+    Equal lists have one id, and pairs and lists come once.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rec = np.concatenate([np.frombuffer(zlib.decompress(b), _POSTING) for b in rows["records"]])
@@ -206,24 +244,51 @@ def _lists(postings: DataFrame) -> DataFrame:
         same = (rec["h"][1:] == rec["h"][:-1])
         rec = rec[np.append(True, ~(same & (rec["c"][1:] == rec["c"][:-1])))]
         same = rec["h"][1:] == rec["h"][:-1]
-        pair = np.append(same, False) | np.append(False, same)
-        rec = rec[pair]
+        rec = rec[np.append(same, False) | np.append(False, same)]
         out: dict[int, np.ndarray] = {}
+        pairs = np.empty((0, 2), np.int64)
+        if len(rec):
+            starts = np.append(0, np.flatnonzero(rec["h"][1:] != rec["h"][:-1]) + 1)
+            sizes = np.diff(np.append(starts, len(rec)))
+            number, ends = np.repeat(np.arange(len(starts)), sizes), np.repeat(starts + sizes, sizes)
+            n, p = rec["n"].astype(np.int64), rec["p"].astype(np.int64)
+
+            def sweep(of: np.ndarray):
+                """Pairs that pass, by their distance in the list."""
+                at = np.flatnonzero(of[number])
+                for step in range(1, SHORT_LIST):
+                    at = at[at + step < ends[at]]
+                    if not len(at):
+                        break
+                    ok = at[tried(n[at], p[at], n[at + step], p[at + step])]
+                    yield ok, ok + step
+
+            short = sizes <= SHORT_LIST
+            found, partnered = np.zeros(len(sizes), np.int64), ~short[number]
+            for a, b in sweep(short):
+                found += np.bincount(number[a], minlength=len(sizes))
+                partnered[a] = partnered[b] = True
+            few = short & (found <= 2 * sizes)
+            c = rec["c"]
+            each = [np.sort(np.stack([c[a], c[b]], 1), 1) for a, b in sweep(few & (found > 0))]
+            if each:
+                pairs = np.unique(np.concatenate(each), axis=0)
+            rec = rec[partnered & ~few[number]]
         if len(rec):
             starts = np.append(0, np.flatnonzero(rec["h"][1:] != rec["h"][:-1]) + 1)
             for lo, hi in zip(starts, np.append(starts[1:], len(rec)), strict=True):
                 part = rec[lo:hi]
-                if len(part) == 2 and chains(part["n"], part["p"])[1]:
-                    continue
-                number = chains(part["n"], part["p"]) if len(part) > 2 else np.zeros(2, np.int64)
+                number = chains(part["n"], part["p"])
                 for k in range(number[-1] + 1):
                     c = np.sort(part["c"][number == k])
                     if len(c) > 1:
                         out[int.from_bytes(blake2b(c.tobytes(), digest_size=8).digest(), "little", signed=True)] = c
-        return pd.DataFrame({"g": np.repeat(np.array(list(out), np.int64), [len(c) for c in out.values()]),
-                             "c": np.concatenate(list(out.values())) if out else np.empty(0, np.int64)})
+        sizes = [len(c) for c in out.values()]
+        return pd.DataFrame({"g": np.concatenate([pairs[:, 0], np.repeat(np.array(list(out), np.int64), sizes)]),
+                             "c": np.concatenate([pairs[:, 1], *out.values()]),
+                             "size": np.concatenate([np.zeros(len(pairs), np.int32), np.repeat(sizes, sizes).astype(np.int32)])})
 
-    return postings.groupBy("bucket").applyInPandas(run, "g long, c long").distinct()
+    return postings.groupBy("bucket").applyInPandas(run, "g long, c long, size int").distinct()
 
 
 def block_pairs(members: DataFrame, group: str, blocks) -> DataFrame:
@@ -257,13 +322,15 @@ def linked(c: np.ndarray, n: np.ndarray, parts: np.ndarray, block: np.ndarray, c
     """A spanning forest of the links ``same(a, b)`` among members whose lengths and parts allow one.
 
     Members come by size, so the partners of one lie in a run; those already in its group are skipped, nearest
-    sizes first. In a cross pair of blocks only members of different blocks are compared.
+    sizes first. In a cross pair of blocks only members of different blocks are compared. ``parts`` has a row for
+    each member, which ends in zeros where others have more parts.
     """
     order = np.lexsort((c, n))
     c, n, parts, block = c[order], n[order].astype(np.int64), parts[order].astype(np.int16), block[order]
     forest, out = Forest(len(c)), []
     group = np.arange(len(c))
     lows = np.searchsorted(n, -(-NUM * n // DEN), "left")
+    wide = np.minimum(widths(n), parts.shape[1])
     for b in range(1, len(c)):
         a = np.arange(lows[b], b)
         if cross:
@@ -271,7 +338,8 @@ def linked(c: np.ndarray, n: np.ndarray, parts: np.ndarray, block: np.ndarray, c
         a = a[group[a] != group[b]]
         if not len(a):
             continue
-        apart = np.abs(parts[a] - parts[b]).sum(1)
+        k = int(wide[lows[b]])
+        apart = np.abs(folded(parts[a], k) - folded(parts[b], k)).sum(1)
         a = a[(n[a] + n[b] - apart) // 2 >= needed(n[a], n[b])]
         for k in a[::-1].tolist():
             if forest.find(k) != forest.find(b) and same(int(order[k]), int(order[b])):
@@ -283,7 +351,10 @@ def linked(c: np.ndarray, n: np.ndarray, parts: np.ndarray, block: np.ndarray, c
 
 
 def _by_pair(members: DataFrame, group: str, compare) -> DataFrame:
-    """Stream the members of each block pair, one pair at a time, through ``compare``; links come out."""
+    """Stream the members of each block pair, one pair at a time, through ``compare``; links come out.
+
+    A member that comes several times to a pair counts once.
+    """
     names = arrow_schema("a long, b long")
     columns = members.columns
 
@@ -303,18 +374,20 @@ def _by_pair(members: DataFrame, group: str, compare) -> DataFrame:
                     if len(rows) > 1:
                         yield links()
                     key, rows = now, []
-                rows.append(row)
+                if not rows or rows[-1]["c"] != row["c"]:
+                    rows.append(row)
         if len(rows) > 1:
             yield links()
 
     spark = members.sparkSession
     batches(spark)
-    return (members.repartition(partitions(spark), group, "i", "j").sortWithinPartitions(group, "i", "j")
+    return (members.repartition(partitions(spark), group, "i", "j").sortWithinPartitions(group, "i", "j", "c")
             .mapInArrow(run, "a long, b long"))
 
 
 def _promising(rows: list[dict]) -> list[tuple[int, int]]:
-    parts = np.frombuffer(b"".join(r["parts"] for r in rows), np.uint8).reshape(-1, 64)
+    most = max(len(r["parts"]) for r in rows)
+    parts = np.frombuffer(b"".join(r["parts"].ljust(most, b"\0") for r in rows), np.uint8).reshape(-1, most)
     c, n, block = (np.array([r[k] for r in rows], np.int64) for k in ("c", "n", "block"))
     return linked(c, n, parts, block, rows[0]["i"] != rows[0]["j"], lambda a, b: True)
 
@@ -333,6 +406,71 @@ def _verified(rows: list[dict]) -> list[tuple[int, int]]:
     return linked(c, np.array([len(x) for x in sets]), np.minimum(parts, 32767), block, rows[0]["i"] != rows[0]["j"], same)
 
 
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose parts allow a link."""
+    one = classes.select("c", "n", "parts")
+    rows = pairs.join(one.toDF("a", "n", "parts"), "a").join(one.toDF("b", "m", "others"), "b")
+
+    def run(batch):
+        a, b, n, m = (batch.column(k).to_numpy().astype(np.int64) for k in ("a", "b", "n", "m"))
+        parts, others = batch.column("parts").to_pylist(), batch.column("others").to_pylist()
+        shapes = np.array([(len(x), len(y)) for x, y in zip(parts, others, strict=True)]).reshape(-1, 2)
+        ok = np.zeros(len(a), bool)
+        for shape in np.unique(shapes, axis=0):
+            at = np.flatnonzero((shapes == shape).all(1))
+            x, y = (np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), k).astype(np.int32)
+                    for side, k in zip((parts, others), shape, strict=True))
+            apart = np.abs(folded(x, shape.min()) - folded(y, shape.min())).sum(1)
+            ok[at] = (n[at] + m[at] - apart) // 2 >= needed(n[at], m[at])
+        return {"a": a[ok], "b": b[ok]}
+
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _near(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of possible partners among listed pairs and members of lists."""
+    members = lists.filter("size > 0").join(
+        classes.select("c", "n", F.coalesce("coarse", "parts").alias("parts")), "c")
+    links = _by_pair(block_pairs(members, "g", F.ceil(F.col("size") / BLOCK_MEMBERS)).select(
+        "g", "i", "j", "block", "c", "n", "parts"), "g", _promising)
+    pairs = lists.filter("size = 0").select(F.col("g").alias("a"), F.col("c").alias("b"))
+    return links.unionByName(_allowed(pairs, classes))
+
+
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Keyed rows of ``docs`` that may be in ``wanted``: all that are, and few others.
+
+    Keys are marked in a table of 2**26 bits (8 MB) whatever their number, which is broadcast; where it fills up, more
+    rows pass, and the join that follows still decides.
+    """
+    spark = docs.sparkSession
+    place = F.pmod(F.col(KEY), F.lit(1 << MARK_BITS))
+    found = wanted.select(F.shiftright(place, 15).alias("page"), place.bitwiseAND(32767).alias("bit")).groupBy("page").agg(
+        F.bitmap_construct_agg("bit").alias("bits")).collect()
+    table = np.zeros((1 << MARK_BITS - 15, 4096), np.uint8)
+    for r in found:
+        table[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return _passed(keyed(docs), spark.sparkContext.broadcast(table.ravel()))
+
+
+def _passed(rows: DataFrame, bits: Broadcast) -> DataFrame:
+    """The keyed rows whose key is marked."""
+
+    def run(it):
+        for batch in it:
+            at = batch.column(KEY).to_numpy() & ((1 << MARK_BITS) - 1)
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    batches(rows.sparkSession)
+    return rows.mapInArrow(run, f"doc_id long, {KEY} long, text string")
+
+
+def _released(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect its garbage: until then shuffle files stay on disk, also of tables that are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Every document with its set size, class and ``component_id``."""
     spark = docs.sparkSession
@@ -340,36 +478,39 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     counters = _counters(spark, rows)
     members = rows.filter("segment is null")
     classes = staged(members.filter("c is not null").groupBy("c").agg(
-        F.first("n").alias("n"), F.first("parts").alias("parts"), F.min(F.struct("doc_id", KEY)).alias("one")), "sets")
+        F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("coarse").alias("coarse"),
+        F.min(F.struct("doc_id", KEY)).alias("one")), "sets")
     total = classes.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     buckets = max(1, int(total) // (1 << 19))
+    _released(spark)
     lists = staged(_lists(_postings(docs, width, counters, buckets)), "lists")
-    sizes = lists.groupBy("g").agg(F.count("*").alias("m"))
-    listed = lists.join(sizes, "g").join(classes.select("c", "n", "parts"), "c")
-    near = components(staged(_by_pair(
-        block_pairs(listed, "g", F.ceil(F.col("m") / BLOCK_MEMBERS)).select("g", "i", "j", "block", "c", "n", "parts"),
-        "g", _promising), "near"))
-
+    _released(spark)
+    near = components(staged(_near(lists, classes), "near"))
     grouped = staged(near.withColumnRenamed("node", "c").join(classes.select("c", "n", "one"), "c"), "groups")
     blocks = grouped.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("k"))
-    wanted = block_pairs(grouped.join(blocks, "root"), "root", F.col("k")).groupBy("c", "one", "root", "block").agg(
+    wanted = staged(block_pairs(grouped.join(blocks, "root"), "root", F.col("k")).groupBy("c", "one", "root", "block").agg(
         F.collect_list(F.struct("i", "j")).alias("pairs")).select(
-        F.col("one.doc_id").alias("doc_id"), F.col(f"one.{KEY}").alias(KEY), "c", "root", "block", "pairs")
-    texts = keyed(docs).alias("t").join(wanted.alias("w").hint("merge"), same_row("t", "w")).select(
+        F.col("one.doc_id").alias("doc_id"), F.col(f"one.{KEY}").alias(KEY), "c", "root", "block", "pairs"), "wanted")
+    texts = _marked(docs, wanted).alias("t").join(wanted.alias("w").hint("merge"), same_row("t", "w")).select(
         "t.text", "w.c", "w.root", "w.block", "w.pairs")
 
     def sets(batch):
         out = {k: [] for k in ("root", "i", "j", "block", "c", "shingles")}
+        seen = set()
         for r in batch.to_pylist():
+            if r["c"] in seen:
+                continue
+            seen.add(r["c"])
             x = shingles(r["text"], width).tobytes()
             for pair in r["pairs"]:
                 for k, v in zip(out, (r["root"], pair["i"], pair["j"], r["block"], r["c"], x), strict=True):
                     out[k].append(v)
         return out
 
-    compared = map_arrow(texts, sets, "root long, i int, j int, block int, c long, shingles binary").dropDuplicates(
-        ["root", "i", "j", "c"])
+    compared = map_arrow(texts, sets, "root long, i int, j int, block int, c long, shingles binary")
+    _released(spark)
     links = components(staged(_by_pair(compared, "root", _verified), "links"))
+    _released(spark)
     top = staged(classes.select("c").join(links, F.col("c") == F.col("node"), "left").select(
         "c", F.coalesce("root", "c").alias("root")), "roots")
     placed = members.select("doc_id", KEY, F.col("n").cast("long").alias("n_shingles"), "c").join(top, "c", "left")

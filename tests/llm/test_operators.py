@@ -157,6 +157,78 @@ def test_jaccard_groups(docs, none):
     assert len(least) == len({(r["doc_id"], r["text"]) for r in stays.collect()})
 
 
+def chance_sets(n, count, seed):
+    """Sets of n shingles of which two neighbours share one, by chance."""
+    rng = np.random.default_rng(seed)
+    out = [rng.integers(0, 2**64, n, np.uint64) for _ in range(count)]
+    for x, y in zip(out, out[1:], strict=False):
+        y[0] = x[1]
+    return [np.unique(x) for x in out]
+
+
+def test_long_sets_that_meet_by_chance_make_no_group(spark):
+    sets = chance_sets(3000, 30, 5)
+    sets[20] = np.unique(np.append(sets[10][:2900], sets[20][:100]))  # near
+    sets[21] = np.unique(sets[10].copy())
+    sets[21] = sets[21][sets[21] != sets[21][7]]  # near, of another size
+    rows, records = [], []
+    for c, x in enumerate(sets):
+        rows.append((c, len(x), bytearray(jaccard.counted(x).tobytes()), None))
+        at = np.argsort(x >> np.uint64(7), kind="stable")[:len(x) - -(-80 * len(x) // 100) + 1]
+        for p, h in enumerate(x[at]):
+            records.append((h, c, len(x), p))
+        for q, y in enumerate(sets):  # met at the first places, as where counters tell nothing of rarity
+            if abs(q - c) == 1:
+                records += [(h, c, len(x), 0) for h in np.intersect1d(x, y)]
+    rec = np.array(records, jaccard._POSTING)
+    postings = spark.createDataFrame([(b, bytearray(zlib.compress(rec[rec["h"] % 3 == b].tobytes()))) for b in range(3)],
+                                     "bucket int, records binary")
+    classes = spark.createDataFrame(rows, "c long, n int, parts binary, coarse binary").cache()
+    lists = jaccard._lists(postings).cache()
+    found = {tuple(sorted(r)) for r in jaccard._near(lists, classes).collect()}
+    assert found == {(10, 20), (10, 21), (20, 21)}
+    pairs = [(r["g"], r["c"]) for r in lists.filter("size = 0").collect()]
+    assert len(pairs) == len(set(pairs)) and {(3, 4), (10, 20)} <= set(pairs)
+
+
+def test_no_pair_at_the_threshold_is_filtered():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 3000))
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        less = int(rng.integers(0, len(x) // 5 + 1))
+        more = int(rng.integers(0, (len(x) - less) * 100 // 80 - len(x) + 1)) if less * 5 < len(x) else 0
+        y = np.unique(np.append(rng.permutation(x)[less:], rng.integers(0, 2**64, max(more, 0), np.uint64)))
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared < 80 * (len(x) + len(y) - shared):
+            continue
+        a, b = sorted((x, y), key=len)
+        s, t = jaccard.counted(a).astype(int), jaccard.counted(b).astype(int)
+        k = min(len(s), len(t))
+        apart = abs(jaccard.folded(s, k) - jaccard.folded(t, k)).sum()
+        assert (len(a) + len(b) - apart) // 2 >= jaccard.needed(len(a), len(b))
+        order = np.unique(np.append(a, b))
+        p, q = np.searchsorted(a, order), np.searchsorted(b, order)
+        first = np.flatnonzero(np.isin(order, a) & np.isin(order, b))[0]
+        assert jaccard.tried(*(np.array([v]) for v in (len(a), p[first], len(b), q[first]))).all()
+
+
+def test_short_lists_of_near_copies_stay_lists(spark):
+    members = 8
+    rec = np.array([(h, c, 100, 2) for h in (1, 2, 3) for c in range(members)] + [(1, 50, 400, 3)], jaccard._POSTING)
+    got = jaccard._lists(spark.createDataFrame([(0, bytearray(zlib.compress(rec.tobytes())))], "bucket int, records binary")).collect()
+    assert sorted(r["c"] for r in got) == list(range(members)) and {r["size"] for r in got} == {members}
+    assert len({r["g"] for r in got}) == 1
+
+
+def test_only_wanted_texts_travel(spark):
+    docs = spark.createDataFrame([(k if k % 7 else None, f"text number {k}") for k in range(2000)] + [(5, None)], "doc_id long, text string")
+    some = jaccard.keyed(docs).filter("text in ('', 'text number 0', 'text number 77', 'text number 1999')")
+    got = jaccard._marked(docs, some.select("doc_id", jaccard.KEY)).collect()
+    assert {r["text"] for r in some.collect()} <= {r["text"] for r in got} and len(got) < 10
+    assert jaccard._marked(docs, some.filter("false").select("doc_id", jaccard.KEY)).count() == 0
+
+
 def test_lines_against_all_runs(docs, none):
     rows, seen, want = listed(docs), {}, {}
     for doc, key, text in rows:
