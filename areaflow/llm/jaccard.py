@@ -522,6 +522,7 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, one of each group of near copies: the one with the least id, then row key."""
     found = staged(joined(docs, width), "joined")
+    _released(docs.sparkSession)
     first = found.filter("`group` is not null").groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)).alias("keep"))
     out = found.join(first, "group").filter(
